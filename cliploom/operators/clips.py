@@ -23,11 +23,10 @@ def stack_arrays(frames: DataFrame, keys: list[str], n: int, value: str, order:
 def stack(frames: DataFrame, n: int, dtype: str = "uint8") -> DataFrame:
     """``schemas.FRAMES`` to ``schemas.TENSORS``: n frames of a clip as one binary value.
 
-    Groups by ``video_idx``, which is unique per listed file, so files listed twice do
-    not share a group.
+    ``video_idx`` is unique per listed file, so files listed twice do not share a group.
+    This moves every frame to its clip's task; ``frames.decode_stacked`` avoids that.
     """
-    grouped = frames.groupBy("video_idx").agg(
-        F.first("video_path").alias("video_path"),
+    grouped = frames.groupBy("video_idx", "video_path").agg(
         F.count(F.lit(1)).cast("int").alias("n_frames"),
         F.max("height").alias("height"),
         F.max("width").alias("width"),
@@ -56,11 +55,9 @@ def stack(frames: DataFrame, n: int, dtype: str = "uint8") -> DataFrame:
 
 def clip_status(status: str = "status") -> Column:
     """Worst frame status of a group."""
-    ranked = F.when(F.col(status) == schemas.ERROR, 3)
-    ranked = ranked.when(F.col(status) == schemas.EMPTY, 2).when(F.col(status) == schemas.ZERO_FILLED, 1).otherwise(0)
-    worst = F.max(ranked)
-    names = F.array(*[F.lit(s) for s in (schemas.OK, schemas.ZERO_FILLED, schemas.EMPTY, schemas.ERROR)])
-    return F.get(names, worst)
+    severity = F.lit(list(schemas.SEVERITY))
+    worst = F.max(F.array_position(severity, F.col(status)))
+    return F.get(severity, (worst - 1).cast("int"))
 
 
 def frame_count(status: Column, n_frames: Column) -> Column:

@@ -7,6 +7,7 @@ bytes until the last step.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import batched, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,20 @@ def fan_out(clips: DataFrame, n: int, total: str = "total_frames") -> DataFrame:
     return clips.select("*", F.posexplode(wanted).alias("k", "frame_idx"))
 
 
-def spread(requests: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Distribute frame requests by (clip, k), so the frames of one long clip decode in parallel."""
-    keys = ["video_idx", "k"]
-    return requests.repartition(partitions, *keys) if partitions else requests.repartition(*keys)
+def tasks_for(rows: int, per_task: int, least: int = 1) -> int:
+    """Number of tasks so that none gets more than about ``per_task`` rows."""
+    return max(least, -(-rows // per_task))
+
+
+def spread(requests: DataFrame, partitions: int, by_frame: bool = True) -> DataFrame:
+    """Distribute frame requests over tasks, in (clip, k) order inside each task.
+
+    ``by_frame`` puts the frames of one clip in different tasks; otherwise a clip stays
+    whole and is opened once. Rows are a few bytes here and the work behind them is
+    large, so the number of tasks is given and not left to a size estimate.
+    """
+    keys = ["video_idx", "k"] if by_frame else ["video_idx"]
+    return requests.repartition(partitions, *keys).sortWithinPartitions("video_idx", "k")
 
 
 def fetch(requests: DataFrame, stored: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -77,21 +88,40 @@ def decode(
     ``status = error`` and the message. The job itself never fails on bad media.
     """
     chain = ordered_chain(decoders, prefer)
-    narrow = requests.select("video_idx", "video_path", "k", "frame_idx").sortWithinPartitions("video_idx", "k")
+    narrow = requests.select("video_idx", "video_path", "k", "frame_idx")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for row, data, status, error in _read_requests(stream, chain, height, width, method):
-            rows.append((*row, height, width, 3, "HWC", data, status, error))
-            if len(rows) == FRAMES_PER_BATCH:
-                yield _frame_batch(rows)
-                rows = []
-        if rows:
-            yield _frame_batch(rows)
+        read = _read_requests(stream, chain, height, width, method)
+        rows = ((*row, height, width, 3, "HWC", data, status, error) for row, data, status, error in read)
+        for some in batched(rows, FRAMES_PER_BATCH):
+            yield arrow_batch(some, _ARROW_FRAMES)
 
     return narrow.mapInArrow(run, schemas.FRAMES)
 
 
+def decode_stacked(
+    requests: DataFrame, decoders: Sequence, height: int, width: int, method: str = "bilinear", prefer: str | None = None
+) -> DataFrame:
+    """Like ``decode`` followed by ``clips.stack``, without moving pixels between tasks.
+
+    The requests of a clip must be neighbours in one task, as ``fan_out`` leaves them and
+    as ``spread(..., by_frame=False)`` does. Returns ``schemas.TENSORS``.
+    """
+    chain = ordered_chain(decoders, prefer)
+    narrow = requests.select("video_idx", "video_path", "k", "frame_idx")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _read_requests(stream, chain, height, width, method)
+        for (video_idx, path), group in groupby(read, key=lambda r: r[0][:2]):
+            _, data, statuses, errors = zip(*group, strict=True)
+            status = max(statuses, key=schemas.SEVERITY.index)
+            delivered = 0 if status == schemas.ERROR else len(data)
+            row = (video_idx, path, len(data), height, width, 3, "uint8", "HWC", b"".join(data), delivered)
+            yield arrow_batch([(*row, status, next(filter(None, errors), None))], _ARROW_TENSORS)
+
+    return narrow.mapInArrow(run, schemas.TENSORS)
+
+
 def ordered_chain(decoders: Sequence, prefer: str | None) -> list:
     """The decoder called ``prefer`` alone (any case), or all of them in order."""
     named = [d for d in decoders if prefer and d.name.lower() == prefer.lower()]
@@ -115,11 +145,27 @@ _ARROW_FRAMES = pa.schema(
 )
 
 
-def _frame_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), _ARROW_FRAMES, strict=True)],
-        schema=_ARROW_FRAMES,
-    )
+_ARROW_TENSORS = pa.schema(
+    [
+        ("video_idx", pa.int64()),
+        ("video_path", pa.string()),
+        ("n_frames", pa.int32()),
+        ("height", pa.int32()),
+        ("width", pa.int32()),
+        ("channels", pa.int32()),
+        ("dtype", pa.string()),
+        ("layout", pa.string()),
+        ("data", pa.binary()),
+        ("frame_count", pa.int32()),
+        ("status", pa.string()),
+        ("error", pa.string()),
+    ]
+)
+
+
+def arrow_batch(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _read_requests(stream, chain, height, width, method):
@@ -207,18 +253,18 @@ def to_array(data: Column, dtype: str = "uint8") -> Column:
 
 
 def _frame_arrays(data, height, width, channels) -> Iterator[np.ndarray]:
+    """(frames, height, width, channels) per row; a row is one frame or a stacked clip."""
     sizes = zip(height.to_pylist(), width.to_pylist(), channels.to_pylist(), strict=True)
     for value, (h, w, c) in zip(data, sizes, strict=True):
-        yield np.frombuffer(value.as_buffer(), np.uint8).reshape(h, w, c)
+        yield np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, h, w, c)
 
 
 def _pixel_udf(kernel: Callable[[np.ndarray], np.ndarray]):
-    """Arrow UDF over (data, height, width, channels) that applies a NumPy kernel per frame."""
+    """Arrow UDF over (data, height, width, channels) that applies a NumPy kernel per row."""
 
     @F.arrow_udf("binary")
     def apply(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
-        frames = _frame_arrays(data, height, width, channels)
-        return pa.array([np.ascontiguousarray(kernel(f)).data.cast("B") for f in frames], pa.binary())
+        return pa.array([kernel(f).tobytes() for f in _frame_arrays(data, height, width, channels)], pa.binary())
 
     return apply
 
@@ -229,8 +275,12 @@ def _apply(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], **chan
 
 
 def resize(frames: DataFrame, height: int, width: int, method: str = "bilinear") -> DataFrame:
-    kernel = kernels.RESIZERS[method]
-    return _apply(frames, lambda f: kernel(f, height, width), height=F.lit(height), width=F.lit(width))
+    one = kernels.RESIZERS[method]
+
+    def kernel(stack: np.ndarray) -> np.ndarray:
+        return np.stack([one(f, height, width) for f in stack])
+
+    return _apply(frames, kernel, height=F.lit(height), width=F.lit(width))
 
 
 def reverse_channels(frames: DataFrame) -> DataFrame:
@@ -240,7 +290,7 @@ def reverse_channels(frames: DataFrame) -> DataFrame:
 
 def to_chw(frames: DataFrame) -> DataFrame:
     """Rewrite HWC pixels as CHW. The size columns keep their meaning."""
-    return _apply(frames, lambda f: f.transpose(2, 0, 1), layout=F.lit("CHW"))
+    return _apply(frames, lambda f: f.transpose(0, 3, 1, 2), layout=F.lit("CHW"))
 
 
 def transform(frames: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -251,7 +301,7 @@ def transform(frames: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> Da
 
 
 def normalize(frames: DataFrame, dtype: str = "float32") -> DataFrame:
-    """Bytes to (x/255 - mean)/std as little-endian ``dtype``; the last step before a consumer.
+    """Bytes (HWC) to (x/255 - mean)/std as little-endian ``dtype``; the last step before a consumer.
 
     Zero-filled frames and empty clips were zero before this step and come out as
     -mean/std. Frames of a clip that failed are zero after it.
@@ -259,16 +309,14 @@ def normalize(frames: DataFrame, dtype: str = "float32") -> DataFrame:
 
     @F.arrow_udf("binary")
     def apply(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array, failed: pa.Array) -> pa.Array:
-        out = []
-        for frame, bad in zip(_frame_arrays(data, height, width, channels), failed.to_pylist(), strict=True):
-            values = np.zeros(frame.shape, dtype) if bad else kernels.normalize(frame, dtype)
-            out.append(values.data.cast("B"))
-        return pa.array(out, pa.binary())
+        pairs = zip(_frame_arrays(data, height, width, channels), failed.to_pylist(), strict=True)
+        return pa.array(
+            [bytes(f.size * np.dtype(dtype).itemsize) if bad else kernels.normalize(f, dtype).tobytes() for f, bad in pairs],
+            pa.binary(),
+        )
 
     failed = F.col("status") == schemas.ERROR
-    return frames.withColumns(
-        {"data": apply("data", "height", "width", "channels", failed), "dtype": F.lit(dtype)}
-    )
+    return frames.withColumns({"data": apply("data", "height", "width", "channels", failed), "dtype": F.lit(dtype)})
 
 
 def mean_value(data: Column, dtype: str = "float32") -> Column:

@@ -67,7 +67,7 @@ def frame_decode_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = host.clip_lengths(spark, sf_dir).withColumnRenamed("clip", "video_idx")
     sized = lengths.withColumns({"height": F.lit(224), "width": F.lit(224)})
-    return frames.spread(frames.fan_out(sized, N)).select("video_idx", "k", "frame_idx", "height", "width")
+    return frames.spread(frames.fan_out(sized, N), partitions=8).select("video_idx", "k", "frame_idx", "height", "width")
 
 
 @query(

@@ -32,3 +32,4 @@ OK = "ok"
 ZERO_FILLED = "zero_filled"  # one frame could not be read: zero before normalisation
 EMPTY = "empty"  # clip without frames: zero before normalisation, not an error
 ERROR = "error"  # clip could not be opened: zero after normalisation, frame_count 0
+SEVERITY = (OK, ZERO_FILLED, EMPTY, ERROR)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cliploom import schemas
 from cliploom.functions.paths import VIDEO_SUFFIXES, has_suffix, known_size, video_name
 from cliploom.functions.sampling import duration_or_default, frames_or_default, sample_indices, sample_timestamps
-from cliploom.operators.frames import open_first
+from cliploom.operators.frames import arrow_batch, open_first
 from cliploom.sources.listing import MediaListing
 
 __all__ = [
@@ -135,8 +135,9 @@ def probe(listing: DataFrame, decoders: Sequence) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             infos = [_probe_one(chain, path) for path in batch.column("video_path").to_pylist()]
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*infos, strict=True), list(_ARROW_CLIPS)[4:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=_ARROW_CLIPS)
+            if infos:
+                headers = arrow_batch(infos, pa.schema(list(_ARROW_CLIPS)[4:]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *headers.columns], schema=_ARROW_CLIPS)
 
     return narrow.mapInArrow(run, schemas.CLIPS)
 
