@@ -52,15 +52,29 @@ def spread(requests: DataFrame, partitions: int, by_frame: bool = True) -> DataF
     return requests.repartition(partitions, *keys).sortWithinPartitions("video_idx", "k")
 
 
-def fetch(requests: DataFrame, stored: DataFrame, on: Sequence[str]) -> DataFrame:
+def fetch(requests: DataFrame, stored: DataFrame, on: Sequence[str], rows: int | None = None) -> DataFrame:
     """Read requested frames from a stored frame table; misses keep their row with nulls.
 
-    ``on`` (clip and frame_idx) is unique in ``stored``, so no key is hot on that side,
-    and a request repeats a key at most n times.
+    ``on`` is unique in ``stored`` and a request repeats a key at most n times, so no key
+    is hot. With ``rows``, the number of requests, and few enough of them, their keys are
+    broadcast and filter ``stored`` while it is scanned: only hits are shuffled.
     """
+    if rows is not None and fits_broadcast(requests, rows, len(on)):
+        wanted = requests.select(*on).distinct()
+        stored = stored.join(F.broadcast(wanted), list(on), "left_semi")
     return requests.join(stored, list(on), "left")
 
 
+# A broadcast key of 8 bytes takes about this much in the hash table.
+_BYTES_PER_KEY = 64
+
+
+def fits_broadcast(df: DataFrame, rows: int, keys: int) -> bool:
+    """Whether ``rows`` rows of ``keys`` numbers stay below the session's broadcast limit."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return rows * keys * _BYTES_PER_KEY <= int(str(limit).removesuffix("b"))
+
+
 def zero_fill(frames: DataFrame, zeros: Column, data: str = "data") -> DataFrame:
     """Replace missing pixels by zeros and flag the row."""
     missing = F.col(data).isNull()

@@ -90,7 +90,7 @@ def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("B7", "SELECT lang, count(*) AS clips, sum(n_chars)::BIGINT AS total_frames FROM documents GROUP BY lang")
 def repartition_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = host.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    spread = batches.repartition(docs, 7)
+    spread = batches.repartition(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return spread.groupBy("lang").agg(F.count(F.lit(1)).alias("clips"), F.sum("n_chars").alias("total_frames"))
 
 

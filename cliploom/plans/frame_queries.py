@@ -16,21 +16,31 @@ H, W, C = host.FRAME
 SMALL = (5, 3)
 
 
-def _values(df: DataFrame, key: str, values: Column, digits: int | None = None) -> DataFrame:
-    """One row per array element: key, pos, value."""
-    rows = df.select(key, F.posexplode(values).alias("pos", "value"))
-    return rows.withColumn("value", F.round("value", digits)) if digits else rows
-
-
 def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip, k, frame_idx) for every clip."""
     return frames.fan_out(host.clip_lengths(spark, sf_dir), N).select("clip", "k", "frame_idx")
 
 
-def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _n_wanted(spark: SparkSession, sf_dir: str) -> int:
+    return host.clip_lengths(spark, sf_dir).count() * N
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, frame_idx, k, vec_id) for every sampled frame."""
+    keys = host.frame_keys(spark, sf_dir)
+    return frames.fetch(_wanted(spark, sf_dir), keys, ["clip", "frame_idx"], _n_wanted(spark, sf_dir))
+
+
+def _sampled(spark: SparkSession, sf_dir: str, stored: DataFrame | None = None) -> DataFrame:
     """Sampled frames with pixels. Keys are matched first; pixels join last, by vec_id."""
-    keys = frames.fetch(_wanted(spark, sf_dir), host.frame_keys(spark, sf_dir), ["clip", "frame_idx"])
-    return keys.join(host.frame_pixels(spark, sf_dir).drop("clip"), "vec_id")
+    stored = host.frame_pixels(spark, sf_dir) if stored is None else stored
+    return frames.fetch(_found(spark, sf_dir), stored.drop("clip"), ["vec_id"], _n_wanted(spark, sf_dir))
+
+
+def _values(df: DataFrame, key: str, values: Column, digits: int | None = None) -> DataFrame:
+    """One row per array element: key, pos, value."""
+    rows = df.select(key, F.posexplode(values).alias("pos", "value"))
+    return rows.withColumn("value", F.round("value", digits)) if digits else rows
 
 
 def _unnest(key: str, source: str, values: str, value: str = "value") -> str:
@@ -59,15 +69,15 @@ _SQL_SAMPLED = f"WITH {host.SQL_FRAMES}, {host.SQL_WANTED}"
 
 @query("P6", f"{_SQL_SAMPLED} SELECT clip, k, frame_idx, vec_id FROM wanted JOIN frames USING (clip, frame_idx)")
 def frame_decode_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frames.fetch(_wanted(spark, sf_dir), host.frame_keys(spark, sf_dir), ["clip", "frame_idx"])
-    return found.select("clip", "k", "frame_idx", "vec_id")
+    return _found(spark, sf_dir).select("clip", "k", "frame_idx", "vec_id")
 
 
 @query("P7", f"{_SQL_SAMPLED} SELECT clip AS video_idx, k, frame_idx, 224 AS height, 224 AS width FROM wanted")
 def frame_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = host.clip_lengths(spark, sf_dir).withColumnRenamed("clip", "video_idx")
     sized = lengths.withColumns({"height": F.lit(224), "width": F.lit(224)})
-    return frames.spread(frames.fan_out(sized, N), partitions=8).select("video_idx", "k", "frame_idx", "height", "width")
+    tasks = frames.tasks_for(_n_wanted(spark, sf_dir), 1024, spark.sparkContext.defaultParallelism)
+    return frames.spread(frames.fan_out(sized, N), tasks).select("video_idx", "k", "frame_idx", "height", "width")
 
 
 @query(
@@ -79,8 +89,7 @@ FROM wanted w LEFT JOIN kept USING (clip, frame_idx)""",
 )
 def zero_fill_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     readable = host.frame_pixels(spark, sf_dir).where(F.col("vec_id") % 7 != 0)
-    keys = frames.fetch(_wanted(spark, sf_dir), host.frame_keys(spark, sf_dir), ["clip", "frame_idx"])
-    found = frames.fetch(keys, readable.drop("clip"), ["vec_id"])
+    found = _sampled(spark, sf_dir, readable)
     filled = frames.zero_fill(found, F.array_repeat(F.lit(0), H * W * C), data="px")
     total = F.aggregate("px", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("total")
     return filled.select("clip", "k", "frame_idx", "status", total)
@@ -227,8 +236,7 @@ def user_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM wanted JOIN frames USING (clip, frame_idx) GROUP BY clip""",
 )
 def frame_count_and_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frames.fetch(_wanted(spark, sf_dir), host.frame_keys(spark, sf_dir), ["clip", "frame_idx"])
-    counted = found.groupBy("clip").agg(F.count("vec_id").alias("n"))
+    counted = _found(spark, sf_dir).groupBy("clip").agg(F.count("vec_id").alias("n"))
     shape = clips.frames_shape(F.col("n"), *[F.lit(v) for v in (H, W, C)])
     count = clips.frame_count(F.lit("ok"), F.col("n"))
     return counted.select("clip", count.alias("frame_count"), F.array_join(shape, "x").alias("frames_shape"))

@@ -16,20 +16,16 @@ from cliploom.session import scratch_path
 def save(df: DataFrame, path: str, buckets: int | None = None, key: str | None = None) -> str:
     """Write parquet. With ``buckets``, folders by hash of ``key`` that a reader can prune.
 
-    The salt spreads a bucket over several tasks, so a hot key does not end in one file.
+    Rebalancing lets Spark split a large bucket over several tasks and join small ones.
     """
-    if not buckets:
+    if buckets:
+        bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        bucketed.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    else:
         df.write.mode("overwrite").parquet(path)
-        return path
-    bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-    bucketed.repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(path)
     return path
 
 
-SALTS = 16
-
-
 def load(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Read a saved dataset. Raises FileNotFoundError when there is none."""
     reader = spark.read.schema(schema) if schema else spark.read

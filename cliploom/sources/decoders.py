@@ -100,29 +100,42 @@ class Y4MClip:
         luma = planes[:luma_size].reshape(self.height, self.width)
         if self._step is None:
             return np.repeat(luma[..., None], 3, axis=2)
-        shape = self._chroma_shape()
-        chroma = planes[luma_size:].reshape(2, *shape)
-        across, down = self._step
-        if self._step != (1, 1):
-            chroma = chroma.repeat(down, axis=1).repeat(across, axis=2)[:, : self.height, : self.width]
-        return yuv_to_rgb(luma, chroma[0], chroma[1])
+        chroma = planes[luma_size:].reshape(2, *self._chroma_shape())
+        return yuv_to_rgb(luma, chroma[0], chroma[1], self._step)
 
     def close(self) -> None:
         self._file.close()
 
 
-def yuv_to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Studio-range BT.601 to RGB bytes."""
-    luma = (y.astype(np.float32) - 16.0) * np.float32(255 / 219)
-    blue = u.astype(np.float32) - 128.0
-    red = v.astype(np.float32) - 128.0
-    # BT.601 luma weights 0.299, 0.587, 0.114, chroma range 224.
-    scale = np.float32(255 / 224)
-    rgb = np.empty((*y.shape, 3), np.float32)
-    rgb[..., 0] = luma + scale * 2 * (1 - 0.299) * red
-    rgb[..., 1] = luma - scale * 2 * (0.114 * (1 - 0.114) * blue + 0.299 * (1 - 0.299) * red) / 0.587
-    rgb[..., 2] = luma + scale * 2 * (1 - 0.114) * blue
-    return np.clip(rgb + 0.5, 0, 255).astype(np.uint8)
+# BT.601 luma weights of red and blue; studio range 16-235 and 16-240.
+_RED, _BLUE = 0.299, 0.114
+_ONE = 1 << 16
+_LEVELS = np.arange(256)
+
+
+def _fixed_point(factor: float, zero: int) -> np.ndarray:
+    return np.round((_LEVELS - zero) * factor * _ONE).astype(np.int32)
+
+
+_LUMA = _fixed_point(255 / 219, 16) + _ONE // 2
+_V_TO_RED = _fixed_point(255 / 224 * 2 * (1 - _RED), 128)
+_U_TO_BLUE = _fixed_point(255 / 224 * 2 * (1 - _BLUE), 128)
+_V_TO_GREEN = _fixed_point(-255 / 224 * 2 * _RED * (1 - _RED) / (1 - _RED - _BLUE), 128)
+_U_TO_GREEN = _fixed_point(-255 / 224 * 2 * _BLUE * (1 - _BLUE) / (1 - _RED - _BLUE), 128)
+
+
+def yuv_to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray, step: tuple[int, int] = (1, 1)) -> np.ndarray:
+    """Studio-range BT.601 planes to RGB bytes; chroma samples repeat over their block."""
+    luma = _LUMA[y]
+    across, down = step
+    rgb = np.empty((*y.shape, 3), np.uint8)
+    for channel, offset in enumerate((_V_TO_RED[v], _U_TO_GREEN[u] + _V_TO_GREEN[v], _U_TO_BLUE[u])):
+        if step != (1, 1):
+            offset = offset.repeat(down, axis=0).repeat(across, axis=1)[: y.shape[0], : y.shape[1]]
+        value = luma + offset
+        value >>= 16
+        rgb[..., channel] = np.clip(value, 0, 255, out=value)
+    return rgb
 
 
 class OpenCvDecoder:
