@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from cliploom import schemas
 from cliploom.functions import kernels
 from cliploom.functions.sampling import sample_indices
+from cliploom.operators.sizing import fits_broadcast
+from cliploom.session import shared_dir
 
 # Frames per Arrow batch leaving a decode job: 64 frames of 224x224x3 are 10 MB.
 FRAMES_PER_BATCH = 64
@@ -52,29 +54,22 @@ def spread(requests: DataFrame, partitions: int, by_frame: bool = True) -> DataF
     return requests.repartition(partitions, *keys).sortWithinPartitions("video_idx", "k")
 
 
-def fetch(requests: DataFrame, stored: DataFrame, on: Sequence[str], rows: int | None = None) -> DataFrame:
+def fetch(requests: DataFrame, stored: DataFrame, on: Sequence[str]) -> DataFrame:
     """Read requested frames from a stored frame table; misses keep their row with nulls.
 
     ``on`` is unique in ``stored`` and a request repeats a key at most n times, so no key
-    is hot. With ``rows``, the number of requests, and few enough of them, their keys are
-    broadcast and filter ``stored`` while it is scanned: only hits are shuffled.
+    is hot. Requests are narrow and used more than once, so they are checkpointed. When
+    they are few, their keys are broadcast and filter ``stored`` during its scan: only
+    hits are shuffled.
     """
-    if rows is not None and fits_broadcast(requests, rows, len(on)):
-        wanted = requests.select(*on).distinct()
-        stored = stored.join(F.broadcast(wanted), list(on), "left_semi")
+    shared_dir(requests.sparkSession)
+    requests = requests.checkpoint()
+    keys = requests.select(*on).dropna()
+    if fits_broadcast(keys, requests.count()):
+        stored = stored.join(F.broadcast(keys), list(on), "left_semi")
     return requests.join(stored, list(on), "left")
 
 
-# A broadcast key of 8 bytes takes about this much in the hash table.
-_BYTES_PER_KEY = 64
-
-
-def fits_broadcast(df: DataFrame, rows: int, keys: int) -> bool:
-    """Whether ``rows`` rows of ``keys`` numbers stay below the session's broadcast limit."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    return rows * keys * _BYTES_PER_KEY <= int(str(limit).removesuffix("b"))
-
-
 def zero_fill(frames: DataFrame, zeros: Column, data: str = "data") -> DataFrame:
     """Replace missing pixels by zeros and flag the row."""
     missing = F.col(data).isNull()
@@ -96,13 +91,14 @@ def decode(
 ) -> DataFrame:
     """Read, resize and return the requested frames as ``schemas.FRAMES``.
 
-    ``requests`` has ``video_idx, video_path, k, frame_idx``. Each clip goes to the
-    preferred decoder, or to the first one that opens it. A frame that cannot be read
-    becomes zeros (``zero_filled``); a clip that no decoder opens becomes zeros with
-    ``status = error`` and the message. The job itself never fails on bad media.
+    ``requests`` has ``video_idx, video_path, k, frame_idx`` and may carry the probe's
+    ``error``. Each clip goes to the preferred decoder, or to the first one that opens it.
+    A frame that cannot be read becomes zeros (``zero_filled``); a clip that no decoder
+    opens becomes zeros with ``status = error`` and the message. The job itself never
+    fails on bad media.
     """
     chain = ordered_chain(decoders, prefer)
-    narrow = requests.select("video_idx", "video_path", "k", "frame_idx")
+    narrow = _narrow(requests)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _read_requests(stream, chain, height, width, method)
@@ -122,7 +118,7 @@ def decode_stacked(
     as ``spread(..., by_frame=False)`` does. Returns ``schemas.TENSORS``.
     """
     chain = ordered_chain(decoders, prefer)
-    narrow = requests.select("video_idx", "video_path", "k", "frame_idx")
+    narrow = _narrow(requests)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _read_requests(stream, chain, height, width, method)
@@ -136,6 +132,11 @@ def decode_stacked(
     return narrow.mapInArrow(run, schemas.TENSORS)
 
 
+def _narrow(requests: DataFrame) -> DataFrame:
+    error = F.col("error") if "error" in requests.columns else F.lit(None).cast("string").alias("error")
+    return requests.select("video_idx", "video_path", "k", "frame_idx", error)
+
+
 def ordered_chain(decoders: Sequence, prefer: str | None) -> list:
     """The decoder called ``prefer`` alone (any case), or all of them in order."""
     named = [d for d in decoders if prefer and d.name.lower() == prefer.lower()]
@@ -189,8 +190,11 @@ def _read_requests(stream, chain, height, width, method):
     current, clip, error = None, None, None
     try:
         for batch in stream:
-            for row in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+            for *row, failure in zip(*[column.to_pylist() for column in batch.columns], strict=True):
                 video_idx, path, _, at = row
+                if failure is not None:
+                    yield row, zeros, schemas.ERROR, failure
+                    continue
                 if at is None:
                     yield row, zeros, schemas.EMPTY, None
                     continue

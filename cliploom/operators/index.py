@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.operators.sizing import broadcast_if_small
 from cliploom.session import shared_dir
 
 # monotonically_increasing_id keeps the partition above bit 33 and the position
@@ -60,4 +61,5 @@ def _group_shifts(slots: DataFrame, by: Sequence[str]) -> DataFrame:
     earlier = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     runs = slots.groupBy(_PART, *by).agg(F.count(F.lit(1)).alias("__n"), F.min(_POS).alias("__first"))
     shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")
-    return runs.select(*[F.col(c).alias(_OF + c) for c in (_PART, *by)], shift.alias(_SHIFT))
+    shifts = runs.select(*[F.col(c).alias(_OF + c) for c in (_PART, *by)], shift.alias(_SHIFT)).checkpoint()
+    return broadcast_if_small(shifts, shifts.count())

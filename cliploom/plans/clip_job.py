@@ -41,7 +41,9 @@ def clips(listing: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
 
 def requests(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
     """Frames to read. The probe's tasks are even already, so nothing is shuffled."""
-    return frames.fan_out(clips_df, spec.n_frames).select("video_idx", "video_path", "k", "frame_idx")
+    return frames.fan_out(clips_df, spec.n_frames).select(
+        "video_idx", "video_path", "k", "frame_idx", "error"
+    )
 
 
 def frame_rows(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:

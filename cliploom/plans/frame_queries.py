@@ -21,20 +21,15 @@ def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.fan_out(host.clip_lengths(spark, sf_dir), N).select("clip", "k", "frame_idx")
 
 
-def _n_wanted(spark: SparkSession, sf_dir: str) -> int:
-    return host.clip_lengths(spark, sf_dir).count() * N
-
-
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip, frame_idx, k, vec_id) for every sampled frame."""
-    keys = host.frame_keys(spark, sf_dir)
-    return frames.fetch(_wanted(spark, sf_dir), keys, ["clip", "frame_idx"], _n_wanted(spark, sf_dir))
+    return frames.fetch(_wanted(spark, sf_dir), host.frame_keys(spark, sf_dir), ["clip", "frame_idx"])
 
 
 def _sampled(spark: SparkSession, sf_dir: str, stored: DataFrame | None = None) -> DataFrame:
     """Sampled frames with pixels. Keys are matched first; pixels join last, by vec_id."""
-    stored = host.frame_pixels(spark, sf_dir) if stored is None else stored
-    return frames.fetch(_found(spark, sf_dir), stored.drop("clip"), ["vec_id"], _n_wanted(spark, sf_dir))
+    stored = host.stored_frames(spark, sf_dir) if stored is None else stored
+    return host.as_pixels(frames.fetch(_found(spark, sf_dir), stored, ["vec_id"]))
 
 
 def _values(df: DataFrame, key: str, values: Column, digits: int | None = None) -> DataFrame:
@@ -76,7 +71,7 @@ def frame_decode_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = host.clip_lengths(spark, sf_dir).withColumnRenamed("clip", "video_idx")
     sized = lengths.withColumns({"height": F.lit(224), "width": F.lit(224)})
-    tasks = frames.tasks_for(_n_wanted(spark, sf_dir), 1024, spark.sparkContext.defaultParallelism)
+    tasks = frames.tasks_for(sized.count() * N, 1024, spark.sparkContext.defaultParallelism)
     return frames.spread(frames.fan_out(sized, N), tasks).select("video_idx", "k", "frame_idx", "height", "width")
 
 
@@ -88,7 +83,7 @@ SELECT w.clip, w.k, w.frame_idx, CASE WHEN vec_id IS NULL THEN 'zero_filled' ELS
 FROM wanted w LEFT JOIN kept USING (clip, frame_idx)""",
 )
 def zero_fill_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    readable = host.frame_pixels(spark, sf_dir).where(F.col("vec_id") % 7 != 0)
+    readable = host.stored_frames(spark, sf_dir).where(F.col("vec_id") % 7 != 0)
     found = _sampled(spark, sf_dir, readable)
     filled = frames.zero_fill(found, F.array_repeat(F.lit(0), H * W * C), data="px")
     total = F.aggregate("px", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("total")

@@ -42,11 +42,20 @@ def clip_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.groupBy(F.col("label").alias("clip")).agg(F.count(F.lit(1)).alias("total_frames"))
 
 
+def stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, embedding): frames as stored."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def as_pixels(df: DataFrame) -> DataFrame:
+    """Turn ``embedding`` into ``px``, a 4x4x3 frame as an array of bytes."""
+    return df.withColumn("px", pixels.from_unit(F.slice("embedding", 1, 48))).drop("embedding")
+
+
 def frame_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, clip, px): 4x4x3 frames as arrays of bytes."""
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.col("label").alias("clip"), pixels.from_unit(F.slice("embedding", 1, 48)).alias("px")
-    )
+    """(vec_id, clip, px) for every frame."""
+    frames = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("clip"), "embedding")
+    return as_pixels(frames)
 
 
 def grey_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
