@@ -8,6 +8,7 @@ Arrays are flat, row by row, channels innermost (HWC).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,24 @@ MEAN = (0.485, 0.456, 0.406)
 STD = (0.229, 0.224, 0.225)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An outer expression used inside a lambda is otherwise computed once per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _gather(px: Column, positions: Column) -> Column:
+    """Elements of ``px`` at an array of positions."""
+    return _once(px, lambda source: F.transform(positions, lambda at: F.get(source, at)))
+
+
+def _rearranged(px: Column, source_of: Callable[[Column], Column]) -> Column:
+    """As long as ``px``; element i comes from position ``source_of(i)``."""
+    return _once(px, lambda source: F.transform(source, lambda _, i: F.get(source, source_of(i))))
+
+
 def from_unit(values: Column) -> Column:
     """Map numbers in [-1, 1] to bytes 0..255, as array<int>."""
     return F.transform(
@@ -38,13 +57,13 @@ def normalize(px: Column, mean: tuple[float, ...] = MEAN, std: tuple[float, ...]
 
 def reverse_channels(px: Column, channels: int = 3) -> Column:
     """BGR to RGB and back."""
-    return F.transform(px, lambda _, i: F.get(px, i - i % channels + (channels - 1) - i % channels))
+    return _rearranged(px, lambda i: i - i % channels + (channels - 1) - i % channels)
 
 
 def to_chw(px: Column, height: int, width: int, channels: int = 3) -> Column:
     """HWC to CHW."""
     plane = height * width
-    return F.transform(px, lambda _, i: F.get(px, (i % plane) * channels + F.floor(i / plane).cast("int")))
+    return _rearranged(px, lambda i: (i % plane) * channels + F.floor(i / plane).cast("int"))
 
 
 def flip_horizontal(px: Column, width: int, channels: int = 3) -> Column:
@@ -55,12 +74,12 @@ def flip_horizontal(px: Column, width: int, channels: int = 3) -> Column:
         column = F.floor((i % row) / channels).cast("int")
         return i - column * channels + (width - 1 - column) * channels
 
-    return F.transform(px, lambda _, i: F.get(px, source(i)))
+    return _rearranged(px, source)
 
 
 def adjust_brightness(px: Column, factor: Column) -> Column:
     """Scale bytes by a factor, rounded down and clipped to 0..255."""
-    return F.transform(px, lambda x: F.least(F.lit(255), F.floor(x * factor)).cast("int"))
+    return _once(factor, lambda f: F.transform(px, lambda x: F.least(F.lit(255), F.floor(x * f)).cast("int")))
 
 
 def resize_nearest(px: Column, src: tuple[int, int], dst: tuple[int, int], channels: int = 1) -> Column:
@@ -68,7 +87,7 @@ def resize_nearest(px: Column, src: tuple[int, int], dst: tuple[int, int], chann
     rows = [min(int(i * (src[0] / dst[0])), src[0] - 1) for i in range(dst[0])]
     cols = [min(int(j * (src[1] / dst[1])), src[1] - 1) for j in range(dst[1])]
     offsets = [(y * src[1] + x) * channels + c for y in rows for x in cols for c in range(channels)]
-    return F.transform(F.lit(offsets), lambda at: F.get(px, at))
+    return _gather(px, F.lit(offsets))
 
 
 def _taps(old: int, new: int) -> list[tuple[int, int, float]]:
@@ -98,12 +117,12 @@ def resize_bilinear(px: Column, src: tuple[int, int], dst: tuple[int, int], chan
                     )
                 )
 
-    def blend(t: Column) -> Column:
-        upper = F.get(px, t.a) * (1 - t.fx) + F.get(px, t.b) * t.fx
-        lower = F.get(px, t.c) * (1 - t.fx) + F.get(px, t.d) * t.fx
+    def blend(source: Column, t: Column) -> Column:
+        upper = F.get(source, t.a) * (1 - t.fx) + F.get(source, t.b) * t.fx
+        lower = F.get(source, t.c) * (1 - t.fx) + F.get(source, t.d) * t.fx
         return upper * (1 - t.fy) + lower * t.fy
 
-    return F.transform(F.array(*corners), blend)
+    return _once(px, lambda source: F.transform(F.array(*corners), lambda t: blend(source, t)))
 
 
 def mean_value(values: Column) -> Column:
@@ -136,8 +155,9 @@ def synthetic_pixels(seed: int, key: Column, size: int) -> Column:
         F.sequence(F.lit(0), F.lit(math.ceil(size / 16) - 1)),
         lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), b.cast("string"))),
     )
-    digits = F.array_join(blocks, "")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
-    )
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def byte(digits: Column, i: Column) -> Column:
+        return F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+
+    return _once(F.array_join(blocks, ""), lambda digits: F.transform(places, lambda i: byte(digits, i)))

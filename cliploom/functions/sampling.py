@@ -18,27 +18,22 @@ def sample_indices(total: Column, n: int) -> Column:
     integers differs from the floating-point rule for some n.
     """
     last = total.cast("bigint") - 1
-    if n == 1:
-        positions = F.array(F.lit(0).cast("bigint"))
-    else:
-        step = last / F.lit(float(n - 1))
-        positions = F.transform(
-            F.sequence(F.lit(0), F.lit(n - 1)),
-            lambda i: F.when(i == n - 1, last).otherwise(F.floor(i * step)),
-        )
-    return F.when(total > 0, positions).otherwise(F.array().cast("array<bigint>"))
+    step = last / F.lit(float(max(1, n - 1)))
+    # Spelled out, not a lambda: compiled code, and the step is computed once.
+    positions = [F.floor(F.lit(float(i)) * step) for i in range(n)]
+    if n > 1:
+        positions[-1] = last
+    return F.when(total > 0, F.array(*positions)).otherwise(F.array().cast("array<bigint>"))
 
 
 def sample_timestamps(duration: Column, n: int) -> Column:
     """n times in seconds from 0 to duration, both ends included, as array<double>."""
     end = duration.cast("double")
-    if n == 1:
-        return F.array(F.lit(0.0))
-    step = end / F.lit(float(n - 1))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.when(i == n - 1, end).otherwise(i * step),
-    )
+    step = end / F.lit(float(max(1, n - 1)))
+    times = [F.lit(float(i)) * step for i in range(n)]
+    if n > 1:
+        times[-1] = end
+    return F.array(*times)
 
 
 def frame_at(timestamp: Column, fps: Column, total: Column) -> Column:

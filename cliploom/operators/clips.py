@@ -60,6 +60,11 @@ def clip_status(status: str = "status") -> Column:
     return F.get(severity, (worst - 1).cast("int"))
 
 
+def planned_status(total: Column) -> Column:
+    """Status known before decode: a clip without frames is empty, and gives n zero frames."""
+    return F.when(total > 0, schemas.OK).otherwise(schemas.EMPTY)
+
+
 def frame_count(status: Column, n_frames: Column) -> Column:
     """Frames delivered: 0 for a clip that failed."""
     return F.when(status == schemas.ERROR, 0).otherwise(n_frames).cast("int")

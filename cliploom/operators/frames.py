@@ -27,15 +27,18 @@ FRAMES_PER_BATCH = 64
 # --- sampling ---------------------------------------------------------------
 
 
+def positions(total: Column, n: int) -> Column:
+    """The n frames to read from a clip, as array<bigint>: all null for a clip without frames."""
+    sampled = sample_indices(total, n)
+    return F.when(total > 0, sampled).otherwise(F.array(*[F.lit(None).cast("bigint")] * n))
+
+
 def fan_out(clips: DataFrame, n: int, total: str = "total_frames") -> DataFrame:
     """One row per frame to read: adds ``k`` (0..n-1) and ``frame_idx``.
 
     A clip without frames still gives n rows, with a null ``frame_idx``.
     """
-    wanted = F.when(F.col(total) > 0, sample_indices(F.col(total), n)).otherwise(
-        F.array_repeat(F.lit(None).cast("bigint"), n)
-    )
-    return clips.select("*", F.posexplode(wanted).alias("k", "frame_idx"))
+    return clips.select("*", F.posexplode(positions(F.col(total), n)).alias("k", "frame_idx"))
 
 
 def tasks_for(rows: int, per_task: int, least: int = 1) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,19 +39,20 @@ def dense_index(
         .withColumn(_PART, F.shiftright(_SLOT, _POSITION_BITS).cast("int"))
         .withColumn(_POS, F.col(_SLOT).bitwiseAND((1 << _POSITION_BITS) - 1))
     )
-    shifts = _group_shifts(slots, by) if by else _partition_shifts(slots)
-    same_group = [F.col(c).eqNullSafe(F.col(_OF + c)) for c in (_PART, *by)]
-    return slots.join(shifts, same_group).select(*df.columns, (F.col(_POS) + F.col(_SHIFT)).alias(name))
+    if by:
+        shifts = _group_shifts(slots, by)
+        same_group = [F.col(c).eqNullSafe(F.col(_OF + c)) for c in (_PART, *by)]
+        slots, shift = slots.join(shifts, same_group), F.col(_SHIFT)
+    else:
+        shift = F.get(_rows_before(slots), F.col(_PART))
+    return slots.select(*df.columns, (F.col(_POS) + shift).alias(name))
 
 
-def _partition_shifts(slots: DataFrame) -> DataFrame:
-    """Rows before each partition. One row per partition, so it is safe to broadcast."""
-    counts = sorted(slots.groupBy(_PART).count().collect())
-    shifts, before = [], 0
-    for part, count in counts:
-        shifts.append((part, before))
-        before += count
-    return F.broadcast(slots.sparkSession.createDataFrame(shifts, f"{_OF}{_PART} int, {_SHIFT} bigint"))
+def _rows_before(slots: DataFrame) -> Column:
+    """Rows in earlier partitions, as a constant array: one number per partition."""
+    counts = {part: n for part, n in slots.groupBy(_PART).count().collect()}
+    before = accumulate((counts.get(part, 0) for part in range(max(counts, default=0))), initial=0)
+    return F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
 
 
 def _group_shifts(slots: DataFrame, by: Sequence[str]) -> DataFrame:

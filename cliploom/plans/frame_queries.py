@@ -33,9 +33,14 @@ def _sampled(spark: SparkSession, sf_dir: str, stored: DataFrame | None = None)
 
 
 def _values(df: DataFrame, key: str, values: Column, digits: int | None = None) -> DataFrame:
-    """One row per array element: key, pos, value."""
-    rows = df.select(key, F.posexplode(values).alias("pos", "value"))
-    return rows.withColumn("value", F.round("value", digits)) if digits else rows
+    """One row per array element: key, pos, value.
+
+    Explode an expression, not a column: for a column Spark infers a filter on its size
+    and computes the pixels a second time below.
+    """
+    if digits:
+        values = F.transform(values, lambda x: F.round(x, digits))
+    return df.select(key, F.posexplode(values).alias("pos", "value"))
 
 
 def _unnest(key: str, source: str, values: str, value: str = "value") -> str:
@@ -98,13 +103,13 @@ def zero_fill_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
 )
 def empty_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = frames.fan_out(host.order_clips(spark, sf_dir), N)
-    found = wanted.withColumn("data", F.when(F.col("frame_idx").isNotNull(), F.lit(1)))
-    filled = frames.zero_fill(found, F.lit(0))
-    return filled.groupBy("o_orderkey", "total_frames").agg(
-        F.count(F.lit(1)).alias("n_frames"),
-        F.count_if(F.col("data") == 0).alias("zero_frames"),
-        clips.clip_status().alias("status"),
+    orders = host.order_clips(spark, sf_dir).withColumn("plan", frames.positions(F.col("total_frames"), N))
+    return orders.select(
+        "o_orderkey",
+        "total_frames",
+        F.size("plan").alias("n_frames"),
+        F.size(F.filter("plan", F.isnull)).alias("zero_frames"),
+        clips.planned_status(F.col("total_frames")).alias("status"),
     )
 
 

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Recording the call site of every Column call makes building long expressions slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
