@@ -12,7 +12,7 @@ DataFrames (or Columns):
 """
 
 from cliploom.operators import batches, clips, frames, runs
-from cliploom.session import build_session, shared_dir
+from cliploom.session import build_session, shared_dir, ship_package
 from cliploom.sources import dataset, media
 
-__all__ = ["batches", "build_session", "clips", "dataset", "frames", "media", "runs", "shared_dir"]
+__all__ = ["batches", "build_session", "clips", "dataset", "frames", "media", "runs", "shared_dir", "ship_package"]

@@ -5,6 +5,8 @@ Frames are (height, width, channels) uint8 arrays.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from cliploom.functions.pixels import MEAN, STD
@@ -21,31 +23,38 @@ def _axis_taps(old: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, np.minimum(low + 1, old - 1), weight
 
 
+@lru_cache(maxsize=32)
+def _bilinear_taps(old_h: int, old_w: int, height: int, width: int, channels: int) -> tuple[np.ndarray, ...]:
+    """Row and element positions with their weights, in the narrowest type that holds the products."""
+    number = np.int32 if 4 * height * width * 256 < 2**31 else np.int64
+    y0, y1, wy = _axis_taps(old_h, height)
+    x0, x1, wx = _axis_taps(old_w, width)
+    left, right = ((x[:, None] * channels + np.arange(channels)).ravel() for x in (x0, x1))
+    down = wy.astype(number)[:, None]
+    across = np.repeat(wx, channels).astype(number)
+    return y0, y1, 2 * height - down, down, left, right, 2 * width - across, across
+
+
 def bilinear(frame: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear resize, half-pixel centres, edge clamp, rounded half up. Exact, in integers."""
     old_h, old_w, channels = frame.shape
     if (old_h, old_w) == (height, width):
         return frame
-    y0, y1, wy = _axis_taps(old_h, height)
-    x0, x1, wx = _axis_taps(old_w, width)
-    whole = 4 * height * width
-    number = np.int32 if whole * 256 < 2**31 else np.int64
+    y0, y1, up, down, left, right, back, across = _bilinear_taps(old_h, old_w, height, width, channels)
     lines = frame.reshape(old_h, old_w * channels)
-    left, right = ((x[:, None] * channels + np.arange(channels)).ravel() for x in (x0, x1))
-    across = np.repeat(wx, channels).astype(number)
-    down = wy.astype(number)[:, None]
 
     def line(y: np.ndarray) -> np.ndarray:
         source = lines[y]
-        values = source[:, left] * (2 * width - across)
+        values = source[:, left] * back
         values += source[:, right] * across
         return values
 
     out = line(y0)
-    out *= 2 * height - down
+    out *= up
     lower = line(y1)
     lower *= down
     out += lower
+    whole = 4 * height * width
     out += whole // 2
     out //= whole
     return out.astype(np.uint8).reshape(height, width, channels)

@@ -7,6 +7,7 @@ bytes until the last step.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import batched, groupby
 
 import numpy as np
@@ -101,15 +102,15 @@ def decode(
     fails on bad media.
     """
     chain = ordered_chain(decoders, prefer)
-    narrow = _narrow(requests)
+    schema = schemas.arrow(schemas.FRAMES)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _read_requests(stream, chain, height, width, method)
         rows = ((*row, height, width, 3, "HWC", data, status, error) for row, data, status, error in read)
         for some in batched(rows, FRAMES_PER_BATCH):
-            yield arrow_batch(some, _ARROW_FRAMES)
+            yield schemas.arrow_batch(some, schema)
 
-    return narrow.mapInArrow(run, schemas.FRAMES)
+    return _narrow(requests).mapInArrow(run, schemas.FRAMES)
 
 
 def decode_stacked(
@@ -121,18 +122,39 @@ def decode_stacked(
     as ``spread(..., by_frame=False)`` does. Returns ``schemas.TENSORS``.
     """
     chain = ordered_chain(decoders, prefer)
-    narrow = _narrow(requests)
+    schema = schemas.arrow(schemas.TENSORS)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _read_requests(stream, chain, height, width, method)
-        for (video_idx, path), group in groupby(read, key=lambda r: r[0][:2]):
-            _, data, statuses, errors = zip(*group, strict=True)
-            status = max(statuses, key=schemas.SEVERITY.index)
-            delivered = 0 if status == schemas.ERROR else len(data)
-            row = (video_idx, path, len(data), height, width, 3, "uint8", "HWC", b"".join(data), delivered)
-            yield arrow_batch([(*row, status, next(filter(None, errors), None))], _ARROW_TENSORS)
+        for clip in _read_clips(stream, chain, height, width, method):
+            tensor = (height, width, 3, "uint8", "HWC", b"".join(clip.data))
+            row = (clip.video_idx, clip.path, len(clip.data), *tensor, clip.delivered, clip.status, clip.error)
+            yield schemas.arrow_batch([row], schema)
+
+    return _narrow(requests).mapInArrow(run, schemas.TENSORS)
+
+
+def decode_means(
+    requests: DataFrame, decoders: Sequence, height: int, width: int, method: str = "bilinear", prefer: str | None = None
+) -> DataFrame:
+    """Mean of each clip's normalised frames: what ``decode_stacked``, ``normalize`` and
+    ``mean_value`` give, with no pixel leaving the decode task. Returns ``schemas.CLIP_MEANS``.
+    """
+    chain = ordered_chain(decoders, prefer)
+    schema = schemas.arrow(schemas.CLIP_MEANS)
+
+    def rows(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for clip in _read_clips(stream, chain, height, width, method):
+            mean = 0.0
+            if clip.status != schemas.ERROR:
+                frames = [np.frombuffer(d, np.uint8).reshape(height, width, 3) for d in clip.data]
+                mean = float(np.mean([kernels.normalize(f).mean(dtype=np.float64) for f in frames]))
+            yield clip.video_idx, clip.path, clip.delivered, clip.status, clip.error, mean
 
-    return narrow.mapInArrow(run, schemas.TENSORS)
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batched(rows(stream), FRAMES_PER_BATCH):
+            yield schemas.arrow_batch(some, schema)
+
+    return _narrow(requests).mapInArrow(run, schemas.CLIP_MEANS)
 
 
 def _narrow(requests: DataFrame) -> DataFrame:
@@ -146,46 +168,6 @@ def ordered_chain(decoders: Sequence, prefer: str | None) -> list:
     return named[:1] or list(decoders)
 
 
-_ARROW_FRAMES = pa.schema(
-    [
-        ("video_idx", pa.int64()),
-        ("video_path", pa.string()),
-        ("k", pa.int32()),
-        ("frame_idx", pa.int64()),
-        ("height", pa.int32()),
-        ("width", pa.int32()),
-        ("channels", pa.int32()),
-        ("layout", pa.string()),
-        ("data", pa.binary()),
-        ("status", pa.string()),
-        ("error", pa.string()),
-    ]
-)
-
-
-_ARROW_TENSORS = pa.schema(
-    [
-        ("video_idx", pa.int64()),
-        ("video_path", pa.string()),
-        ("n_frames", pa.int32()),
-        ("height", pa.int32()),
-        ("width", pa.int32()),
-        ("channels", pa.int32()),
-        ("dtype", pa.string()),
-        ("layout", pa.string()),
-        ("data", pa.binary()),
-        ("frame_count", pa.int32()),
-        ("status", pa.string()),
-        ("error", pa.string()),
-    ]
-)
-
-
-def arrow_batch(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-
 def _read_requests(stream, chain, height, width, method):
     """Yield (request, bytes, status, error), keeping one clip open at a time."""
     resize = kernels.RESIZERS[method]
@@ -218,6 +200,28 @@ def _read_requests(stream, chain, height, width, method):
             clip.close()
 
 
+@dataclass(frozen=True)
+class _DecodedClip:
+    video_idx: int
+    path: str
+    data: list[bytes]
+    status: str
+    error: str | None
+
+    @property
+    def delivered(self) -> int:
+        return 0 if self.status == schemas.ERROR else len(self.data)
+
+
+def _read_clips(stream, chain, height, width, method) -> Iterator[_DecodedClip]:
+    """Group neighbouring requests into clips; a clip has the worst status of its frames."""
+    read = _read_requests(stream, chain, height, width, method)
+    for (video_idx, path), group in groupby(read, key=lambda r: (r[0][0], r[0][1])):
+        _, data, statuses, errors = zip(*group, strict=True)
+        status = max(statuses, key=schemas.SEVERITY.index)
+        yield _DecodedClip(video_idx, path, list(data), status, next(filter(None, errors), None))
+
+
 def open_first(chain: Sequence, path: str):
     """(clip, None) from the first decoder that opens the file, else (None, messages)."""
     failures = []

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cliploom.operators import batches, frames
 from cliploom.session import ship_package
@@ -32,15 +31,19 @@ class ClipSpec:
 
 
 def clips(listing: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
-    """Index the listing by path and read each header: ``schemas.CLIPS`` with ``batch_id``."""
-    ship_package(listing.sparkSession)
+    """Index the listing by path and read each header: ``schemas.CLIPS`` with ``batch_id``.
+
+    The headers are read once: this small table is checkpointed, in tasks of equal size.
+    """
+    spark = ship_package(listing.sparkSession)
     indexed = dataset.indexed(listing, ["video_path", "video_size"])
-    even = indexed.repartition(_tasks(indexed, spec), "video_idx")
-    return batches.with_batch_id(media.probe(even, spec.decoders), spec.batch_size, idx="video_idx")
+    tasks = frames.tasks_for(indexed.count(), spec.clips_per_task, spark.sparkContext.defaultParallelism)
+    probed = media.probe(indexed.repartition(tasks, "video_idx"), spec.decoders).checkpoint()
+    return batches.with_batch_id(probed, spec.batch_size, idx="video_idx")
 
 
 def requests(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
-    """Frames to read. The probe's tasks are even already, so nothing is shuffled."""
+    """Frames to read. The clips lie in even tasks already, so nothing is shuffled."""
     return frames.fan_out(clips_df, spec.n_frames).select(
         "video_idx", "video_path", "k", "frame_idx", "error"
     )
@@ -63,9 +66,10 @@ def tensors(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
 
 
 def clip_means(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
-    """Mean of the normalised tensor of each clip."""
-    normalised = frames.normalize(tensors(clips_df, spec))
-    return normalised.select("video_idx", "frame_count", "status", frames.mean_value(F.col("data")).alias("mean_value"))
+    """``schemas.CLIP_MEANS``: mean of the normalised frames of each clip."""
+    return frames.decode_means(
+        requests(clips_df, spec), spec.decoders, spec.height, spec.width, spec.method, spec.prefer
+    )
 
 
 def batch_means(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
@@ -73,8 +77,3 @@ def batch_means(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
     batched = batches.with_batch_id(clip_means(clips_df, spec), spec.batch_size, idx="video_idx")
     return batches.batch_mean(batched, "mean_value")
 
-
-def _tasks(indexed: DataFrame, spec: ClipSpec) -> int:
-    return frames.tasks_for(
-        indexed.count(), spec.clips_per_task, indexed.sparkSession.sparkContext.defaultParallelism
-    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-LISTING = "video_path string, video_size bigint"
+import pyarrow as pa
 
 CLIPS = (
     "video_idx bigint, video_path string, video_name string, video_size bigint, "
@@ -21,6 +21,9 @@ TENSORS = (
     "dtype string, layout string, data binary, frame_count int, status string, error string"
 )
 
+# What is left of a clip when its pixels are reduced in the decode task.
+CLIP_MEANS = "video_idx bigint, video_path string, frame_count int, status string, error string, mean_value double"
+
 RUNS = (
     "name string, framework string, method string, run_no bigint, num_workers int, batch_size int, "
     "total_time double, samples_processed bigint, samples_per_second double, "
@@ -33,3 +36,22 @@ ZERO_FILLED = "zero_filled"  # one frame could not be read: zero before normalis
 EMPTY = "empty"  # clip without frames: zero before normalisation, not an error
 ERROR = "error"  # clip could not be opened: zero after normalisation, frame_count 0
 SEVERITY = (OK, ZERO_FILLED, EMPTY, ERROR)
+
+_ARROW_TYPES = {
+    "bigint": pa.int64(),
+    "int": pa.int32(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+}
+
+
+def arrow(layout: str) -> pa.Schema:
+    """Arrow form of one of the layouts above."""
+    fields = (field.split() for field in layout.split(","))
+    return pa.schema([(name, _ARROW_TYPES[kind]) for name, kind in fields])
+
+
+def arrow_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -110,28 +110,36 @@ class Y4MClip:
 # BT.601 luma weights of red and blue; studio range 16-235 and 16-240.
 _RED, _BLUE = 0.299, 0.114
 _ONE = 1 << 16
-_LEVELS = np.arange(256)
 
 
-def _fixed_point(factor: float, zero: int) -> np.ndarray:
-    return np.round((_LEVELS - zero) * factor * _ONE).astype(np.int32)
+def _factor(value: float) -> np.int32:
+    return np.int32(round(value * _ONE))
 
 
-_LUMA = _fixed_point(255 / 219, 16) + _ONE // 2
-_V_TO_RED = _fixed_point(255 / 224 * 2 * (1 - _RED), 128)
-_U_TO_BLUE = _fixed_point(255 / 224 * 2 * (1 - _BLUE), 128)
-_V_TO_GREEN = _fixed_point(-255 / 224 * 2 * _RED * (1 - _RED) / (1 - _RED - _BLUE), 128)
-_U_TO_GREEN = _fixed_point(-255 / 224 * 2 * _BLUE * (1 - _BLUE) / (1 - _RED - _BLUE), 128)
+_LUMA = _factor(255 / 219)
+_V_TO_RED = _factor(255 / 224 * 2 * (1 - _RED))
+_U_TO_BLUE = _factor(255 / 224 * 2 * (1 - _BLUE))
+_V_TO_GREEN = _factor(-255 / 224 * 2 * _RED * (1 - _RED) / (1 - _RED - _BLUE))
+_U_TO_GREEN = _factor(-255 / 224 * 2 * _BLUE * (1 - _BLUE) / (1 - _RED - _BLUE))
 
 
 def yuv_to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray, step: tuple[int, int] = (1, 1)) -> np.ndarray:
-    """Studio-range BT.601 planes to RGB bytes; chroma samples repeat over their block."""
-    luma = _LUMA[y]
+    """Studio-range BT.601 planes to RGB bytes; chroma samples repeat over their block.
+
+    In 16-bit fixed point, and with the chroma products at chroma resolution.
+    """
+    height, width = y.shape
+    luma = y * _LUMA
+    luma += _ONE // 2 - 16 * int(_LUMA)
+    blue = u.astype(np.int32) - 128
+    red = v.astype(np.int32) - 128
     across, down = step
-    rgb = np.empty((*y.shape, 3), np.uint8)
-    for channel, offset in enumerate((_V_TO_RED[v], _U_TO_GREEN[u] + _V_TO_GREEN[v], _U_TO_BLUE[u])):
-        if step != (1, 1):
-            offset = offset.repeat(down, axis=0).repeat(across, axis=1)[: y.shape[0], : y.shape[1]]
+    rgb = np.empty((height, width, 3), np.uint8)
+    for channel, offset in enumerate((red * _V_TO_RED, blue * _U_TO_GREEN + red * _V_TO_GREEN, blue * _U_TO_BLUE)):
+        if across > 1:
+            offset = offset.repeat(across, axis=1)[:, :width]
+        if down > 1:
+            offset = offset.repeat(down, axis=0)[:height]
         value = luma + offset
         value >>= 16
         rgb[..., channel] = np.clip(value, 0, 255, out=value)

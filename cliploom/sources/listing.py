@@ -1,95 +1,86 @@
-"""Python Data Source that lists files on a file system all executors mount.
+"""List files on a file system all executors mount, as Spark jobs.
 
 Spark's ``binaryFile`` reader skips zero-byte files and every name that starts with
-``_`` or ``.``; this source returns them too.
+``_`` or ``.``; this listing returns them too. The driver opens no folder.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
 
 from cliploom import schemas
+from cliploom.operators.frames import tasks_for
+from cliploom.session import shared_dir
 
 ROWS_PER_BATCH = 10_000
-
-
-@dataclass
-class FolderPartition(InputPartition):
-    """One folder: its own files, or (deep) the files of the whole tree below it."""
-
-    folder: str
-    deep: bool
-
-
-class MediaListing(DataSource):
-    """Options: ``path``, ``suffixes`` (comma separated), ``fanout`` (partitions aimed at), ``sizes``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "media_listing"
-
-    def schema(self) -> str:
-        return schemas.LISTING
-
-    def reader(self, schema) -> MediaListingReader:
-        return MediaListingReader(self.options)
-
-
-class MediaListingReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.base = options["path"]
-        self.suffixes = tuple(s for s in options.get("suffixes", ".mp4").split(",") if s)
-        self.fanout = int(options.get("fanout", "256"))
-        self.sizes = options.get("sizes", "true").lower() == "true"
-
-    def partitions(self) -> list[FolderPartition]:
-        """Open folders level by level until there are enough subtrees to share out.
-
-        The driver opens at most ``fanout`` folders and looks at no file.
-        """
-        shallow: list[str] = []
-        pending = [self.base]
-        while pending and len(shallow) + len(pending) < self.fanout:
-            folder = pending.pop(0)
-            shallow.append(folder)
-            pending.extend(e.path for e in _entries(folder) if e.is_dir(follow_symlinks=False))
-        return [FolderPartition(f, False) for f in shallow] + [FolderPartition(f, True) for f in pending]
-
-    def read(self, partition: FolderPartition) -> Iterator[pa.RecordBatch]:
-        paths: list[str] = []
-        sizes: list[int | None] = []
-        for entry in _files(partition.folder, partition.deep):
-            if entry.name.endswith(self.suffixes):
-                paths.append(entry.path)
-                sizes.append(_size(entry) if self.sizes else None)
-                if len(paths) == ROWS_PER_BATCH:
-                    yield _batch(paths, sizes)
-                    paths, sizes = [], []
-        if paths:
-            yield _batch(paths, sizes)
-
-
-def _entries(folder: str) -> list[os.DirEntry]:
+FOLDERS_PER_TASK = 16
+
+_ENTRY = "video_path string, video_size bigint, folder string"
+
+
+def walk(spark: SparkSession, base: str, suffixes: Sequence[str], sizes: bool, budget: int) -> DataFrame:
+    """(video_path, video_size) of the matching files below ``base``.
+
+    Works in rounds. A task walks down its folders until it has seen ``budget`` entries
+    and hands on the folders it has not opened; the next round spreads those over all
+    tasks. A small tree takes one round, and a folder that holds most of the files is
+    shared out as soon as it has subfolders.
+    """
+    shared_dir(spark)
+    scan = _scanner(tuple(suffixes), sizes, budget)
+    folders = spark.createDataFrame([(base,)], "folder string")
+    found = []
+    while True:
+        entries = folders.mapInArrow(scan, _ENTRY).checkpoint()
+        found.append(entries.where("folder IS NULL").select("video_path", "video_size"))
+        folders = entries.where("folder IS NOT NULL").select("folder")
+        left = folders.count()
+        if not left:
+            return reduce(DataFrame.unionByName, found)
+        tasks = tasks_for(left, FOLDERS_PER_TASK, min(left, spark.sparkContext.defaultParallelism))
+        folders = folders.repartition(tasks)
+
+
+def _scanner(suffixes: tuple[str, ...], sizes: bool, budget: int):
+    schema = schemas.arrow(_ENTRY)
+
+    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = 0, []
+        for batch in stream:
+            pending = batch.column(0).to_pylist()
+            while pending:
+                folder = pending.pop()
+                if seen >= budget:
+                    rows.append((None, None, folder))
+                else:
+                    for entry in _entries(folder):
+                        seen += 1
+                        if entry.is_dir():
+                            if not entry.is_symlink():
+                                pending.append(entry.path)
+                        elif entry.name.endswith(suffixes):
+                            rows.append((entry.path, _size(entry) if sizes else None, None))
+                        if len(rows) >= ROWS_PER_BATCH:
+                            yield schemas.arrow_batch(rows, schema)
+                            rows = []
+        if rows:
+            yield schemas.arrow_batch(rows, schema)
+
+    return scan
+
+
+def _entries(folder: str) -> Iterator[os.DirEntry]:
     try:
-        with os.scandir(folder) as found:
-            return list(found)
+        found = os.scandir(folder)
     except OSError:  # gone or not readable: nothing to list
-        return []
-
-
-def _files(folder: str, deep: bool) -> Iterator[os.DirEntry]:
-    pending = [folder]
-    while pending:
-        for entry in _entries(pending.pop()):
-            if not entry.is_dir():
-                yield entry
-            elif deep and not entry.is_symlink():
-                pending.append(entry.path)
+        return
+    with found:
+        yield from found
 
 
 def _size(entry: os.DirEntry) -> int | None:
@@ -98,8 +89,3 @@ def _size(entry: os.DirEntry) -> int | None:
     except OSError:
         return None
 
-
-def _batch(paths: list[str], sizes: list[int | None]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["video_path", "video_size"]
-    )

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from cliploom import schemas
 from cliploom.functions.paths import VIDEO_SUFFIXES, has_suffix, known_size, video_name
 from cliploom.functions.sampling import duration_or_default, frames_or_default, sample_indices, sample_timestamps
-from cliploom.operators.frames import arrow_batch, open_first
-from cliploom.sources.listing import MediaListing
+from cliploom.operators.frames import open_first
+from cliploom.sources import listing
 
 __all__ = [
     "VIDEO_SUFFIXES",
@@ -35,16 +35,14 @@ __all__ = [
 
 
 def list_media(
-    spark: SparkSession, base: str, suffixes: Sequence[str] = (".mp4",), sizes: bool = True, fanout: int = 256
+    spark: SparkSession, base: str, suffixes: Sequence[str] = (".mp4",), sizes: bool = True, budget: int = 50_000
 ) -> DataFrame:
     """Files below ``base`` whose name ends with a suffix (case-sensitive), at any depth.
 
     For file systems that every executor mounts. Includes empty files and names that
-    start with ``_`` or ``.``.
+    start with ``_`` or ``.``. The tree is read once, now.
     """
-    spark.dataSource.register(MediaListing)
-    reader = spark.read.format(MediaListing.name()).option("suffixes", ",".join(suffixes))
-    return reader.option("fanout", fanout).option("sizes", str(sizes).lower()).load(base)
+    return listing.walk(spark, base, suffixes, sizes, budget)
 
 
 def list_binary_files(spark: SparkSession, base: str, suffixes: Sequence[str] = (".mp4",)) -> DataFrame:
@@ -62,9 +60,9 @@ def items_from(df: DataFrame, path: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.col(path).alias("video_path"))
 
 
-def with_suffix(listing: DataFrame, suffixes: Sequence[str]) -> DataFrame:
+def with_suffix(items: DataFrame, suffixes: Sequence[str]) -> DataFrame:
     """Rows whose path ends with one of the suffixes."""
-    return listing.where(has_suffix(F.col("video_path"), suffixes))
+    return items.where(has_suffix(F.col("video_path"), suffixes))
 
 
 def items(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -104,30 +102,15 @@ def with_header_defaults(probed: DataFrame, frames: Column, duration: Column) ->
     return probed.withColumns({"nb_frames": frames_or_default(frames), "duration": duration_or_default(duration)})
 
 
-_ARROW_CLIPS = pa.schema(
-    [
-        ("video_idx", pa.int64()),
-        ("video_path", pa.string()),
-        ("video_name", pa.string()),
-        ("video_size", pa.int64()),
-        ("total_frames", pa.int64()),
-        ("fps", pa.float64()),
-        ("width", pa.int32()),
-        ("height", pa.int32()),
-        ("status", pa.string()),
-        ("error", pa.string()),
-    ]
-)
-
-
-def probe(listing: DataFrame, decoders: Sequence) -> DataFrame:
+def probe(found: DataFrame, decoders: Sequence) -> DataFrame:
     """Read file headers: ``schemas.CLIPS`` from rows of (video_idx, video_path, video_size).
 
     An empty file is a clip with 0 frames. A file that no decoder opens is a row with
     ``status = error``.
     """
     chain = list(decoders)
-    narrow = listing.select(
+    schema = schemas.arrow(schemas.CLIPS)
+    narrow = found.select(
         "video_idx", "video_path", video_name(F.col("video_path")).alias("video_name"),
         known_size(F.col("video_size")).alias("video_size"),
     )
@@ -136,8 +119,8 @@ def probe(listing: DataFrame, decoders: Sequence) -> DataFrame:
         for batch in stream:
             infos = [_probe_one(chain, path) for path in batch.column("video_path").to_pylist()]
             if infos:
-                headers = arrow_batch(infos, pa.schema(list(_ARROW_CLIPS)[4:]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *headers.columns], schema=_ARROW_CLIPS)
+                headers = schemas.arrow_batch(infos, pa.schema(list(schema)[4:]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *headers.columns], schema=schema)
 
     return narrow.mapInArrow(run, schemas.CLIPS)
 

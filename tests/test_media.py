@@ -49,14 +49,23 @@ def _listed(df, base):
     return sorted(os.path.relpath(r.video_path, base) for r in df.collect())
 
 
-@pytest.mark.parametrize("fanout", [1, 3, 256])
-def test_listing_sees_what_a_walk_sees(spark, odd_names, fanout):
+@pytest.mark.parametrize("budget", [1, 3, 50_000])
+def test_listing_sees_what_a_walk_sees(spark, odd_names, budget):
     walked = [os.path.join(d, f) for d, _, files in os.walk(odd_names) for f in files if f.endswith(".mp4")]
-    got = _listed(media.list_media(spark, str(odd_names), fanout=fanout), odd_names)
+    got = _listed(media.list_media(spark, str(odd_names), budget=budget), odd_names)
     assert got == sorted(os.path.relpath(p, odd_names) for p in walked)
     assert ".mp4" in got and "D.MP4" not in got and "e.mp4.txt" not in got
 
 
+def test_wide_and_deep_trees_take_few_rounds(spark, tmp_path):
+    for i in range(40):
+        folder = tmp_path / f"{i}" / "a" / "b"
+        folder.mkdir(parents=True)
+        for j in range(5):
+            (folder / f"{j}.mp4").touch()
+    assert media.list_media(spark, str(tmp_path), budget=20).count() == 200
+
+
 def test_listing_with_several_suffixes_and_sizes(spark, odd_names):
     listed = media.list_media(spark, str(odd_names), media.VIDEO_SUFFIXES)
     sizes = {os.path.relpath(r.video_path, odd_names): r.video_size for r in listed.collect()}
@@ -164,6 +173,16 @@ def test_lazy_equals_eager(spark, library):
         eager.unpersist()
 
 
+def test_means_in_the_decode_task_equal_means_of_tensors(spark, library):
+    base, _ = library
+    job_clips = clip_job.clips(media.list_media(spark, str(base)), SPEC)
+    tensors = frames.normalize(clip_job.tensors(job_clips, SPEC), "float64")
+    means = tensors.select("video_idx", frames.mean_value(F.col("data"), "float64").alias("m"))
+    want = {r.video_idx: r.m for r in means.collect()}
+    got = {r.video_idx: r.mean_value for r in clip_job.clip_means(job_clips, SPEC).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_batch_means(spark, library):
     base, _ = library
     job_clips = clip_job.clips(media.list_media(spark, str(base)), SPEC)
