@@ -12,6 +12,7 @@ from itertools import batched, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -248,7 +249,8 @@ def from_arrays(df: DataFrame, px: Column, height: int, width: int, channels: in
 
     @F.arrow_udf("binary")
     def pack(values: pa.Array) -> pa.Array:
-        return pa.array([row.values.to_numpy().astype(np.uint8).tobytes() for row in values], pa.binary())
+        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
+        return _as_binary(flat.reshape(len(values), -1)) if len(values) else pa.array([], pa.binary())
 
     return df.withColumns(
         {
@@ -268,7 +270,7 @@ def to_array(data: Column, dtype: str = "uint8") -> Column:
 
     @F.arrow_udf("array<double>")
     def unpack(values: pa.Array) -> pa.Array:
-        rows = [np.frombuffer(v.as_buffer(), dtype).astype(np.float64) for v in values]
+        rows = [np.frombuffer(v.as_buffer(), dtype).astype(np.float64) if v.is_valid else None for v in values]
         return pa.array(rows, pa.list_(pa.float64()))
 
     return unpack(data)
@@ -277,45 +279,72 @@ def to_array(data: Column, dtype: str = "uint8") -> Column:
 # --- per-frame functions on binary pixels -----------------------------------
 
 
-def _frame_arrays(data, height, width, channels) -> Iterator[np.ndarray]:
-    """(frames, height, width, channels) per row; a row is one frame or a stacked clip."""
-    sizes = zip(height.to_pylist(), width.to_pylist(), channels.to_pylist(), strict=True)
-    for value, (h, w, c) in zip(data, sizes, strict=True):
-        yield np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, h, w, c)
+# Rows go to a kernel together up to this size, so that small frames do not cost a call each
+# and large ones stay in cache.
+BYTES_PER_CALL = 1 << 20
 
 
-def _pixel_udf(kernel: Callable[[np.ndarray], np.ndarray]):
-    """Arrow UDF over (data, height, width, channels) that applies a NumPy kernel per row."""
+def _map_rows(data: pa.Array, sizes: Sequence[pa.Array], kernel: Callable[..., np.ndarray]) -> pa.Array:
+    """Apply a kernel to the rows of a binary column; null stays null.
+
+    ``sizes`` are height, width, channels and maybe further values. Neighbours that agree
+    on them go together, as (rows, frames, height, width, channels); a row is one frame or
+    a stacked clip.
+    """
+    keys = zip(pc.binary_length(data).to_pylist(), *[s.to_pylist() for s in sizes], strict=True)
+    parts, at = [], 0
+    for (length, *size), group in groupby(keys):
+        end = at + sum(1 for _ in group)
+        if length is None:
+            parts.append(pa.nulls(end - at, pa.binary()))
+        else:
+            step = max(1, BYTES_PER_CALL // max(1, length))
+            for start in range(at, end, step):
+                rows = _stacked_bytes(data.slice(start, min(step, end - start)), length)
+                parts.append(_as_binary(kernel(rows.reshape(len(rows), -1, *size[:3]), *size[3:])))
+        at = end
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
-    @F.arrow_udf("binary")
-    def apply(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
-        return pa.array([kernel(f).tobytes() for f in _frame_arrays(data, height, width, channels)], pa.binary())
 
-    return apply
+def _stacked_bytes(rows: pa.Array, length: int) -> np.ndarray:
+    """Rows of equal length as a (rows, length) view."""
+    first = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset]
+    return np.frombuffer(rows.buffers()[2], np.uint8, len(rows) * length, first).reshape(len(rows), length)
 
 
-def _apply(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], **changed: Column) -> DataFrame:
-    data = _pixel_udf(kernel)("data", "height", "width", "channels")
-    return frames.withColumns({"data": data, **changed})
+def _as_binary(values: np.ndarray) -> pa.Array:
+    flat = np.ascontiguousarray(values).reshape(len(values), -1).view(np.uint8)
+    fixed = pa.binary(flat.shape[1])
+    return pa.FixedSizeBinaryArray.from_buffers(fixed, len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _apply(frames: DataFrame, kernel: Callable[..., np.ndarray], *more: Column, **changed: Column) -> DataFrame:
+    """Replace ``data`` by the kernel's result, and other columns as given."""
+
+    @F.arrow_udf("binary")
+    def apply(data: pa.Array, *sizes: pa.Array) -> pa.Array:
+        return _map_rows(data, sizes, kernel)
+
+    return frames.withColumns({"data": apply("data", "height", "width", "channels", *more), **changed})
 
 
 def resize(frames: DataFrame, height: int, width: int, method: str = "bilinear") -> DataFrame:
     one = kernels.RESIZERS[method]
 
-    def kernel(stack: np.ndarray) -> np.ndarray:
-        return np.stack([one(f, height, width) for f in stack])
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        return np.stack([[one(f, height, width) for f in row] for row in rows])
 
     return _apply(frames, kernel, height=F.lit(height), width=F.lit(width))
 
 
 def reverse_channels(frames: DataFrame) -> DataFrame:
     """BGR to RGB and back."""
-    return _apply(frames, lambda f: f[..., ::-1])
+    return _apply(frames, lambda rows: rows[..., ::-1])
 
 
 def to_chw(frames: DataFrame) -> DataFrame:
     """Rewrite HWC pixels as CHW. The size columns keep their meaning."""
-    return _apply(frames, lambda f: f.transpose(0, 3, 1, 2), layout=F.lit("CHW"))
+    return _apply(frames, lambda rows: np.moveaxis(rows, -1, -3), layout=F.lit("CHW"))
 
 
 def transform(frames: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -332,16 +361,10 @@ def normalize(frames: DataFrame, dtype: str = "float32") -> DataFrame:
     -mean/std. Frames of a clip that failed are zero after it.
     """
 
-    @F.arrow_udf("binary")
-    def apply(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array, failed: pa.Array) -> pa.Array:
-        pairs = zip(_frame_arrays(data, height, width, channels), failed.to_pylist(), strict=True)
-        return pa.array(
-            [bytes(f.size * np.dtype(dtype).itemsize) if bad else kernels.normalize(f, dtype).tobytes() for f, bad in pairs],
-            pa.binary(),
-        )
+    def kernel(rows: np.ndarray, failed: bool) -> np.ndarray:
+        return np.zeros(rows.shape, dtype) if failed else kernels.normalize(rows, dtype)
 
-    failed = F.col("status") == schemas.ERROR
-    return frames.withColumns({"data": apply("data", "height", "width", "channels", failed), "dtype": F.lit(dtype)})
+    return _apply(frames, kernel, F.col("status") == schemas.ERROR, dtype=F.lit(dtype))
 
 
 def mean_value(data: Column, dtype: str = "float32") -> Column:
@@ -349,7 +372,7 @@ def mean_value(data: Column, dtype: str = "float32") -> Column:
 
     @F.arrow_udf("double")
     def apply(values: pa.Array) -> pa.Array:
-        means = [float(np.frombuffer(v.as_buffer(), dtype).mean(dtype=np.float64)) for v in values]
+        means = [np.frombuffer(v.as_buffer(), dtype).mean(dtype=np.float64) if v.is_valid else None for v in values]
         return pa.array(means, pa.float64())
 
     return apply(data)

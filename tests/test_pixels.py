@@ -112,6 +112,25 @@ def test_binary_functions_per_frame_and_per_clip(spark):
         assert bytes(made(tensor, *args).first().data) == per_frame
 
 
+def test_rows_of_many_sizes_and_null_pixels(spark):
+    shapes = [(2, 3, 3), (2, 3, 3), (4, 5, 3), (2, 3, 1), (4, 5, 3), (4, 5, 3)] * 7
+    stack = [RNG.integers(0, 256, s, dtype=np.uint8) for s in shapes]
+    rows = [
+        (1, "a", k, k, *f.shape, "HWC", None if k % 5 == 0 else bytearray(f.tobytes()), "ok", None)
+        for k, f in enumerate(stack)
+    ]
+    from cliploom import schemas
+
+    table = spark.createDataFrame(rows, schemas.FRAMES).coalesce(1)
+    for made, kernel in (
+        (frames.reverse_channels, lambda f: f[..., ::-1]),
+        (frames.to_chw, lambda f: f.transpose(2, 0, 1)),
+        (lambda t: frames.resize(t, 3, 2), lambda f: kernels.bilinear(f, 3, 2)),
+    ):
+        got = [r.data and bytes(r.data) for r in made(table).orderBy("k").collect()]
+        assert got == [None if k % 5 == 0 else kernel(f).tobytes() for k, f in enumerate(stack)]
+
+
 def test_status_decides_what_zero_means(spark):
     stack = np.zeros((4, 2, 2, 3), np.uint8)
     table = _frame_table(spark, stack, ["ok", "zero_filled", "empty", "error"])
