@@ -16,6 +16,11 @@ def video_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def plain_path(path: Column) -> Column:
+    """Local paths without ``file:``, as Spark's readers write it in several ways."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def has_suffix(path: Column, suffixes: str | Iterable[str]) -> Column:
     """True where the path ends with one of the suffixes (case-sensitive)."""
     if isinstance(suffixes, str):

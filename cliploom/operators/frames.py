@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cliploom import schemas
 from cliploom.functions import kernels
+from cliploom.functions.pixels import uniform_draw
 from cliploom.functions.sampling import sample_indices
 from cliploom.operators.sizing import fits_broadcast
 from cliploom.session import shared_dir
@@ -158,6 +159,44 @@ def decode_means(
     return _narrow(requests).mapInArrow(run, schemas.CLIP_MEANS)
 
 
+def decode_batches(
+    requests: DataFrame,
+    decoders: Sequence,
+    height: int,
+    width: int,
+    size: int,
+    method: str = "bilinear",
+    prefer: str | None = None,
+    dtype: str = "float32",
+) -> DataFrame:
+    """Collated training batches, one row each: clips ``size`` by ``size`` in index order.
+
+    The requests of a batch must be neighbours in one task; then collating moves no
+    pixels. Returns ``schemas.BATCHES``.
+    """
+    chain = ordered_chain(decoders, prefer)
+    schema = schemas.arrow(schemas.BATCHES)
+
+    def tensor(clip: _DecodedClip) -> bytes:
+        shape = (len(clip.data), height, width, 3)
+        if clip.status == schemas.ERROR:
+            return np.zeros(shape, dtype).tobytes()
+        pixels = np.frombuffer(b"".join(clip.data), np.uint8).reshape(shape)
+        return np.moveaxis(kernels.normalize(pixels, dtype), -1, -3).tobytes()
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _read_clips(stream, chain, height, width, method)
+        for batch_id, group in groupby(read, key=lambda clip: clip.video_idx // size):
+            clips = list(group)
+            shape = (len(clips), len(clips[0].data), height, width, 3, dtype, "CHW")
+            paths = [c.path for c in clips]
+            names = [p.rsplit("/", 1)[-1] for p in paths]
+            data = b"".join(map(tensor, clips))
+            yield schemas.arrow_batch([(batch_id, *shape, data, paths, names, [c.status for c in clips])], schema)
+
+    return _narrow(requests).mapInArrow(run, schemas.BATCHES)
+
+
 def _narrow(requests: DataFrame) -> DataFrame:
     error = F.col("error") if "error" in requests.columns else F.lit(None).cast("string").alias("error")
     return requests.select("video_idx", "video_path", "k", "frame_idx", error)
@@ -354,7 +393,21 @@ def transform(frames: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> Da
     return frames
 
 
-def normalize(frames: DataFrame, dtype: str = "float32") -> DataFrame:
+def random_flip(frames: DataFrame, seed: int, p: float = 0.5, keys: Sequence[str] = ("video_idx", "k")) -> DataFrame:
+    """Mirror a frame with probability p. The draw depends on the seed and the frame's keys only."""
+    flip = uniform_draw(seed, *[F.col(k) for k in keys]) < p
+    return _apply(frames, lambda rows, flipped: rows[..., ::-1, :] if flipped else rows, flip)
+
+
+def jitter_brightness(
+    frames: DataFrame, seed: int, amount: float = 0.2, keys: Sequence[str] = ("video_idx", "k")
+) -> DataFrame:
+    """Scale a frame by a factor drawn from 1-amount to 1+amount, clipped to 0..255."""
+    factor = F.lit(1 - amount) + F.lit(2 * amount) * uniform_draw(seed, *[F.col(k) for k in keys])
+    return _apply(frames, lambda rows, f: np.minimum(rows * f, 255).astype(np.uint8), factor)
+
+
+def normalize(frames: DataFrame, dtype: str = "float32", layout: str = "HWC") -> DataFrame:
     """Bytes (HWC) to (x/255 - mean)/std as little-endian ``dtype``; the last step before a consumer.
 
     Zero-filled frames and empty clips were zero before this step and come out as
@@ -362,9 +415,10 @@ def normalize(frames: DataFrame, dtype: str = "float32") -> DataFrame:
     """
 
     def kernel(rows: np.ndarray, failed: bool) -> np.ndarray:
-        return np.zeros(rows.shape, dtype) if failed else kernels.normalize(rows, dtype)
+        values = np.zeros(rows.shape, dtype) if failed else kernels.normalize(rows, dtype)
+        return np.moveaxis(values, -1, -3) if layout == "CHW" else values
 
-    return _apply(frames, kernel, F.col("status") == schemas.ERROR, dtype=F.lit(dtype))
+    return _apply(frames, kernel, F.col("status") == schemas.ERROR, dtype=F.lit(dtype), layout=F.lit(layout))
 
 
 def mean_value(data: Column, dtype: str = "float32") -> Column:

@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from cliploom.operators.index import dense_index
 
 # Settings per tier, by smallest value that belongs to the tier.
-TIER_COLUMNS = ("tier", "loader_workers", "task_workers", "map_processes", "map_batch", "cpus_per_task", "concurrency")
+TIER_COLUMNS = (
+    "tier", "loader_workers", "task_workers", "map_processes", "batch_sizes", "map_batch", "cpus_per_task", "concurrency"
+)
 TIERS = (
-    (16, ("large", 8, 12, 8, 16, 2, 8)),
-    (8, ("medium", 6, 8, 6, 12, 2, 6)),
-    (4, ("small", 4, 4, 4, 8, 1, 4)),
+    (16, ("large", 8, 12, 8, [8, 16, 32], 16, 2, 8)),
+    (8, ("medium", 6, 8, 6, [4, 8, 16], 12, 2, 6)),
+    (4, ("small", 4, 4, 4, [4, 8], 8, 1, 4)),
 )
-LOWEST_TIER = ("minimal", 2, 2, 2, 4, 1, 2)
+LOWEST_TIER = ("minimal", 2, 2, 2, [2, 4], 4, 1, 2)
 
 
 def safe_ratio(top: Column, bottom: Column) -> Column:

@@ -10,13 +10,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cliploom import schemas
 from cliploom.operators import batches, frames
+from cliploom.operators.index import dense_index
 from cliploom.session import ship_package
 from cliploom.sources import dataset, media
 from cliploom.sources.decoders import DEFAULT_DECODERS
 
+IMAGE_SUFFIXES = (".bmp", ".png", ".jpg")
+
 
 @dataclass(frozen=True)
 class ClipSpec:
@@ -33,12 +38,14 @@ class ClipSpec:
 def clips(listing: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
     """Index the listing by path and read each header: ``schemas.CLIPS`` with ``batch_id``.
 
-    The headers are read once: this small table is checkpointed, in tasks of equal size.
+    The headers are read once: this small table is checkpointed, in tasks of equal size
+    that hold whole batches.
     """
     spark = ship_package(listing.sparkSession)
     indexed = dataset.indexed(listing, ["video_path", "video_size"])
     tasks = frames.tasks_for(indexed.count(), spec.clips_per_task, spark.sparkContext.defaultParallelism)
-    probed = media.probe(indexed.repartition(tasks, "video_idx"), spec.decoders).checkpoint()
+    even = batches.with_batch_id(indexed, spec.batch_size, idx="video_idx").repartition(tasks, "batch_id")
+    probed = media.probe(even.sortWithinPartitions("video_idx"), spec.decoders).checkpoint()
     return batches.with_batch_id(probed, spec.batch_size, idx="video_idx")
 
 
@@ -65,6 +72,48 @@ def tensors(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
     )
 
 
+def collated(clips_df: DataFrame, spec: ClipSpec = ClipSpec(), dtype: str = "float32") -> DataFrame:
+    """``schemas.BATCHES``: normalised training batches, collated where they are decoded."""
+    return frames.decode_batches(
+        requests(clips_df, spec), spec.decoders, spec.height, spec.width, spec.batch_size, spec.method, spec.prefer, dtype
+    )
+
+
+def refresh(listing: DataFrame, path: str, spec: ClipSpec = ClipSpec()) -> DataFrame:
+    """Add the tensors of files that the dataset at ``path`` does not have; return the dataset.
+
+    Files stored already are neither opened nor read. New clips get the next indices.
+    """
+    spark = listing.sparkSession
+    first = 0
+    try:
+        stored = dataset.load(spark, path, schemas.TENSORS)
+        listing = dataset.misses(listing, stored, "video_path")
+        first = stored.agg(F.coalesce(F.max("video_idx") + 1, F.lit(0))).first()[0]
+    except FileNotFoundError:
+        pass
+    new = tensors(clips(listing, spec), spec)
+    new.withColumn("video_idx", F.col("video_idx") + first).write.mode("append").parquet(path)
+    return dataset.load(spark, path, schemas.TENSORS)
+
+
+def image_frames(spark: SparkSession, base: str, spec: ClipSpec = ClipSpec(), suffixes=IMAGE_SUFFIXES) -> DataFrame:
+    """Clips given as folders of images: (video_path, k, frame_idx, …) with the sampled frames.
+
+    Names are indexed and sampled first; pixels are joined to the sampled names. A file
+    that is not an image becomes a zero frame.
+    """
+    ship_package(spark)
+    names = media.image_names(media.list_binary_files(spark, base, suffixes))
+    keyed = dense_index(names, ["frame_name"], by=["video_path"], name="frame_idx")
+    lengths = keyed.groupBy("video_path").agg(F.count(F.lit(1)).alias("total_frames"))
+    wanted = frames.fan_out(lengths, spec.n_frames).drop("total_frames")
+    files = frames.fetch(wanted, keyed, ["video_path", "frame_idx"])
+    found = frames.fetch(files, media.images(spark, base), ["video_path", "frame_name"]).drop("status")
+    sized = frames.resize(frames.reverse_channels(found), spec.height, spec.width, spec.method)
+    return frames.zero_fill(sized, F.lit(bytearray(spec.height * spec.width * 3))).withColumn("channels", F.lit(3))
+
+
 def clip_means(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
     """``schemas.CLIP_MEANS``: mean of the normalised frames of each clip."""
     return frames.decode_means(

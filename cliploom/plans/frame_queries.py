@@ -310,3 +310,14 @@ def binary_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
         frames.from_arrays(sampled.withColumnRenamed("clip", "video_idx"), F.col("px"), H, W, C), N
     )
     return _values(stacked.withColumnRenamed("video_idx", "clip"), "clip", frames.to_array(F.col("data")))
+
+
+@query("P17", _SQL_AUGMENTED + _unnest("vec_id", "bright", host.sql_normalize("px"), "round(value, 6)"))
+def binary_user_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = frames.transform(
+        _colour_frames(spark, sf_dir),
+        lambda df: frames.random_flip(df, 11, keys=["vec_id"]),
+        lambda df: frames.jitter_brightness(df, 12, keys=["vec_id"]),
+        lambda df: frames.normalize(df, "float64"),
+    )
+    return _values(done, "vec_id", frames.to_array(F.col("data"), "float64"), 6)

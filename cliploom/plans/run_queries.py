@@ -186,6 +186,7 @@ def feasible_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN p_size >= 16 THEN 8 WHEN p_size >= 8 THEN 6 WHEN p_size >= 4 THEN 4 ELSE 2 END AS loader_workers,
   CASE WHEN p_size >= 16 THEN 12 WHEN p_size >= 8 THEN 8 WHEN p_size >= 4 THEN 4 ELSE 2 END AS task_workers,
   CASE WHEN p_size >= 16 THEN 8 WHEN p_size >= 8 THEN 6 WHEN p_size >= 4 THEN 4 ELSE 2 END AS map_processes,
+  CASE WHEN p_size >= 16 THEN '8,16,32' WHEN p_size >= 8 THEN '4,8,16' WHEN p_size >= 4 THEN '4,8' ELSE '2,4' END AS batch_sizes,
   CASE WHEN p_size >= 16 THEN 16 WHEN p_size >= 8 THEN 12 WHEN p_size >= 4 THEN 8 ELSE 4 END AS map_batch,
   CASE WHEN p_size >= 8 THEN 2 ELSE 1 END AS cpus_per_task,
   CASE WHEN p_size >= 16 THEN 8 WHEN p_size >= 8 THEN 6 WHEN p_size >= 4 THEN 4 ELSE 2 END AS concurrency
@@ -193,7 +194,8 @@ FROM part""",
 )
 def settings_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = host.table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return parts.select("p_partkey", "p_size", F.inline(F.array(runs.tier(F.col("p_size")))))
+    settings = parts.select("p_partkey", "p_size", F.inline(F.array(runs.tier(F.col("p_size")))))
+    return settings.withColumn("batch_sizes", F.array_join("batch_sizes", ","))
 
 
 @query(

@@ -21,6 +21,12 @@ TENSORS = (
     "dtype string, layout string, data binary, frame_count int, status string, error string"
 )
 
+# One row per batch: normalised frames as (batch_size, n_frames, channels, height, width).
+BATCHES = (
+    "batch_id bigint, batch_size int, n_frames int, height int, width int, channels int, dtype string, "
+    "layout string, data binary, video_paths array<string>, video_names array<string>, statuses array<string>"
+)
+
 # What is left of a clip when its pixels are reduced in the decode task.
 CLIP_MEANS = "video_idx bigint, video_path string, frame_count int, status string, error string, mean_value double"
 
@@ -43,6 +49,7 @@ _ARROW_TYPES = {
     "double": pa.float64(),
     "string": pa.string(),
     "binary": pa.binary(),
+    "array<string>": pa.list_(pa.string()),
 }
 
 

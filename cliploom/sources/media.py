@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom import schemas
-from cliploom.functions.paths import VIDEO_SUFFIXES, has_suffix, known_size, video_name
+from cliploom.functions.paths import VIDEO_SUFFIXES, has_suffix, known_size, plain_path, video_name
 from cliploom.functions.sampling import duration_or_default, frames_or_default, sample_indices, sample_timestamps
 from cliploom.operators.frames import open_first
 from cliploom.sources import listing
@@ -140,18 +140,25 @@ def images(spark: SparkSession, base: str) -> DataFrame:
     """Folders of still images as frames: the folder is the clip, file order is frame order.
 
     Uses Spark's ``image`` source. Its pixels are BGR; files it cannot read become rows
-    with ``status = error``.
+    with ``status = error`` and null pixels.
     """
     image = F.col("image")
     failed = image.width < 0
     files = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(base)
-    return files.select(
-        F.regexp_replace(image.origin, "/[^/]*$", "").alias("video_path"),
-        video_name(image.origin).alias("frame_name"),
-        image.height.alias("height"),
-        image.width.alias("width"),
-        image.nChannels.alias("channels"),
+    return image_names(files.withColumn("video_path", image.origin)).select(
+        "video_path",
+        "frame_name",
+        *[F.when(~failed, image[theirs]).alias(ours) for theirs, ours in _IMAGE_FIELDS.items()],
         F.lit("HWC").alias("layout"),
-        F.when(~failed, image.data).alias("data"),
         F.when(failed, schemas.ERROR).otherwise(schemas.OK).alias("status"),
     )
+
+
+_IMAGE_FIELDS = {"height": "height", "width": "width", "nChannels": "channels", "data": "data"}
+
+
+def image_names(files: DataFrame) -> DataFrame:
+    """Split the path of an image into ``video_path`` (its folder) and ``frame_name``."""
+    path = plain_path(F.col("video_path"))
+    parts = {"frame_name": video_name(path), "video_path": F.regexp_replace(path, "/[^/]*$", "")}
+    return files.withColumns(parts).drop("video_size")

@@ -183,6 +183,39 @@ def test_means_in_the_decode_task_equal_means_of_tensors(spark, library):
     assert got == pytest.approx(want, abs=1e-5)
 
 
+def test_collated_batches(spark, library):
+    base, _ = library
+    job_clips = clip_job.clips(media.list_media(spark, str(base)), SPEC)
+    normal = frames.normalize(clip_job.tensors(job_clips, SPEC), "float32", layout="CHW")
+    want = {r.video_idx: (bytes(r.data), r.video_path, r.status) for r in normal.collect()}
+    rows = {r.batch_id: r for r in clip_job.collated(job_clips, SPEC).collect()}
+    assert {b: r.batch_size for b, r in rows.items()} == {0: 4, 1: 4, 2: 1}
+    for b, row in rows.items():
+        clip_range = range(b * 4, b * 4 + row.batch_size)
+        assert bytes(row.data) == b"".join(want[i][0] for i in clip_range)
+        assert row.video_paths == [want[i][1] for i in clip_range]
+        assert row.video_names == [os.path.basename(p) for p in row.video_paths]
+        assert row.statuses == [want[i][2] for i in clip_range]
+        assert (row.n_frames, row.layout, row.channels) == (16, "CHW", 3)
+
+
+def test_refresh_reads_only_new_files(spark, tmp_path):
+    def add(*names):
+        for name in names:
+            write_y4m(tmp_path / "in" / name, RNG.integers(16, 236, (4, 3, 3)))
+
+    store = str(tmp_path / "store")
+    add("a.mp4", "c.mp4")
+    first = {r.video_path: r for r in clip_job.refresh(media.list_media(spark, str(tmp_path / "in")), store, SPEC).collect()}
+    (tmp_path / "in" / "a.mp4").write_bytes(b"changed, and must not be read")
+    add("b.mp4")
+    for _ in range(2):
+        done = clip_job.refresh(media.list_media(spark, str(tmp_path / "in")), store, SPEC).collect()
+    assert sorted(r.video_idx for r in done) == [0, 1, 2]
+    assert {r.video_path: r for r in done if r.video_path in first} == first
+    assert {r.status for r in done} == {"ok"}
+
+
 def test_batch_means(spark, library):
     base, _ = library
     job_clips = clip_job.clips(media.list_media(spark, str(base)), SPEC)
@@ -201,6 +234,22 @@ def test_named_decoder_and_chain():
     assert clip is None and "y4m" in error and "opencv" in error
 
 
+def test_image_folders_as_clips(spark, tmp_path):
+    stack = RNG.integers(0, 256, (20, 5, 7, 3), dtype=np.uint8)
+    for i, rgb in enumerate(stack):
+        write_bmp(tmp_path / "many" / f"{i:03d}.bmp", rgb)
+    write_bmp(tmp_path / "one" / "x.bmp", stack[0])
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.bmp").write_bytes(b"BMjunk")
+    rows = clip_job.image_frames(spark, str(tmp_path), SPEC).collect()
+    assert len(rows) == 48
+    seen = {(os.path.basename(r.video_path), r.k): r for r in rows}
+    for k, i in enumerate(np.linspace(0, 19, 16, dtype=int)):
+        assert bytes(seen["many", k].data) == kernels.bilinear(stack[i], 6, 4).tobytes()
+        assert bytes(seen["one", k].data) == kernels.bilinear(stack[0], 6, 4).tobytes()
+        assert (seen["bad", k].status, bytes(seen["bad", k].data)) == ("zero_filled", bytes(72))
+
+
 def test_image_folders(spark, tmp_path):
     stack = RNG.integers(0, 256, (3, 5, 7, 3), dtype=np.uint8)
     for i, rgb in enumerate(stack):
