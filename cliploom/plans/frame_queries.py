@@ -82,13 +82,14 @@ def frame_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "P8",
-    f"""{_SQL_SAMPLED}, kept AS (SELECT * FROM frames WHERE vec_id % 7 <> 0)
+    f"""{_SQL_SAMPLED}, kept AS (SELECT * FROM frames WHERE lead > 0)
 SELECT w.clip, w.k, w.frame_idx, CASE WHEN vec_id IS NULL THEN 'zero_filled' ELSE 'ok' END AS status,
        coalesce(list_sum(px), 0)::BIGINT AS total
 FROM wanted w LEFT JOIN kept USING (clip, frame_idx)""",
 )
 def zero_fill_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    readable = host.stored_frames(spark, sf_dir).where(F.col("vec_id") % 7 != 0)
+    """Frames that start with a negative value play the part of frames that cannot be read."""
+    readable = host.stored_frames(spark, sf_dir).where(F.get("embedding", F.lit(0)) > 0)
     found = _sampled(spark, sf_dir, readable)
     filled = frames.zero_fill(found, F.array_repeat(F.lit(0), H * W * C), data="px")
     total = F.aggregate("px", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("total")

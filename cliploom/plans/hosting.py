@@ -106,7 +106,7 @@ TO_BYTE = "least(255, greatest(0, floor((x::DOUBLE + 1.0::DOUBLE) * 127.5::DOUBL
 SQL_FRAMES = f"""frames AS (
   SELECT label AS clip, vec_id,
          row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx,
-         count(*) OVER (PARTITION BY label) AS total_frames,
+         count(*) OVER (PARTITION BY label) AS total_frames, embedding[1] AS lead,
          list_transform(embedding[1:48], lambda x: {TO_BYTE}) AS px,
          list_transform(embedding, lambda x: {TO_BYTE}) AS grey
   FROM embeddings)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cliploom.functions.paths import video_name as name_of
 from cliploom.functions.sampling import frame_at, sample_timestamps
-from cliploom.operators import clips, observe
+from cliploom.operators import batches, clips, observe
 from cliploom.plans import hosting as host
 from cliploom.plans.registry import query
 from cliploom.session import scratch_path
@@ -78,12 +78,17 @@ def results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "S10",
-    """WITH ds AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS video_idx FROM embeddings)
-SELECT video_idx, vec_id, label, (SELECT count(*) FROM ds) AS length FROM ds WHERE video_idx BETWEEN 100 AND 131""",
+    """WITH ds AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS video_idx FROM embeddings),
+asked AS (SELECT vec_id AS asked_by, row_number() OVER (ORDER BY md5('5|' || vec_id), vec_id) - 1 AS video_idx
+          FROM embeddings)
+SELECT asked_by, video_idx, vec_id, label, (SELECT count(*) FROM ds) AS length FROM asked JOIN ds USING (video_idx)""",
 )
 def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds = dataset.indexed(host.table(spark, sf_dir, "embeddings").select("vec_id", "label"), ["vec_id"])
-    return dataset.take_slice(ds, 100, 132).withColumn("length", F.lit(dataset.length(ds)))
+    """Every row of an indexed dataset, fetched by position in the order of a random sampler."""
+    rows = host.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    ds = dataset.indexed(rows, ["vec_id"])
+    asked = batches.shuffle(rows.select(F.col("vec_id").alias("asked_by")), ["asked_by"], seed=5, idx="video_idx")
+    return dataset.gather(ds, asked).withColumn("length", F.lit(dataset.length(ds)))
 
 
 @query("S11", "SELECT event_id, event_type, round(value, 6) AS value FROM events")

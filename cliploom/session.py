@@ -32,6 +32,20 @@ def build_session(app: str = "cliploom", master: str | None = None, conf: dict[s
     return ship_package(builder.getOrCreate())
 
 
+BYTES_PER_PARTITION = 128 << 20
+
+
+def size_shuffles(spark: SparkSession, shuffled_bytes: int) -> int:
+    """Set the number of shuffle partitions for an amount of data, at least one per core.
+
+    Adaptive execution joins partitions that turn out small, and cannot split those that
+    a plain sort or aggregate leaves too large: aim high.
+    """
+    partitions = max(spark.sparkContext.defaultParallelism, -(-shuffled_bytes // BYTES_PER_PARTITION))
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return partitions
+
+
 _shipped: set[str] = set()
 
 

@@ -80,6 +80,11 @@ def take_slice(df: DataFrame, start: int, stop: int, idx: str = "video_idx") ->
     return df.where(F.col(idx).between(start, stop - 1))
 
 
+def gather(df: DataFrame, wanted: DataFrame, idx: str = "video_idx") -> DataFrame:
+    """Rows at a table of positions, as a sampler asks for them. Positions are unique in ``df``."""
+    return wanted.join(df, idx)
+
+
 def item(df: DataFrame, i: int, idx: str = "video_idx") -> DataFrame:
     """Row ``i``."""
     return df.where(F.col(idx) == i)

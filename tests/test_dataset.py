@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliploom.operators import runs
-from cliploom.session import scratch_path, shared_dir
+from cliploom.session import scratch_path, shared_dir, size_shuffles
 from cliploom.sources import dataset, runlog
 
 
@@ -113,3 +113,12 @@ def test_csv_has_a_header_and_no_index(spark, log):
     head = spark.read.text(path).first()[0]
     assert head.startswith("name,run_no,method")
     assert runlog.read_csv(spark, path, log.schema).orderBy("run_no").collect() == log.orderBy("run_no").collect()
+
+
+def test_shuffle_partitions_follow_the_data(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 1 << 20) == spark.sparkContext.defaultParallelism
+        assert size_shuffles(spark, 100 << 40) == 819_200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

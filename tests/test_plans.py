@@ -21,9 +21,14 @@ def test_no_cross_joins_no_row_udfs_no_single_task_windows(spark, sf_dir, name):
     plan = _plan(QUERIES[name].run(spark, sf_dir))
     for node in (*EXPLODING, "BatchEvalPython"):
         assert node not in plan
-    windows = re.findall(r"Window \[.*", plan)
-    # The only window runs over per-partition counts of a group.
-    assert all("__n" in w for w in windows)
+    # Windows see rows that are aggregated already, and always have a partition key.
+    for window in re.findall(r"Window (\[.*)", plan):
+        partition = re.search(r"\], \[([^\]]*)\]", window)
+        assert partition and partition[1] and "ASC" not in partition[1] and "DESC" not in partition[1], window
+
+
+def test_baseline_comparison_reads_the_log_once(spark, sf_dir):
+    assert _plan(QUERIES["time_reduction"].run(spark, sf_dir)).count("FileScan") == 1
 
 
 def test_scans_read_only_needed_columns(spark, sf_dir):
