@@ -208,11 +208,53 @@ def ordered_chain(decoders: Sequence, prefer: str | None) -> list:
     return named[:1] or list(decoders)
 
 
+class OpenClip:
+    """One clip, read by the first decoder that opens it; when a read raises, by the next one.
+
+    Whatever a codec does wrong is data here, never a reason to fail the job.
+    """
+
+    def __init__(self, chain: Sequence, path: str) -> None:
+        self._left = list(chain)
+        self._path = path
+        self._errors: list[str] = []
+        self.clip = None
+        self._next()
+
+    def _next(self) -> None:
+        self.close()
+        self.clip = None
+        while self.clip is None and self._left:
+            self._name, decoder = self._left[0].name, self._left.pop(0)
+            try:
+                self.clip = decoder.open(self._path)
+            except Exception as exc:
+                self._errors.append(f"{self._name}: {exc}")
+
+    @property
+    def error(self) -> str | None:
+        """Why no decoder is left, or None while there is one."""
+        return None if self.clip is not None else "; ".join(self._errors) or "no decoder"
+
+    def read(self, at: int) -> np.ndarray | None:
+        while self.clip is not None:
+            try:
+                return self.clip.read(at)
+            except Exception as exc:
+                self._errors.append(f"{self._name}: {exc}")
+                self._next()
+        return None
+
+    def close(self) -> None:
+        if self.clip is not None:
+            self.clip.close()
+
+
 def _read_requests(stream, chain, height, width, method):
     """Yield (request, bytes, status, error), keeping one clip open at a time."""
     resize = kernels.RESIZERS[method]
     zeros = bytes(height * width * 3)
-    current, clip, error = None, None, None
+    current, clip = None, None
     try:
         for batch in stream:
             for *row, failure in zip(*[column.to_pylist() for column in batch.columns], strict=True):
@@ -226,12 +268,11 @@ def _read_requests(stream, chain, height, width, method):
                 if (video_idx, path) != current:
                     if clip is not None:
                         clip.close()
-                    current, (clip, error) = (video_idx, path), open_first(chain, path)
-                if clip is None:
-                    yield row, zeros, schemas.ERROR, error
-                    continue
-                frame = _read_frame(clip, at)
-                if frame is None:
+                    current, clip = (video_idx, path), OpenClip(chain, path)
+                frame = clip.read(at)
+                if clip.error is not None:
+                    yield row, zeros, schemas.ERROR, clip.error
+                elif frame is None:
                     yield row, zeros, schemas.ZERO_FILLED, None
                 else:
                     yield row, resize(frame, height, width).tobytes(), schemas.OK, None
@@ -262,24 +303,6 @@ def _read_clips(stream, chain, height, width, method) -> Iterator[_DecodedClip]:
         yield _DecodedClip(video_idx, path, list(data), status, next(filter(None, errors), None))
 
 
-def open_first(chain: Sequence, path: str):
-    """(clip, None) from the first decoder that opens the file, else (None, messages)."""
-    failures = []
-    for decoder in chain:
-        try:
-            return decoder.open(path), None
-        except Exception as exc:  # any fault of a codec is data, not a reason to fail the job
-            failures.append(f"{decoder.name}: {exc}")
-    return None, "; ".join(failures) or "no decoder"
-
-
-def _read_frame(clip, at: int) -> np.ndarray | None:
-    try:
-        return clip.read(at)
-    except Exception:
-        return None
-
-
 # --- arrays and bytes -------------------------------------------------------
 
 
@@ -288,8 +311,12 @@ def from_arrays(df: DataFrame, px: Column, height: int, width: int, channels: in
 
     @F.arrow_udf("binary")
     def pack(values: pa.Array) -> pa.Array:
-        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
-        return _as_binary(flat.reshape(len(values), -1)) if len(values) else pa.array([], pa.binary())
+        present = values.is_valid().to_numpy(zero_copy_only=False)
+        if not present.any():
+            return pa.nulls(len(values), pa.binary())
+        flat = values.drop_null().flatten().to_numpy().astype(np.uint8)
+        packed = _as_binary(flat.reshape(-1, height * width * channels))
+        return packed if present.all() else packed.take(pa.array(np.cumsum(present) - 1, mask=~present))
 
     return df.withColumns(
         {
@@ -317,7 +344,6 @@ def to_array(data: Column, dtype: str = "uint8") -> Column:
 
 # --- per-frame functions on binary pixels -----------------------------------
 
-
 # Rows go to a kernel together up to this size, so that small frames do not cost a call each
 # and large ones stay in cache.
 BYTES_PER_CALL = 1 << 20
@@ -381,6 +407,15 @@ def reverse_channels(frames: DataFrame) -> DataFrame:
     return _apply(frames, lambda rows: rows[..., ::-1])
 
 
+def to_rgb(frames: DataFrame) -> DataFrame:
+    """BGR, BGRA or grey pixels to RGB."""
+
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        return rows[..., 2::-1] if rows.shape[-1] >= 3 else rows[..., :1].repeat(3, axis=-1)
+
+    return _apply(frames, kernel, channels=F.lit(3))
+
+
 def to_chw(frames: DataFrame) -> DataFrame:
     """Rewrite HWC pixels as CHW. The size columns keep their meaning."""
     return _apply(frames, lambda rows: np.moveaxis(rows, -1, -3), layout=F.lit("CHW"))

@@ -110,8 +110,8 @@ def image_frames(spark: SparkSession, base: str, spec: ClipSpec = ClipSpec(), su
     wanted = frames.fan_out(lengths, spec.n_frames).drop("total_frames")
     files = frames.fetch(wanted, keyed, ["video_path", "frame_idx"])
     found = frames.fetch(files, media.images(spark, base), ["video_path", "frame_name"]).drop("status")
-    sized = frames.resize(frames.reverse_channels(found), spec.height, spec.width, spec.method)
-    return frames.zero_fill(sized, F.lit(bytearray(spec.height * spec.width * 3))).withColumn("channels", F.lit(3))
+    sized = frames.resize(frames.to_rgb(found), spec.height, spec.width, spec.method)
+    return frames.zero_fill(sized, F.lit(bytearray(spec.height * spec.width * 3)))
 
 
 def clip_means(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:

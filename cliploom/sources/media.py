@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cliploom import schemas
 from cliploom.functions.paths import VIDEO_SUFFIXES, has_suffix, known_size, plain_path, video_name
 from cliploom.functions.sampling import duration_or_default, frames_or_default, sample_indices, sample_timestamps
-from cliploom.operators.frames import open_first
+from cliploom.operators.frames import OpenClip
 from cliploom.sources import listing
 
 __all__ = [
@@ -126,14 +126,15 @@ def probe(found: DataFrame, decoders: Sequence) -> DataFrame:
 
 
 def _probe_one(chain: Sequence, path: str) -> tuple:
-    clip, error = open_first(chain, path)
-    if clip is None:
-        return (0, None, None, None, schemas.ERROR, error)
+    opened = OpenClip(chain, path)
+    if opened.error is not None:
+        return (0, None, None, None, schemas.ERROR, opened.error)
     try:
+        clip = opened.clip
         status = schemas.OK if clip.total_frames > 0 else schemas.EMPTY
         return (clip.total_frames, clip.fps, clip.width, clip.height, status, None)
     finally:
-        clip.close()
+        opened.close()
 
 
 def images(spark: SparkSession, base: str) -> DataFrame:

@@ -230,8 +230,36 @@ def test_named_decoder_and_chain():
     chain = [Y4MDecoder(), OpenCvDecoder()]
     assert [d.name for d in frames.ordered_chain(chain, "OpenCV")] == ["opencv"]
     assert [d.name for d in frames.ordered_chain(chain, "unknown")] == ["y4m", "opencv"]
-    clip, error = frames.open_first(chain, "/no/such/file")
-    assert clip is None and "y4m" in error and "opencv" in error
+    error = frames.OpenClip(chain, "/no/such/file").error
+    assert "y4m" in error and "opencv" in error
+
+
+class Fragile:
+    """Opens everything and breaks on the second frame."""
+
+    name = "fragile"
+    total_frames, fps, width, height = 4, 1.0, 2, 2
+
+    def open(self, path):
+        return self
+
+    def read(self, i):
+        if i > 0:
+            raise OSError("broken")
+        return np.full((2, 2, 3), 9, np.uint8)
+
+    def close(self):
+        pass
+
+
+def test_next_decoder_takes_over_when_a_read_raises(tmp_path):
+    levels = write_y4m(tmp_path / "a.mp4", RNG.integers(16, 236, (4, 2, 2)), "mono")
+    clip = frames.OpenClip([Fragile(), Y4MDecoder()], str(tmp_path / "a.mp4"))
+    assert clip.read(0).max() == 9
+    np.testing.assert_array_equal(clip.read(3)[..., 0], levels[3])
+    assert clip.error is None
+    alone = frames.OpenClip([Fragile()], "x")
+    assert alone.read(0) is not None and alone.read(1) is None and "broken" in alone.error
 
 
 def test_image_folders_as_clips(spark, tmp_path):

@@ -131,6 +131,23 @@ def test_rows_of_many_sizes_and_null_pixels(spark):
         assert got == [None if k % 5 == 0 else kernel(f).tobytes() for k, f in enumerate(stack)]
 
 
+def test_bytes_from_arrays_and_back(spark):
+    df = spark.createDataFrame([(0, [1, 255]), (1, None), (2, [0, 128])], "id int, px array<int>").coalesce(1)
+    table = frames.from_arrays(df, F.col("px"), 1, 2, 1)
+    rows = table.select("id", "data", frames.to_array(F.col("data")).alias("back")).orderBy("id").collect()
+    assert [r.data and list(r.data) for r in rows] == [[1, 255], None, [0, 128]]
+    assert [r.back for r in rows] == [[1.0, 255.0], None, [0.0, 128.0]]
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_any_image_to_rgb(spark, channels):
+    frame = RNG.integers(0, 256, (2, 3, channels), dtype=np.uint8)
+    df = spark.createDataFrame([(frame.ravel().tolist(),)], "px array<int>")
+    row = frames.to_rgb(frames.from_arrays(df, F.col("px"), 2, 3, channels)).first()
+    want = np.repeat(frame, 3, axis=2) if channels == 1 else frame[..., 2::-1]
+    assert (bytes(row.data), row.channels) == (want.tobytes(), 3)
+
+
 def test_status_decides_what_zero_means(spark):
     stack = np.zeros((4, 2, 2, 3), np.uint8)
     table = _frame_table(spark, stack, ["ok", "zero_filled", "empty", "error"])
