@@ -12,9 +12,14 @@ from cliploom.functions import pixels
 from cliploom.operators.index import dense_index
 
 
-def assign(df: DataFrame, order: Sequence[str | Column], size: int, idx: str = "idx") -> DataFrame:
-    """Add a dense ``idx`` and ``batch_id = idx div size``. The last batch may be short."""
-    return with_batch_id(dense_index(df, order, name=idx), size, idx)
+def assign(
+    df: DataFrame, order: Sequence[str | Column], size: int, idx: str = "idx", unique: bool = False
+) -> DataFrame:
+    """Add a dense ``idx`` and ``batch_id = idx div size``. The last batch may be short.
+
+    ``unique`` says that no two rows have the same order key.
+    """
+    return with_batch_id(dense_index(df, order, name=idx, unique=unique), size, idx)
 
 
 def with_batch_id(df: DataFrame, size: int, idx: str = "idx") -> DataFrame:
@@ -22,9 +27,10 @@ def with_batch_id(df: DataFrame, size: int, idx: str = "idx") -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(idx) / size))
 
 
-def shuffle(df: DataFrame, keys: Sequence[str], seed: int, idx: str = "idx") -> DataFrame:
+def shuffle(df: DataFrame, keys: Sequence[str], seed: int, idx: str = "idx", unique: bool = False) -> DataFrame:
     """Random order that the seed fixes: adds each row's position in it."""
-    return dense_index(df, [pixels.shuffle_key(seed, *[F.col(k) for k in keys]), *keys], name=idx)
+    drawn = pixels.shuffle_key(seed, *[F.col(k) for k in keys])
+    return dense_index(df, [drawn, *keys], name=idx, unique=unique)
 
 
 def repartition(df: DataFrame, n: int, *keys: str) -> DataFrame:

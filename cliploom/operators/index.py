@@ -15,11 +15,12 @@ from cliploom.session import shared_dir
 # inside the partition below it.
 _POSITION_BITS = 33
 _SLOT, _PART, _POS, _SHIFT = "__slot", "__part", "__pos", "__shift"
+_TIE = "__tie"
 _OF = "__of_"  # prefix of the key columns on the shift side
 
 
 def dense_index(
-    df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "idx"
+    df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "idx", unique: bool = False
 ) -> DataFrame:
     """Add ``name``: 0, 1, 2, … in the given order, restarting for each ``by`` group.
 
@@ -29,11 +30,19 @@ def dense_index(
     its partition plus the rows of the group in earlier partitions is its index.
     Pass narrow rows (keys and ids) and join wide columns afterwards.
 
-    ``order`` should end in a unique column, otherwise ties fall in any order.
+    Rows that tie fall in any order. As equal sort keys cannot be split, copies get a
+    tie-breaker: their place in a first checkpoint, where it is the same for every reader.
+    Say ``unique`` when (by, order) has no repeats, such as an id, to leave that out.
     """
     shared_dir(df.sparkSession)
+    keys = [*by, *order]
+    rows = df
+    if not unique:
+        rows = df.checkpoint().withColumn(_TIE, F.monotonically_increasing_id())
+        keys.append(_TIE)
     slots = (
-        df.orderBy(*by, *order)
+        rows.orderBy(*keys)
+        .drop(_TIE)
         .checkpoint()
         .withColumn(_SLOT, F.monotonically_increasing_id())
         .withColumn(_PART, F.shiftright(_SLOT, _POSITION_BITS).cast("int"))

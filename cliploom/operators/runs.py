@@ -73,7 +73,7 @@ def by_framework(runs: DataFrame) -> DataFrame:
     Rows and not lists: a framework's runs may be a third of the log.
     """
     named = runs.withColumn("framework", framework_of(F.col("name")))
-    return dense_index(named, ["run_no"], by=["framework"], name="position")
+    return dense_index(named, ["run_no"], by=["framework"], name="position", unique=True)
 
 
 def repetition_stats(runs: DataFrame, by: str, frames_per_run: int) -> DataFrame:

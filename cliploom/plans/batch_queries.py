@@ -21,7 +21,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batched_events(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    return batches.assign(_events(spark, sf_dir), ["event_id"], size)
+    return batches.assign(_events(spark, sf_dir), ["event_id"], size, unique=True)
 
 
 @query("B1", "SELECT doc_id, upper(lang) AS lang, n_chars / 25.0::DOUBLE AS duration FROM documents")
@@ -52,7 +52,7 @@ def batch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("B3", f"WITH {_SQL_INDEXED} SELECT event_id, idx, idx // 16 AS batch_id FROM ds")
 def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = host.table(spark, sf_dir, "events").select("event_id")
-    return batches.assign(events, ["event_id"], 16)
+    return batches.assign(events, ["event_id"], 16, unique=True)
 
 
 @query("B4", f"WITH {_SQL_INDEXED} SELECT idx // 16 AS batch_id, round(avg(value), 6) AS batch_mean FROM ds GROUP BY 1")
@@ -70,7 +70,7 @@ FROM ds GROUP BY 1""",
 )
 def batch_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = host.listing(spark, sf_dir).withColumn("video_name", video_name(F.col("video_path")))
-    collated = batches.collate(batches.assign(pages, ["page_id"], 4), ["video_path", "video_name"])
+    collated = batches.collate(batches.assign(pages, ["page_id"], 4, unique=True), ["video_path", "video_name"])
     return collated.select(
         "batch_id",
         "batch_size",
@@ -84,7 +84,7 @@ def batch_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_id, row_number() OVER (ORDER BY md5('42|' || event_id), event_id) - 1 AS idx FROM events",
 )
 def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batches.shuffle(host.table(spark, sf_dir, "events").select("event_id"), ["event_id"], seed=42)
+    return batches.shuffle(host.table(spark, sf_dir, "events").select("event_id"), ["event_id"], seed=42, unique=True)
 
 
 @query("B7", "SELECT lang, count(*) AS clips, sum(n_chars)::BIGINT AS total_frames FROM documents GROUP BY lang")

@@ -105,7 +105,7 @@ def image_frames(spark: SparkSession, base: str, spec: ClipSpec = ClipSpec(), su
     """
     ship_package(spark)
     names = media.image_names(media.list_binary_files(spark, base, suffixes))
-    keyed = dense_index(names, ["frame_name"], by=["video_path"], name="frame_idx")
+    keyed = dense_index(names, ["frame_name"], by=["video_path"], name="frame_idx", unique=True)
     lengths = keyed.groupBy("video_path").agg(F.count(F.lit(1)).alias("total_frames"))
     wanted = frames.fan_out(lengths, spec.n_frames).drop("total_frames")
     files = frames.fetch(wanted, keyed, ["video_path", "frame_idx"])

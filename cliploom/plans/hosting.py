@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def frame_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip, vec_id, frame_idx): the position of each frame in its clip. Keys only."""
     keys = table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id")
-    return dense_index(keys, ["vec_id"], by=["clip"], name="frame_idx")
+    return dense_index(keys, ["vec_id"], by=["clip"], name="frame_idx", unique=True)
 
 
 def clip_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

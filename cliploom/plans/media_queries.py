@@ -86,8 +86,8 @@ SELECT asked_by, video_idx, vec_id, label, (SELECT count(*) FROM ds) AS length F
 def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of an indexed dataset, fetched by position in the order of a random sampler."""
     rows = host.table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    ds = dataset.indexed(rows, ["vec_id"])
-    asked = batches.shuffle(rows.select(F.col("vec_id").alias("asked_by")), ["asked_by"], seed=5, idx="video_idx")
+    ds = dataset.indexed(rows, ["vec_id"], unique=True)
+    asked = batches.shuffle(rows.select(F.col("vec_id").alias("asked_by")), ["asked_by"], seed=5, idx="video_idx", unique=True)
     return dataset.gather(ds, asked).withColumn("length", F.lit(dataset.length(ds)))
 
 

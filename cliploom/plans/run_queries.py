@@ -45,7 +45,7 @@ def throughput_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = host.table(spark, sf_dir, "events").select("event_id")
-    return _rounded(batches.batch_stats(batches.assign(events, ["event_id"], 16)), "avg_batch_size")
+    return _rounded(batches.batch_stats(batches.assign(events, ["event_id"], 16, unique=True)), "avg_batch_size")
 
 
 @query(

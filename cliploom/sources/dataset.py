@@ -66,9 +66,9 @@ def preload(df: DataFrame, how: str = "persist") -> DataFrame:
     return load(df.sparkSession, save(df, path), df.schema)
 
 
-def indexed(df: DataFrame, order: Sequence[str | Column], idx: str = "video_idx") -> DataFrame:
+def indexed(df: DataFrame, order: Sequence[str | Column], idx: str = "video_idx", unique: bool = False) -> DataFrame:
     """Give each row its position, for random access."""
-    return dense_index(df, order, name=idx)
+    return dense_index(df, order, name=idx, unique=unique)
 
 
 def length(df: DataFrame) -> int:

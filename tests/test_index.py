@@ -19,7 +19,8 @@ def _expected(rows, by, order):
 
 @pytest.mark.parametrize("by", [(), ("g",), ("g", "h")])
 @pytest.mark.parametrize("parts", [1, 5])
-def test_equals_brute_force(spark, by, parts):
+@pytest.mark.parametrize("unique", [True, False])
+def test_equals_brute_force(spark, by, parts, unique):
     rnd = random.Random(3)
     # A third of the rows share one group and one sort value; some groups are null.
     rows = [
@@ -28,7 +29,7 @@ def test_equals_brute_force(spark, by, parts):
         for i in range(3000)
     ]
     df = spark.createDataFrame(rows, "id bigint, g string, h int, t int").repartition(parts)
-    got = {r.id: r.idx for r in dense_index(df, ["t", "id"], by=by).collect()}
+    got = {r.id: r.idx for r in dense_index(df, ["t", "id"], by=by, unique=unique).collect()}
     assert got == _expected(rows, by, ("t", "id"))
 
 
@@ -43,18 +44,34 @@ def test_empty_table(spark):
     assert dense_index(spark.range(0).withColumn("g", F.lit(1)), ["id"], by=["g"]).count() == 0
 
 
-def test_hot_group_spreads_over_tasks(spark):
+@pytest.fixture
+def no_coalescing(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def _largest_task(df) -> int:
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_hot_group_spreads_over_tasks(spark, no_coalescing):
     df = spark.range(60_000).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")))
-    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        indexed = dense_index(df, ["id"], by=["g"])
-        hot = indexed.where("g = 'hot'").groupBy(F.spark_partition_id()).count().collect()
-        assert len(hot) > 2
-        assert max(r["count"] for r in hot) < 12_000
-        assert indexed.where("g = 'hot'").agg(F.max("idx"), F.count_distinct("idx")).first()[:] == (19_999, 20_000)
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    hot = dense_index(df, ["id"], by=["g"], unique=True).where("g = 'hot'")
+    assert _largest_task(hot) < 12_000
+    assert hot.agg(F.max("idx"), F.count_distinct("idx")).first()[:] == (19_999, 20_000)
+
+
+def test_copies_spread_over_tasks(spark, no_coalescing):
+    """A third of the rows are the same row, many times."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 30_000).otherwise(F.col("id")).alias("x"))
+    indexed = dense_index(df, ["x"])
+    assert _largest_task(indexed) < 15_000
+    assert indexed.agg(F.min("idx"), F.max("idx"), F.count_distinct("idx")).first()[:] == (0, 59_999, 60_000)
+    ordered = [r.x for r in indexed.orderBy("idx").collect()]
+    assert ordered == sorted(ordered)
 
 
 def test_plan_has_no_window_over_rows(spark):
