@@ -80,3 +80,11 @@ def normalize(frames: np.ndarray, dtype: str = "float32") -> np.ndarray:
     values = np.multiply(frames.reshape(-1, width * channels), scale, dtype=dtype)
     values -= shift
     return values.reshape(frames.shape)
+
+
+def normalized_mean(frame: np.ndarray) -> float:
+    """Mean of ``normalize(frame)``, from exact sums per channel."""
+    height, width, channels = frame.shape
+    columns = frame.reshape(height, width * channels).sum(axis=0, dtype=np.int64)
+    means = columns.reshape(width, channels).sum(axis=0) / (height * width)
+    return float(((means / 255.0 - np.array(MEAN)) / np.array(STD)).mean())

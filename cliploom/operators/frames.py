@@ -71,7 +71,7 @@ def fetch(requests: DataFrame, stored: DataFrame, on: Sequence[str]) -> DataFram
     shared_dir(requests.sparkSession)
     requests = requests.checkpoint()
     keys = requests.select(*on).dropna()
-    if fits_broadcast(keys, requests.count()):
+    if fits_broadcast(keys):
         stored = stored.join(F.broadcast(keys), list(on), "left_semi")
     return requests.join(stored, list(on), "left")
 
@@ -149,7 +149,7 @@ def decode_means(
             mean = 0.0
             if clip.status != schemas.ERROR:
                 frames = [np.frombuffer(d, np.uint8).reshape(height, width, 3) for d in clip.data]
-                mean = float(np.mean([kernels.normalize(f).mean(dtype=np.float64) for f in frames]))
+                mean = sum(map(kernels.normalized_mean, frames)) / len(frames)
             yield clip.video_idx, clip.path, clip.delivered, clip.status, clip.error, mean
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

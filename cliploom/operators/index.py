@@ -73,4 +73,4 @@ def _group_shifts(slots: DataFrame, by: Sequence[str]) -> DataFrame:
     runs = slots.groupBy(_PART, *by).agg(F.count(F.lit(1)).alias("__n"), F.min(_POS).alias("__first"))
     shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")
     shifts = runs.select(*[F.col(c).alias(_OF + c) for c in (_PART, *by)], shift.alias(_SHIFT)).checkpoint()
-    return broadcast_if_small(shifts, shifts.count())
+    return broadcast_if_small(shifts)

@@ -1,23 +1,34 @@
-"""Broadcast only what was counted. For tables of keys and numbers, not of pixels."""
+"""Broadcast only what was measured."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A row of a hash table takes about this much besides its values.
-_ROW_OVERHEAD = 64
-_BYTES_PER_COLUMN = 32
+# A row of a hash table takes about this much besides its strings.
+_BYTES_PER_ROW = 64
+_BYTES_PER_COLUMN = 16
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a table of ``rows`` rows for broadcast when it is below the session's limit.
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a table for broadcast when it is below the session's limit, else leave it to a shuffle.
 
-    Otherwise it stays as it is and Spark joins by shuffle.
+    Measures the table, so pass one that is checkpointed.
     """
-    return F.broadcast(df) if fits_broadcast(df, rows) else df
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    strings = [F.coalesce(F.sum(F.octet_length(name)), F.lit(0)) for name, kind in df.dtypes if kind == "string"]
+    rows, *lengths = df.agg(F.count(F.lit(1)), *strings).first()
+    size = rows * (_BYTES_PER_ROW + _BYTES_PER_COLUMN * len(df.columns)) + sum(lengths)
+    return size <= broadcast_limit(df.sparkSession)
 
 
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    limit = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).removesuffix("b")
-    return rows * (_ROW_OVERHEAD + _BYTES_PER_COLUMN * len(df.columns)) <= int(limit)
+def broadcast_limit(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; it may be set as 64MB, 10m or -1."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)(?:i?b)?", text).groups()
+    return int(number) << (10 * " kmgtp".index(unit or " "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cliploom.plans import batch_queries, frame_queries, media_queries, run_queries  # noqa: F401
+from cliploom.plans import batch_queries, decode_queries, frame_queries, media_queries, run_queries  # noqa: F401
 from cliploom.plans.registry import REGISTRY, Query
 
 

@@ -40,8 +40,11 @@ def list_media(
     """Files below ``base`` whose name ends with a suffix (case-sensitive), at any depth.
 
     For file systems that every executor mounts. Includes empty files and names that
-    start with ``_`` or ``.``. The tree is read once, now.
+    start with ``_`` or ``.``. The tree is read once, now. A base with a scheme, such as
+    ``s3://``, goes to ``list_binary_files``.
     """
+    if "://" in base:
+        return list_binary_files(spark, base, suffixes)
     return listing.walk(spark, base, suffixes, sizes, budget)
 
 

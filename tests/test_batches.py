@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cliploom.operators import batches, fallback, observe
+from cliploom.operators import batches, fallback, observe, sizing
 
 
 @settings(max_examples=60, deadline=None)
@@ -75,3 +75,19 @@ def test_observation_counts_rows_in_flight(spark):
     df, seen = observe.counted(spark.range(77), "rows")
     df.write.format("noop").mode("overwrite").save()
     assert seen.get["samples"] == 77
+
+
+@pytest.mark.parametrize("text,size", [("10485760b", 10 << 20), ("64MB", 64 << 20), ("1g", 1 << 30), ("-1", -1), ("8kb", 8192)])
+def test_broadcast_limit(spark, text, size):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, text)
+        assert sizing.broadcast_limit(spark) == size
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_long_strings_count_towards_the_limit(spark):
+    assert sizing.fits_broadcast(spark.range(1000))
+    assert not sizing.fits_broadcast(spark.range(1000).select(F.repeat(F.lit("x"), 20_000).alias("s")))

@@ -180,7 +180,7 @@ def test_means_in_the_decode_task_equal_means_of_tensors(spark, library):
     means = tensors.select("video_idx", frames.mean_value(F.col("data"), "float64").alias("m"))
     want = {r.video_idx: r.m for r in means.collect()}
     got = {r.video_idx: r.mean_value for r in clip_job.clip_means(job_clips, SPEC).collect()}
-    assert got == pytest.approx(want, abs=1e-5)
+    assert got == pytest.approx(want, abs=1e-12)
 
 
 def test_collated_batches(spark, library):
