@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cliploom import schemas
 from cliploom.functions import pixels
 from cliploom.operators.index import dense_index
 
@@ -43,6 +44,20 @@ def map_rows(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns)
 
 
+def map_function(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
+    """Call a Python function on every row, as a dict. For functions that expressions cannot state.
+
+    Rows cross to Python in Arrow batches; ``schema`` uses the types of ``schemas``.
+    """
+    layout = schemas.arrow(schema)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            yield pa.RecordBatch.from_pylist([fn(row) for row in batch.to_pylist()], layout)
+
+    return df.mapInArrow(run, schema)
+
+
 def rebatch(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Cut a stream of Arrow batches into batches of ``size`` rows; the last may be short."""
     held: list[pa.RecordBatch] = []

@@ -31,6 +31,15 @@ def row_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.select("doc_id", "lang", "duration")
 
 
+@query("B1", "SELECT doc_id, lang || '-' || source AS label, n_chars // 25 AS seconds FROM documents")
+def row_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def describe(row: dict) -> dict:
+        return {"doc_id": row["doc_id"], "label": f"{row['lang']}-{row['source']}", "seconds": row["n_chars"] // 25}
+
+    docs = host.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return batches.map_function(docs, describe, "doc_id bigint, label string, seconds bigint")
+
+
 @query(
     "B2",
     f"""WITH {host.SQL_FRAMES}, valued AS (SELECT vec_id, {host.sql_normalize("px")} AS v FROM frames)

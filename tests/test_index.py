@@ -33,6 +33,21 @@ def test_equals_brute_force(spark, by, parts, unique):
     assert got == _expected(rows, by, ("t", "id"))
 
 
+def test_without_broadcast(spark):
+    """More groups than a broadcast may hold: the shifts join by shuffle."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = spark.range(5000).withColumn("g", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 700))
+        indexed = dense_index(df, ["id"], by=["g"], unique=True)
+        assert "SortMergeJoin" in indexed._jdf.queryExecution().executedPlan().toString()
+        rows = [r.asDict() for r in df.collect()]
+        assert {r.id: r.idx for r in indexed.collect()} == _expected(rows, ("g",), ("id",))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_descending_and_expression_order(spark):
     df = spark.range(100)
     got = {r.id: r.idx for r in dense_index(df, [F.desc("id")]).collect()}
