@@ -6,8 +6,8 @@ frames; a clip is one uncompressed video file.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +29,52 @@ FRAMES_PER_CLIP = 64
 HEADER = b"YUV4MPEG2 W8 H8 F25:1 Ip A1:1 Cmono\n"
 SPEC = clip_job.ClipSpec(height=8, width=8, decoders=(Y4MDecoder(),), batch_size=4)
 
-_folders: dict[tuple[str, str], str] = {}
+# Files that go wrong: a header that promises 20 frames before 12, no bytes, and no video.
+SHORT_HEADER = HEADER.replace(b"\n", b" XFRAMES=20\n")
+SHORT_FRAMES = 12
+
+_folders: dict[tuple[str, str, str], str] = {}
 
 
 def clip_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Write the clips once per application, below the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Folder with the clips, written once per application below the shared folder."""
+    part = F.floor(F.col("frame_idx") / FRAMES_PER_CLIP)
+    keys = host.frame_keys(spark, sf_dir).withColumn("name", F.format_string("%06d-%06d", F.col("clip"), part))
+    return _folder(spark, sf_dir, "clips", keys, _whole_clip)
+
+
+def broken_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with three faulty files per label."""
+    keys = host.frame_keys(spark, sf_dir).where(F.col("frame_idx") < SHORT_FRAMES)
+    return _folder(spark, sf_dir, "broken", keys.withColumn("name", F.format_string("%06d", F.col("clip"))), _faulty_files)
+
+
+def _whole_clip(name: str, stored: Iterator[bytes]) -> Iterator[tuple[str, Iterable[bytes]]]:
+    yield f"{name}.mp4", chain([HEADER], stored)
+
+
+def _faulty_files(name: str, stored: Iterator[bytes]) -> Iterator[tuple[str, Iterable[bytes]]]:
+    yield f"{name}-short.mp4", chain([SHORT_HEADER], stored)
+    yield f"{name}-empty.mp4", []
+    yield f"{name}-junk.mp4", [b"not a video"]
+
+
+Files = Callable[[str, Iterator[bytes]], Iterator[tuple[str, Iterable[bytes]]]]
+
+
+def _folder(spark: SparkSession, sf_dir: str, kind: str, keys: DataFrame, files: Files) -> str:
+    """Write the files of each ``name``; its frames lie in order in one task, 64 at most."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _folders:
-        folder = scratch_path(spark, "clips").removeprefix("file:")
-        _write(_clip_frames(spark, sf_dir), folder)
+        folder = scratch_path(spark, kind).removeprefix("file:")
+        tasks = frames.tasks_for(keys.count(), 64 * FRAMES_PER_CLIP, spark.sparkContext.defaultParallelism)
+        rows = keys.join(host.grey_pixels(spark, sf_dir), "vec_id").select("name", "frame_idx", "px")
+        _write(rows.repartition(tasks, "name").sortWithinPartitions("name", "frame_idx"), folder, files)
         _folders[key] = folder
     return _folders[key]
 
 
-def _clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, frame_idx, px), a clip's frames in order in one task. A clip is at most 64 rows."""
-    keys = host.frame_keys(spark, sf_dir)
-    part = F.floor(F.col("frame_idx") / FRAMES_PER_CLIP)
-    name = F.format_string("%06d-%06d.mp4", F.col("clip"), part)
-    rows = keys.withColumn("name", name).join(host.grey_pixels(spark, sf_dir), "vec_id")
-    tasks = frames.tasks_for(keys.count(), 64 * FRAMES_PER_CLIP, spark.sparkContext.defaultParallelism)
-    return rows.select("name", "frame_idx", "px").repartition(tasks, "name").sortWithinPartitions("name", "frame_idx")
-
-
-def _write(clip_frames: DataFrame, folder: str) -> None:
+def _write(clip_frames: DataFrame, folder: str, files: Files) -> None:
     filesystem, base = pafs.FileSystem.from_uri(folder)
     filesystem.create_dir(base)
 
@@ -61,13 +83,14 @@ def _write(clip_frames: DataFrame, folder: str) -> None:
         attempt = TaskContext.get().taskAttemptId()
         rows = ((n, p) for b in stream for n, p in zip(b["name"].to_pylist(), b["px"], strict=True))
         for name, clip in groupby(rows, key=lambda r: r[0]):
-            # Moved into place when complete: a second attempt of the task cannot mix with the first.
-            draft = f"{base}/.{name}.{attempt}"
-            with target.open_output_stream(draft) as out:
-                out.write(HEADER)
-                for _, px in clip:
-                    out.write(b"FRAME\n" + px.values.to_numpy().astype(np.uint8).tobytes())
-            target.move(draft, f"{base}/{name}")
+            stored = (b"FRAME\n" + px.values.to_numpy().astype(np.uint8).tobytes() for _, px in clip)
+            for file, content in files(name, stored):
+                # Moved into place when complete: a second attempt of the task cannot mix with the first.
+                draft = f"{base}/.{file}.{attempt}"
+                with target.open_output_stream(draft) as out:
+                    for some in content:
+                        out.write(some)
+                target.move(draft, f"{base}/{file}")
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
     clip_frames.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
@@ -77,14 +100,18 @@ _SQL_CLIPS = f"""WITH {host.SQL_FRAMES}, cut AS (
   SELECT printf('%06d-%06d.mp4', clip, frame_idx // 64) AS video_name, frame_idx % 64 AS frame_no, grey FROM frames),
 lengths AS (SELECT video_name, count(*) AS total FROM cut GROUP BY video_name)"""
 
+# SQL: mean of a grey frame after normalisation with the three channels' constants.
+_SQL_FRAME_MEAN = """list_avg(list_transform(grey, lambda x: (
+    (x / 255.0::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE + (x / 255.0::DOUBLE - 0.456::DOUBLE) / 0.224::DOUBLE
+    + (x / 255.0::DOUBLE - 0.406::DOUBLE) / 0.225::DOUBLE) / 3))"""
+_SQL_ZERO_MEAN = "(-0.485::DOUBLE / 0.229::DOUBLE - 0.456::DOUBLE / 0.224::DOUBLE - 0.406::DOUBLE / 0.225::DOUBLE) / 3"
+
 _SQL_MEANS = f"""{_SQL_CLIPS}, wanted AS (
   SELECT video_name, k, CASE WHEN k = 15 THEN total - 1
                              ELSE floor(k * ((total - 1) / 15.0::DOUBLE))::BIGINT END AS frame_no
   FROM lengths, range(16) r(k)),
 means AS (
-  SELECT video_name, avg(list_avg(list_transform(grey, lambda x: (
-    (x / 255.0::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE + (x / 255.0::DOUBLE - 0.456::DOUBLE) / 0.224::DOUBLE
-    + (x / 255.0::DOUBLE - 0.406::DOUBLE) / 0.225::DOUBLE) / 3))) AS mean_value
+  SELECT video_name, avg({_SQL_FRAME_MEAN}) AS mean_value
   FROM wanted JOIN cut USING (video_name, frame_no) GROUP BY video_name)"""
 
 
@@ -114,9 +141,33 @@ def clip_headers_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_SQL_MEANS} SELECT video_name, 16 AS frame_count, 'ok' AS status, round(mean_value, 6) AS mean_value FROM means""",
 )
 def decoded_clip_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = clip_job.clip_means(_clips(spark, sf_dir), SPEC)
+    return _named_means(_clips(spark, sf_dir))
+
+
+def _named_means(job_clips: DataFrame) -> DataFrame:
     name = video_name(F.col("video_path")).alias("video_name")
-    return means.select(name, "frame_count", "status", F.round("mean_value", 6).alias("mean_value"))
+    mean = F.round("mean_value", 6).alias("mean_value")
+    return clip_job.clip_means(job_clips, SPEC).select(name, "frame_count", "status", mean)
+
+
+@query(
+    "P6 P8 P9 P18 B11",
+    f"""WITH {host.SQL_FRAMES}, labels_seen AS (SELECT DISTINCT clip FROM frames),
+wanted AS (
+  SELECT clip, CASE WHEN k = 15 THEN 19 ELSE floor(k * (19 / 15.0::DOUBLE))::BIGINT END AS frame_idx
+  FROM labels_seen, range(16) r(k)),
+readable AS (SELECT * FROM frames WHERE frame_idx < {SHORT_FRAMES}),
+short AS (
+  SELECT clip, avg(coalesce({_SQL_FRAME_MEAN}, {_SQL_ZERO_MEAN})) AS mean_value
+  FROM wanted LEFT JOIN readable USING (clip, frame_idx) GROUP BY clip)
+SELECT printf('%06d-short.mp4', clip) AS video_name, 16 AS frame_count, 'zero_filled' AS status,
+       round(mean_value, 6) AS mean_value FROM short
+UNION ALL SELECT printf('%06d-empty.mp4', clip), 16, 'empty', round({_SQL_ZERO_MEAN}, 6) FROM labels_seen
+UNION ALL SELECT printf('%06d-junk.mp4', clip), 0, 'error', 0.0::DOUBLE FROM labels_seen""",
+)
+def faulty_clip_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What truncated, empty and unreadable files come to: flagged rows, and no failed job."""
+    return _named_means(clip_job.clips(media.list_media(spark, broken_folder(spark, sf_dir)), SPEC))
 
 
 @query(
