@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cliploom.llm import packing, token_files
+from cliploom.llm import decontamination, jaccard, packing, token_files
 from cliploom.llm.common import table
 from cliploom.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from cliploom.session import scratch_path
@@ -21,6 +22,79 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, folder)
 
 
+@query(
+    r"""
+    WITH RECURSIVE doc AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ),
+    gram AS (
+        SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM doc WHERE len(w) > 0)
+    ),
+    size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+    pair AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o
+        FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+    ),
+    link AS (
+        SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+        WHERE 100 * o >= 80 * (x.n + y.n - o)
+    ),
+    edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+    least AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(c, doc_id))::BIGINT AS component_id
+    FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)
+    """
+)
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    rf"""
+    WITH doc AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    item AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+    grams AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS k, list_slice(w, i, i + least(len(w), 10) - 1) AS gram
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item WHERE len(w) > 0)
+    ),
+    sizes AS (SELECT DISTINCT k FROM grams),
+    places AS (
+        SELECT doc_id, k, i, list_slice(w, i, i + k - 1) AS gram
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, sizes WHERE len(w) >= k)
+    ),
+    found AS (SELECT doc_id, item_id, k, i FROM places JOIN grams USING (k, gram)),
+    hit AS (
+        SELECT doc_id, count(DISTINCT j) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM found) GROUP BY doc_id
+    ),
+    names AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
+    """
+)
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
