@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import decontamination, jaccard, packing, token_files
+from cliploom.llm import decontamination, jaccard, packing, repeats, token_files
 from cliploom.llm.common import table
 from cliploom.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from cliploom.session import scratch_path
@@ -98,3 +98,16 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+@query()
+def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
