@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import decontamination, jaccard, packing, repeats, token_files
+from cliploom.llm import decontamination, jaccard, packing, repeats, token_files, toxicity
 from cliploom.llm.common import table
 from cliploom.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from cliploom.session import scratch_path
@@ -100,6 +100,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+@query()
+def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
