@@ -6,8 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import decontamination, jaccard, packing, repeats, token_files, toxicity
-from cliploom.llm.common import table
+from cliploom.llm import (
+    chat,
+    decontamination,
+    jaccard,
+    language_model,
+    packing,
+    pii,
+    repeats,
+    token_files,
+    toxicity,
+    vector_tree,
+)
+from cliploom.llm.common import kept, table
 from cliploom.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from cliploom.session import scratch_path
 
@@ -22,6 +33,43 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, folder)
 
 
+@query()
+def op2_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_tree.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query(
+    r"""
+    WITH word AS (
+        SELECT doc_id, i, w[i] AS w2, w[i - 1] AS w1, len(w) AS n
+        FROM (
+            SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i
+            FROM (SELECT doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)
+        )
+    ),
+    own AS (
+        SELECT *, count(*) OVER (PARTITION BY doc_id, w2) AS own1, count(*) OVER (PARTITION BY doc_id, w1, w2) AS own2,
+            count(*) OVER (PARTITION BY w2) AS all1, count(*) OVER (PARTITION BY w1, w2) AS all2 FROM word
+    ),
+    one AS (SELECT DISTINCT doc_id, w2 AS w1, all1 - own1 AS context FROM own),
+    scored AS (
+        SELECT doc_id, n, CASE WHEN i > 1 AND all2 > own2 THEN ln(all2 - own2) - ln(context)
+            ELSE ln(greatest(all1 - own1, 1)) + CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END
+                - ln(greatest((SELECT count(*) FROM word) - n, 1)) END AS s
+        FROM own LEFT JOIN one USING (doc_id, w1)
+    ),
+    total AS (SELECT doc_id, any_value(n) AS n, sum(s) AS s FROM scored GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / n, 5) AS mean_log_score
+    FROM documents LEFT JOIN total USING (doc_id)
+    """
+)
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_model.scores(table(spark, sf_dir, "documents"))
+    return found.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 5)})
+
+
 @query(
     r"""
     WITH RECURSIVE doc AS (
@@ -95,11 +143,44 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@query(
+    """
+    WITH said AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+    ),
+    marked AS (
+        SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&#10;'))
+            + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + 17 AS chars FROM said
+    )
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(chars)::BIGINT AS formatted_chars
+    FROM marked GROUP BY conv_id
+    """
+)
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = chat.turns(table(spark, sf_dir, "conversations")).union(chat.tricky(spark))
+    return chat.digests(kept(chat.formatted(said), "chat"))
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+SURROGATE_KEY = "cliploom"  # a deployment passes a secret of its own
+
+
+@query()
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymized(docs, SURROGATE_KEY, "n_entities")
+
+
 @query()
 def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -305,7 +305,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
 
 
-def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows of docs that score below the threshold, with all their columns."""
+def reject(docs: DataFrame, known: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows of docs that score below the threshold, with all their columns. Labels belong to texts of ``known``."""
     name = fresh(docs, "score")
-    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).drop(name)
+    return score(docs, fit(known, labels), name).where(F.col(name) < threshold).drop(name)
