@@ -4,22 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import packing
+from cliploom.llm import decontamination, jaccard, packing, pii, toxicity
 from cliploom.llm.common import kept, table
+from cliploom.llm.queries import BYTE_VOCABULARY, SURROGATE_KEY
 from cliploom.session import ship_package
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that it rejects go."""
+    return toxicity.reject(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: of each group of linked documents the one of smallest doc_id stays."""
+    ship_package(spark)
+    return jaccard.deduplicate(docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: occurrences of test items are cut out; documents that are mostly test items go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: personal data becomes surrogates."""
+    ship_package(spark)
+    return pii.pseudonymized(docs, SURROGATE_KEY)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of what is left."""
+    """Operator 7: pieces of all documents that are left, by sequence."""
     ship_package(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, BYTE_VOCABULARY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("pack", pack),
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", cut_benchmark),
+    ("pii", replace_personal_data),
+    ("best_fit_packing", pack),
 ]
 
 ORACLE_SQL = None  # learned scores, surrogates and token ids are not SQL; tests hold the stages against brute force
