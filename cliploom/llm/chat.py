@@ -90,8 +90,13 @@ def _turn_list(layout: Layout, value) -> Column:
     """array<struct<role, text>> of a record; ``value`` gives the column of a path as a type."""
     if layout.turns:
         kind = f"array<struct<`{layout.role}`: string, `{layout.text}`: string>>"
-        return F.transform(value(layout.turns, kind), lambda t: F.struct(_role(layout, t[layout.role]).alias("role"), t[layout.text].alias("text")))
-    parts = [F.struct(F.lit(role).alias("role"), value(name, "string").alias("text")) for role, name in layout.parts]
+
+        def turn(said: Column) -> Column:
+            role, text = (said[name].cast("string") for name in (layout.role, layout.text))
+            return F.struct(_role(layout, role).alias("role"), text.alias("text"))
+
+        return F.transform(value(layout.turns, kind), turn)
+    parts = [F.struct(F.lit(role).alias("role"), value(name, "string").cast("string").alias("text")) for role, name in layout.parts]
     return F.filter(F.array(*parts), lambda t: F.coalesce(t["text"], F.lit("")) != "")
 
 
@@ -112,7 +117,7 @@ def turns(df: DataFrame) -> DataFrame:
     if layout.by_row:
         said = df.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.col("text").cast("string"))
     else:
-        said = _exploded(df, _turn_list(layout, lambda name, kind: F.col(name).cast(kind)))
+        said = _exploded(df, _turn_list(layout, lambda name, _: F.col(name)))
     return said.fillna("", ["role", "text"])
 
 
