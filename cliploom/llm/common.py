@@ -7,8 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from cliploom.session import scratch_path, ship_package
 
 
+ROWS_PER_BATCH = 1_000  # rows that Spark hands to Python at once, at most; they may be long texts or packed blocks
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors and Arrow batches of bounded size."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ROWS_PER_BATCH:
+        spark.conf.set(setting, ROWS_PER_BATCH)
+    return ship_package(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:

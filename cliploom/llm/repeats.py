@@ -41,6 +41,7 @@ BUCKET_BYTES = 16 << 20  # text behind one bucket of digits
 SAMPLE = 4_000  # texts that tell frequent grams
 FREQUENT = 200_000  # grams at most that count as frequent
 _OFTEN = 8  # texts of the sample
+WINDOWS_AT_ONCE = 200_000
 
 RUN = np.dtype([("gram", "<u8"), ("all", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("state", "u1")])
 WIDE = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("state", "u1")])
@@ -174,17 +175,24 @@ def _windows(buckets: int) -> Callable:
             ids, runs = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("runs")
             for first, end, data, at in blocks(batch.column("text")):
                 own = runs.slice(first, end - first)
-                lengths = pc.list_value_length(own).to_numpy(zero_copy_only=False)
+                text = np.repeat(np.arange(end - first), pc.list_value_length(own).to_numpy(zero_copy_only=False))
                 start, n = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in own.flatten().flatten())
-                text = np.repeat(np.arange(end - first), lengths)
-                start = start + at[text]
-                each = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                text = np.repeat(text, n)
-                rows = np.zeros(len(each), WIDE)
-                rows["one"] = Substrings(data).hash(each, each + WINDOW)
-                rows["two"] = Substrings(data, second=True).hash(each, each + WINDOW)
-                rows["doc"], rows["start"] = ids[first + text], each - at[text]
-                yield _deal(rows, ("one", "two"), lambda rows: mix(rows["one"]), buckets)
+                one, two = Substrings(data), Substrings(data, second=True)
+                # Some runs at a time: a text may be all opened runs.
+                for some in np.array_split(np.arange(len(n)), -(-int(n.sum()) // WINDOWS_AT_ONCE) or 1):
+                    yield _deal(opened(one, two, ids[first:end], at, text[some], start[some], n[some]), ("one", "two"), key, buckets)
+
+    def opened(one: Substrings, two: Substrings, ids: np.ndarray, at: np.ndarray, text: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        each = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]][: len(n)], n) + np.arange(n.sum())
+        text = np.repeat(text, n)
+        rows = np.zeros(len(each), WIDE)
+        rows["doc"], rows["start"] = ids[text], each
+        each += at[text]
+        rows["one"], rows["two"] = one.hash(each, each + WINDOW), two.hash(each, each + WINDOW)
+        return rows
+
+    def key(rows: np.ndarray) -> np.ndarray:
+        return mix(rows["one"])
 
     return make
 
@@ -267,7 +275,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, at in blocks(batch.column("text"), 8 << 20):
+            for first, end, data, at in blocks(batch.column("text")):
                 own = batch.column("spans").slice(first, end - first)
                 lengths = pc.list_value_length(own).fill_null(0).to_numpy(zero_copy_only=False)
                 start, n = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in own.flatten().flatten())

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are taken in blocks of about this many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SECOND_BASE = np.uint64(0xD6E8FEB86659FD93)
