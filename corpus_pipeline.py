@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cliploom.llm import decontamination, jaccard, packing, pii, toxicity
-from cliploom.llm.common import kept, table
+from cliploom.llm.common import kept, prepared, table
 from cliploom.llm.queries import BYTE_VOCABULARY, SURROGATE_KEY
-from cliploom.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: of each group of linked documents the one of smallest doc_id stays."""
-    ship_package(spark)
+    prepared(spark)
     return jaccard.deduplicate(docs)
 
 
@@ -30,13 +29,13 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: personal data becomes surrogates."""
-    ship_package(spark)
+    prepared(spark)
     return pii.pseudonymized(docs, SURROGATE_KEY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: pieces of all documents that are left, by sequence."""
-    ship_package(spark)
+    prepared(spark)
     return packing.pack_documents(docs, BYTE_VOCABULARY)
 
 
