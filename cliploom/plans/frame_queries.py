@@ -181,7 +181,7 @@ def channel_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(host.frame_pixels(spark, sf_dir), "vec_id", pixels.normalize(F.col("px")), 6)
 
 
-_SQL_CHW = "list_transform(px, lambda x, i: px[((i - 1) % 16) * 3 + (i - 1) // 16 + 1])"
+_SQL_CHW = "list_transform(px, lambda x, i: px[((i - 1) % 64) * 3 + (i - 1) // 64 + 1])"
 
 
 @query("P15", f"WITH {host.SQL_FRAMES} " + _unnest("vec_id", "frames", _SQL_CHW))
@@ -207,7 +207,7 @@ _SQL_AUGMENTED = f"""WITH {host.SQL_FRAMES}, drawn AS (
          0.8::DOUBLE + 0.4::DOUBLE * ({_SQL_DRAW.format(seed=12)}) AS factor FROM frames),
 flipped AS (
   SELECT vec_id, factor, CASE WHEN flip THEN list_transform(px, lambda x, i:
-    px[((i - 1) // 12) * 12 + (3 - ((i - 1) % 12) // 3) * 3 + (i - 1) % 3 + 1]) ELSE px END AS px FROM drawn),
+    px[((i - 1) // 24) * 24 + (7 - ((i - 1) % 24) // 3) * 3 + (i - 1) % 3 + 1]) ELSE px END AS px FROM drawn),
 bright AS (
   SELECT vec_id, list_transform(px, lambda x: least(255, floor(x * factor))::INT) AS px FROM flipped) """
 
@@ -233,7 +233,7 @@ def user_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "P18",
-    f"""{_SQL_SAMPLED} SELECT clip, count(*) AS frame_count, count(*) || 'x4x4x3' AS frames_shape
+    f"""{_SQL_SAMPLED} SELECT clip, count(*) AS frame_count, count(*) || 'x8x8x3' AS frames_shape
 FROM wanted JOIN frames USING (clip, frame_idx) GROUP BY clip""",
 )
 def frame_count_and_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +256,7 @@ def clip_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.withColumn("mean_value", F.round("mean_value", 6))
 
 
-_SQL_SYNTHETIC = """list_transform(range(48), lambda i:
+_SQL_SYNTHETIC = """list_transform(range(192), lambda i:
     ('0x' || substr(md5('7|' || vec_id || '|' || (i // 16)), (i % 16) * 2 + 1, 2))::INT)"""
 
 
@@ -289,7 +289,7 @@ def binary_resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(small, "vec_id", frames.to_array(F.col("data")))
 
 
-_SQL_REVERSED_CHW = "list_transform(px, lambda x, i: px[((i - 1) % 16) * 3 + 2 - (i - 1) // 16 + 1])"
+_SQL_REVERSED_CHW = "list_transform(px, lambda x, i: px[((i - 1) % 64) * 3 + 2 - (i - 1) // 64 + 1])"
 
 
 @query("P12 P15", f"WITH {host.SQL_FRAMES} " + _unnest("vec_id", "frames", _SQL_REVERSED_CHW, "value::DOUBLE"))

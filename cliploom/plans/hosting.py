@@ -1,8 +1,8 @@
 """Roles that ordinary tables play for the operators.
 
 ==============  ===========================================================
-clips, frames   ``embeddings``: clip = label, frame order = vec_id; the first 48
-                values are a 4x4x3 frame, all 64 an 8x8x1 frame
+clips, frames   ``embeddings``: clip = label, frame order = vec_id; the 64 values are an
+                8x8x1 frame, and an 8x8x3 frame whose channel c of pixel p is value (p + 21 c) mod 64
 clip lengths    ``documents``: frames = n_chars; ``orders``: frames = order lines
 run log         ``events``: framework = event_type, time = value, run = event_id
 file listing    ``pages``: path = url
@@ -19,7 +19,8 @@ from cliploom.operators import runs
 from cliploom.operators.index import dense_index
 
 N_FRAMES = 16
-FRAME = (4, 4, 3)
+FRAME = (8, 8, 3)
+CHANNEL_SHIFT = 21  # values between the channels of a pixel
 GREY = (8, 8)
 SAMPLES_PER_RUN = 200
 METHODS = ("view", "click", "signup", "purchase", "error")
@@ -48,8 +49,11 @@ def stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_pixels(df: DataFrame) -> DataFrame:
-    """Turn ``embedding`` into ``px``, a 4x4x3 frame as an array of bytes."""
-    return df.withColumn("px", pixels.from_unit(F.slice("embedding", 1, 48))).drop("embedding")
+    """Turn ``embedding`` into ``px``, an 8x8x3 frame as an array of bytes that shows every value three times."""
+    height, width, channels = FRAME
+    places = F.lit([(p + CHANNEL_SHIFT * c) % (height * width) for p in range(height * width) for c in range(channels)])
+    values = F.transform(places, lambda at: F.get("embedding", at))
+    return df.withColumn("px", F.when(F.col("embedding").isNotNull(), pixels.from_unit(values))).drop("embedding")
 
 
 def frame_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +111,7 @@ SQL_FRAMES = f"""frames AS (
   SELECT label AS clip, vec_id,
          row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx,
          count(*) OVER (PARTITION BY label) AS total_frames, embedding[1] AS lead,
-         list_transform(embedding[1:48], lambda x: {TO_BYTE}) AS px,
+         list_transform(list_transform(range(192), lambda j: embedding[(j // 3 + 21 * (j % 3)) % 64 + 1]), lambda x: {TO_BYTE}) AS px,
          list_transform(embedding, lambda x: {TO_BYTE}) AS grey
   FROM embeddings)"""
 
