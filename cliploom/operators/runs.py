@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.operators.index import dense_index
+from cliploom.operators.sizing import broadcast_if_small
+from cliploom.session import shared_dir
 
 # Settings per tier, by smallest value that belongs to the tier.
 TIER_COLUMNS = (
@@ -41,10 +43,14 @@ def summary(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def winners(runs: DataFrame) -> DataFrame:
-    """Shortest time, highest rate and smallest memory; the first run wins a tie."""
+    """Shortest time, highest rate and smallest memory of the successful runs; the first run wins a tie.
+
+    Runs without a value for a metric do not compete for it; without any, name, run_no and value are null.
+    """
 
     def first_by(metric: str, best, sign: int) -> Column:
-        key = F.struct(F.col(metric), F.col("run_no") * sign)
+        competes = F.col("success") & F.col(metric).isNotNull()
+        key = F.when(competes, F.struct(F.col(metric), F.col("run_no") * sign))
         return best(F.struct("name", "run_no", F.col(metric).alias("value")), key)
 
     best = runs.agg(
@@ -89,9 +95,9 @@ def method_average(runs: DataFrame, frames_per_run: int) -> DataFrame:
 
 
 def best_method(runs: DataFrame, per: str) -> DataFrame:
-    """Fastest successful run for each ``per`` value; none where every run failed."""
+    """Fastest successful run for each ``per`` value; none where every run failed or has no time."""
     best = F.min(F.struct("total_time", "run_no", "method")).alias("best")
-    return runs.where("success").groupBy(per).agg(best).select(per, "best.method", "best.total_time", "best.run_no")
+    return runs.where("success AND total_time IS NOT NULL").groupBy(per).agg(best).select(per, "best.method", "best.total_time", "best.run_no")
 
 
 def totals(runs: DataFrame, by: Sequence[str], frames_per_run: int) -> DataFrame:
@@ -114,22 +120,21 @@ def against_baseline(totals_df: DataFrame, baseline: str, per: Sequence[str] = (
 
     Adds ``speedup`` (candidate rate / baseline rate) and ``time_reduction_pct``
     ((baseline time - time) / baseline time * 100). With ``per``, within each configuration.
+    Both are null where the baseline did not run, and 0 where its rate or time is not positive.
     """
     is_base = F.col(method) == baseline
-    if per:
-        # A window over one configuration's totals: a few rows, and the log is read once.
-        config = Window.partitionBy(*per)
-        base = {c: F.max(F.when(is_base, F.col(of))).over(config) for c, of in _BASE.items()}
-    else:
-        # One row by construction, so a scalar subquery and no join.
-        base = {c: totals_df.where(is_base).select(of).scalar() for c, of in _BASE.items()}
-    compared = totals_df.withColumns(base)
-    return compared.withColumns(
-        {
-            "speedup": safe_ratio(F.col("avg_fps"), F.col("base_fps")),
-            "time_reduction_pct": safe_ratio(F.col("base_time") - F.col("total_time"), F.col("base_time")) * 100,
-        }
-    ).drop(*_BASE)
+    # Totals are a row per method (and configuration): they are gathered, and the log is read once.
+    base = [F.max(F.when(is_base, F.col(of))).alias(c) for c, of in _BASE.items()]
+    gathered = totals_df.groupBy(*[F.col(c).alias(f"__{c}") for c in per]).agg(F.collect_list(F.struct("*")).alias("__rows"), *base)
+    compared = gathered.select(F.inline("__rows"), *_BASE)
+    ratios = {
+        "speedup": (F.col("base_fps"), safe_ratio(F.col("avg_fps"), F.col("base_fps"))),
+        "time_reduction_pct": (
+            F.col("base_time"),
+            safe_ratio(F.col("base_time") - F.col("total_time"), F.col("base_time")) * 100,
+        ),
+    }
+    return compared.withColumns({c: F.when(known.isNotNull(), ratio) for c, (known, ratio) in ratios.items()}).drop(*_BASE)
 
 
 def grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
@@ -145,6 +150,23 @@ def method_grid(clips: DataFrame, methods: Sequence[str]) -> DataFrame:
     return clips.select("*", F.explode(F.lit(list(methods))).alias("method"))
 
 
+def method_results(runs: DataFrame, key: str, methods: Sequence[str]) -> DataFrame:
+    """Runs and mean time of each key with each method of a fixed list, 0 runs where none ran.
+
+    A column per method in one aggregate by key: the log is read once and joined to nothing.
+    """
+    own = {m: F.col("method") == m for m in methods}
+    cells = [
+        F.struct(
+            F.lit(m).alias("method"),
+            F.count_if(is_own).alias("runs"),
+            F.avg(F.when(is_own, F.col("total_time"))).alias("avg_time"),
+        )
+        for m, is_own in own.items()
+    ]
+    return runs.groupBy(key).agg(F.array(*cells).alias("cells")).select(key, F.inline("cells"))
+
+
 def feasible(grid_df: DataFrame, limit: int, column: str = "num_workers") -> DataFrame:
     """Drop settings that need more than ``limit`` workers."""
     return grid_df.where(F.col(column) <= limit)
@@ -175,13 +197,19 @@ def clamp(value: Column, limit: Column) -> Column:
 
 
 def drop_warmup(runs: DataFrame, order: Sequence[str], by: str = "method") -> DataFrame:
-    """Leave out each method's first run.
+    """Leave out each method's first run: the first in ``order``, nulls first, and one of those that tie.
 
-    The first run is a minimum, so no method's runs are sorted in one task. The anti
-    join uses the whole order key and thus spreads a method's runs.
+    The least leading key is one value per method, so no run is sorted or moved to find it; only
+    the runs that have it are put in order.
     """
-    first = runs.groupBy(by).agg(F.min(F.struct(*order)).alias("first")).select(by, "first.*")
-    return runs.join(first, [by, *order], "left_anti")
+    lead = F.col(order[0])
+    least = runs.groupBy(F.col(by).alias("__by")).agg(F.min(lead).alias("__least"), F.max(lead.isNull()).alias("__null"))
+    shared_dir(runs.sparkSession)
+    least = broadcast_if_small(least.withColumn("__least", F.when(~F.col("__null"), F.col("__least"))).checkpoint())
+    keyed = runs.join(least, F.col(by).eqNullSafe(F.col("__by")))
+    leading = lead.eqNullSafe(F.col("__least"))
+    first = dense_index(keyed.where(leading).select(*runs.columns), order, by=[by], name="__place")
+    return keyed.where(~leading).select(*runs.columns).union(first.where("__place > 0").select(*runs.columns))
 
 
 def call_counts(runs: DataFrame, by: str, batch_size: int) -> DataFrame:

@@ -52,11 +52,11 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     "A4",
     f"""{RUNS}
 SELECT 'total_time' AS metric, name, run_no, round(total_time, 6) AS value
-  FROM (SELECT * FROM runs ORDER BY total_time, run_no LIMIT 1) a
+  FROM (SELECT * FROM runs WHERE success AND total_time IS NOT NULL ORDER BY total_time, run_no LIMIT 1) a
 UNION ALL SELECT 'samples_per_second', name, run_no, round(samples_per_second, 6)
-  FROM (SELECT * FROM runs ORDER BY samples_per_second DESC, run_no LIMIT 1) b
+  FROM (SELECT * FROM runs WHERE success AND samples_per_second IS NOT NULL ORDER BY samples_per_second DESC, run_no LIMIT 1) b
 UNION ALL SELECT 'memory_usage_mb', name, run_no, round(memory_usage_mb, 6)
-  FROM (SELECT * FROM runs ORDER BY memory_usage_mb, run_no LIMIT 1) c""",
+  FROM (SELECT * FROM runs WHERE success AND memory_usage_mb IS NOT NULL ORDER BY memory_usage_mb, run_no LIMIT 1) c""",
 )
 def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(runs.winners(host.run_log(spark, sf_dir)), "value")
@@ -93,7 +93,7 @@ def method_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "A8",
     f"""{RUNS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total_time, run_no) AS rn
-                FROM runs WHERE success)
+                FROM runs WHERE success AND total_time IS NOT NULL)
 SELECT memory_usage_mb AS clip, method, round(total_time, 6) AS total_time, run_no FROM ranked WHERE rn = 1""",
 )
 def best_method(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +164,7 @@ def method_clip_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = host.table(spark, sf_dir, "events").select(
         "user_id", F.col("event_type").alias("method"), F.col("value").alias("total_time")
     )
-    cells = runs.method_grid(log.select("user_id").distinct(), host.METHODS)
-    return _rounded(runs.grid_results(cells, log, ["user_id", "method"]), "avg_time")
+    return _rounded(runs.method_results(log, "user_id", host.METHODS), "avg_time")
 
 
 @query(
