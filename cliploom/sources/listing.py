@@ -1,16 +1,18 @@
-"""List files on a file system all executors mount, as Spark jobs.
+"""List files of any file system that executors reach, as Spark jobs.
 
 Spark's ``binaryFile`` reader skips zero-byte files and every name that starts with
-``_`` or ``.``; this listing returns them too. The driver opens no folder.
+``_`` or ``.``; this listing returns them too. The driver looks at the base only.
 """
 
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from cliploom import schemas
@@ -19,12 +21,13 @@ from cliploom.session import shared_dir
 
 ROWS_PER_BATCH = 10_000
 FOLDERS_PER_TASK = 16
+ATTEMPTS = 3  # to read a folder
 
-_ENTRY = "video_path string, video_size bigint, folder string"
+_ENTRY = "video_path string, video_size bigint, error string, folder string"
 
 
 def walk(spark: SparkSession, base: str, suffixes: Sequence[str], sizes: bool, budget: int) -> DataFrame:
-    """(video_path, video_size) of the matching files below ``base``.
+    """(video_path, video_size, error) of the matching files below ``base``, and of folders that cannot be read.
 
     Works in rounds. A task walks down its folders until it has seen ``budget`` entries
     and hands on the folders it has not opened; the next round spreads those over all
@@ -32,12 +35,15 @@ def walk(spark: SparkSession, base: str, suffixes: Sequence[str], sizes: bool, b
     shared out as soon as it has subfolders.
     """
     shared_dir(spark)
+    filesystem, path = pafs.FileSystem.from_uri(base if "://" in base else os.path.abspath(base))
+    if filesystem.get_file_info(path).type == pafs.FileType.NotFound:
+        raise FileNotFoundError(f"no folder at {base}")
     scan = _scanner(tuple(suffixes), sizes, budget)
     folders = spark.createDataFrame([(base,)], "folder string")
     found = []
     while True:
         entries = folders.mapInArrow(scan, _ENTRY).checkpoint()
-        found.append(entries.where("folder IS NULL").select("video_path", "video_size"))
+        found.append(entries.where("folder IS NULL").drop("folder"))
         folders = entries.where("folder IS NOT NULL").select("folder")
         left = folders.count()
         if not left:
@@ -56,36 +62,43 @@ def _scanner(suffixes: tuple[str, ...], sizes: bool, budget: int):
             while pending:
                 folder = pending.pop()
                 if seen >= budget:
-                    rows.append((None, None, folder))
-                else:
-                    for entry in _entries(folder):
-                        seen += 1
-                        if entry.is_dir():
-                            if not entry.is_symlink():
-                                pending.append(entry.path)
-                        elif entry.name.endswith(suffixes):
-                            rows.append((entry.path, _size(entry) if sizes else None, None))
-                        if len(rows) >= ROWS_PER_BATCH:
-                            yield schemas.arrow_batch(rows, schema)
-                            rows = []
+                    rows.append((None, None, None, folder))
+                    continue
+                try:
+                    entries = _entries(folder)
+                except OSError as exc:
+                    rows.append((folder, None, f"cannot list: {exc}", None))
+                    continue
+                for path, name, is_folder, size in entries:
+                    seen += 1
+                    if is_folder:
+                        pending.append(path)
+                    elif name.endswith(suffixes):
+                        rows.append((path, size if sizes else None, None, None))
+                    if len(rows) >= ROWS_PER_BATCH:
+                        yield schemas.arrow_batch(rows, schema)
+                        rows = []
         if rows:
             yield schemas.arrow_batch(rows, schema)
 
     return scan
 
 
-def _entries(folder: str) -> Iterator[os.DirEntry]:
-    try:
-        found = os.scandir(folder)
-    except OSError:  # gone or not readable: nothing to list
-        return
-    with found:
-        yield from found
-
-
-def _size(entry: os.DirEntry) -> int | None:
-    try:
-        return entry.stat().st_size
-    except OSError:
-        return None
-
+def _entries(folder: str) -> list[tuple[str, str, bool, int | None]]:
+    """(path, name, is a folder, size) of what a folder holds, paths in the form of the folder's. Links to folders are not followed."""
+    filesystem, path = pafs.FileSystem.from_uri(folder)
+    prefix = folder[: -len(path)] if folder.endswith(path) else ""
+    for attempt in range(ATTEMPTS):
+        try:
+            found = filesystem.get_file_info(pafs.FileSelector(path))
+            break
+        except OSError:
+            if attempt == ATTEMPTS - 1:
+                raise
+            time.sleep(0.2 * 2**attempt)
+    local = isinstance(filesystem, pafs.LocalFileSystem)
+    return [
+        (prefix + info.path, info.base_name, info.type == pafs.FileType.Directory, info.size)
+        for info in found
+        if not (local and info.type == pafs.FileType.Directory and os.path.islink(info.path))
+    ]

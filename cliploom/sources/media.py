@@ -39,17 +39,16 @@ def list_media(
 ) -> DataFrame:
     """Files below ``base`` whose name ends with a suffix (case-sensitive), at any depth.
 
-    For file systems that every executor mounts. Includes empty files and names that
-    start with ``_`` or ``.``. The tree is read once, now. A base with a scheme, such as
-    ``s3://``, goes to ``list_binary_files``.
+    ``base`` is a path that every executor mounts, or a URI of a file system that PyArrow knows
+    (``file://``, ``s3://``, ``gs://``, ``hdfs://``); for others there is ``list_binary_files``. Includes empty
+    files and names that start with ``_`` or ``.``. The tree is read once, now. A folder that cannot
+    be read is a row with its path and an ``error``; a base that does not exist is an error.
     """
-    if "://" in base:
-        return list_binary_files(spark, base, suffixes)
     return listing.walk(spark, base, suffixes, sizes, budget)
 
 
 def list_binary_files(spark: SparkSession, base: str, suffixes: Sequence[str] = (".mp4",)) -> DataFrame:
-    """The same for object stores, by Spark's own reader. Only path and length are read.
+    """The same by Spark's own reader, for file systems that only it knows. Only path and length are read.
 
     Spark leaves out empty files and names that start with ``_`` or ``.``.
     """

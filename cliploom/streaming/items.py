@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,20 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, co
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
-    """A parquet table as a stream. The trailing ``*`` lets ``path`` be a file or a folder."""
+    """A parquet table as a stream; ``path`` is a folder, or one file.
+
+    A stream reads folders only, so a file is given as its folder and a filter on its name.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path.rstrip("/") + "*")
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if not _is_file(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", re.sub(r"([\\*?\[\]{}])", r"\\\1", name)).parquet(folder)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
 
 
 def stream_files(
