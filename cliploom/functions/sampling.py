@@ -41,6 +41,14 @@ def frame_at(timestamp: Column, fps: Column, total: Column) -> Column:
     return F.least(F.floor(timestamp * fps), total.cast("bigint") - 1)
 
 
+def time_indices(total: Column, fps: Column, n: int) -> Column:
+    """Frames shown at n times evenly spread over a clip, as array<bigint>; without a rate the assumed duration counts."""
+    rate = F.when(fps > 0, fps).otherwise(total / F.lit(DEFAULT_DURATION))
+    times = sample_timestamps(total / rate, n)
+    shown = F.transform(times, lambda t: frame_at(t, rate, total))
+    return F.when(total > 0, shown).otherwise(F.array().cast("array<bigint>"))
+
+
 def frames_or_default(total: Column) -> Column:
     return F.coalesce(total.cast("bigint"), F.lit(DEFAULT_FRAMES).cast("bigint"))
 

@@ -37,6 +37,9 @@ def stack(frames: DataFrame, n: int, dtype: str = "uint8") -> DataFrame:
         F.array_sort(F.collect_list(F.struct("k", "data"))).alias("rows"),
     )
     data = F.concat(*[F.get("rows", F.lit(k)).data for k in range(n)])
+    # A clip that failed half way is zero as a whole, as it is when read clip by clip.
+    zeros = F.unhex(F.repeat(F.lit("00"), F.length(data)))
+    data = F.when(F.col("status") == schemas.ERROR, zeros).otherwise(data)
     return grouped.select(
         "video_idx",
         "video_path",
@@ -78,12 +81,13 @@ def mean_per_clip(frames: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean over all values of a clip. Frames have equal size, so it is the mean of frame means.
 
     Reduces each row to one double before the shuffle, and the aggregate combines
-    map-side: pixels do not move and a hot clip costs no more than another.
+    map-side: pixels do not move and a hot clip costs no more than another. Where frames have a
+    ``status``, a clip with a failed one is 0 as a whole.
     """
-    per_frame = frames.select(*keys, pixels.mean_value(F.col(value)).alias("frame_mean"))
-    return per_frame.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_frames"), F.avg("frame_mean").alias("mean_value")
-    )
+    failed = (F.col("status") == schemas.ERROR) if "status" in frames.columns else F.lit(False)
+    per_frame = frames.select(*keys, pixels.mean_value(F.col(value)).alias("frame_mean"), failed.alias("__failed"))
+    mean = F.when(F.max("__failed"), 0.0).otherwise(F.avg("frame_mean"))
+    return per_frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"), mean.alias("mean_value"))
 
 
 def dataset_stats(clips: DataFrame, n: int, height: int, width: int) -> DataFrame:

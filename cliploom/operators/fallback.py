@@ -17,14 +17,15 @@ def priority(method: Column, order: Sequence[str]) -> Column:
 def choose(
     attempts: DataFrame, per: str, order: Sequence[str], result: str, default, prefer: str | None = None
 ) -> DataFrame:
-    """Result of the preferred method, else of the first in ``order`` that succeeded, else ``default``.
+    """Result of the first method in ``order`` that succeeded, else ``default``; of ``prefer`` alone if that is in ``order``.
 
-    ``attempts`` has ``method``, ``success``, ``run_no`` and ``result``. It is a minimum
+    The rule for a named method is that of ``frames.ordered_chain``. ``attempts`` has ``method``, ``success``, ``run_no`` and ``result``. It is a minimum
     per clip and combines map-side. Clips without any success keep their row.
     """
-    order = [prefer, *[m for m in order if m != prefer]] if prefer else list(order)
+    named = [m for m in order if prefer and m.lower() == prefer.lower()][:1]
+    counts = F.col("success") & (F.lower("method") == named[0].lower() if named else F.lit(True))
     rank = F.struct(priority(F.col("method"), order).alias("priority"), "run_no", "method", result)
-    best = attempts.groupBy(per).agg(F.min(F.when(F.col("success"), rank)).alias("best"))
+    best = attempts.groupBy(per).agg(F.min(F.when(counts, rank)).alias("best"))
     return best.select(
         per,
         F.coalesce("best.method", F.lit("none")).alias("method"),

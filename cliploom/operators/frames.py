@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import batched, groupby
 
 import numpy as np
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from cliploom import schemas
 from cliploom.functions import kernels
+from cliploom.functions.paths import video_name
 from cliploom.functions.pixels import uniform_draw
-from cliploom.functions.sampling import sample_indices
-from cliploom.operators.sizing import fits_broadcast
+from cliploom.functions.sampling import sample_indices, time_indices
+from cliploom.operators.sizing import fits_broadcast, may_be_in
 from cliploom.session import shared_dir
 
 # Frames per Arrow batch leaving a decode job: 64 frames of 224x224x3 are 10 MB.
@@ -30,18 +32,22 @@ FRAMES_PER_BATCH = 64
 # --- sampling ---------------------------------------------------------------
 
 
-def positions(total: Column, n: int) -> Column:
-    """The n frames to read from a clip, as array<bigint>: all null for a clip without frames."""
-    sampled = sample_indices(total, n)
+def positions(total: Column, n: int, fps: Column | None = None) -> Column:
+    """The n frames to read from a clip, as array<bigint>: all null for a clip without frames.
+
+    Evenly spread over its frames or, given a frame rate, over its time.
+    """
+    sampled = sample_indices(total, n) if fps is None else time_indices(total, fps, n)
     return F.when(total > 0, sampled).otherwise(F.array(*[F.lit(None).cast("bigint")] * n))
 
 
-def fan_out(clips: DataFrame, n: int, total: str = "total_frames") -> DataFrame:
+def fan_out(clips: DataFrame, n: int, total: str = "total_frames", fps: str | None = None) -> DataFrame:
     """One row per frame to read: adds ``k`` (0..n-1) and ``frame_idx``.
 
     A clip without frames still gives n rows, with a null ``frame_idx``.
     """
-    return clips.select("*", F.posexplode(positions(F.col(total), n)).alias("k", "frame_idx"))
+    wanted = positions(F.col(total), n, F.col(fps) if fps else None)
+    return clips.select("*", F.posexplode(wanted).alias("k", "frame_idx"))
 
 
 def tasks_for(rows: int, per_task: int, least: int = 1) -> int:
@@ -63,17 +69,21 @@ def spread(requests: DataFrame, partitions: int, by_frame: bool = True) -> DataF
 def fetch(requests: DataFrame, stored: DataFrame, on: Sequence[str]) -> DataFrame:
     """Read requested frames from a stored frame table; misses keep their row with nulls.
 
-    ``on`` is unique in ``stored`` and a request repeats a key at most n times, so no key
-    is hot. Requests are narrow and used more than once, so they are checkpointed. When
-    they are few, their keys are broadcast and filter ``stored`` during its scan: only
-    hits are shuffled.
+    ``on`` is unique in ``stored`` and a request repeats a key at most n times, so no key is hot but
+    null, which misses find: such rows stay out of the join. Requests are narrow and
+    used more than once, so they are checkpointed. Their keys filter ``stored`` as it is scanned, so that pixels
+    nobody asked for are not shuffled: few keys are broadcast, many are tested in a bitmap.
     """
     shared_dir(requests.sparkSession)
     requests = requests.checkpoint()
-    keys = requests.select(*on).dropna()
+    complete = reduce(Column.__and__, (F.col(c).isNotNull() for c in on))
+    keys = requests.select(*on).where(complete)
     if fits_broadcast(keys):
         stored = stored.join(F.broadcast(keys), list(on), "left_semi")
-    return requests.join(stored, list(on), "left")
+    else:
+        stored = stored.where(may_be_in(keys, on))
+    found = requests.where(complete).join(stored, list(on), "left")
+    return found.unionByName(requests.where(~complete), allowMissingColumns=True)
 
 
 def zero_fill(frames: DataFrame, zeros: Column, data: str = "data") -> DataFrame:
@@ -129,7 +139,7 @@ def decode_stacked(
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for clip in _read_clips(stream, chain, height, width, method):
             tensor = (height, width, 3, "uint8", "HWC", b"".join(clip.data))
-            row = (clip.video_idx, clip.path, len(clip.data), *tensor, clip.delivered, clip.status, clip.error)
+            row = (clip.video_idx, clip.path, clip.name, clip.size, len(clip.data), *tensor, clip.delivered, clip.status, clip.error)
             yield schemas.arrow_batch([row], schema)
 
     return _narrow(requests).mapInArrow(run, schemas.TENSORS)
@@ -150,7 +160,7 @@ def decode_means(
             if clip.status != schemas.ERROR:
                 frames = [np.frombuffer(d, np.uint8).reshape(height, width, 3) for d in clip.data]
                 mean = sum(map(kernels.normalized_mean, frames)) / len(frames)
-            yield clip.video_idx, clip.path, clip.delivered, clip.status, clip.error, mean
+            yield clip.video_idx, clip.path, clip.name, clip.size, clip.delivered, clip.status, clip.error, mean
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batched(rows(stream), FRAMES_PER_BATCH):
@@ -190,7 +200,7 @@ def decode_batches(
             clips = list(group)
             shape = (len(clips), len(clips[0].data), height, width, 3, dtype, "CHW")
             paths = [c.path for c in clips]
-            names = [p.rsplit("/", 1)[-1] for p in paths]
+            names = [c.name for c in clips]
             data = b"".join(map(tensor, clips))
             yield schemas.arrow_batch([(batch_id, *shape, data, paths, names, [c.status for c in clips])], schema)
 
@@ -198,8 +208,10 @@ def decode_batches(
 
 
 def _narrow(requests: DataFrame) -> DataFrame:
-    error = F.col("error") if "error" in requests.columns else F.lit(None).cast("string").alias("error")
-    return requests.select("video_idx", "video_path", "k", "frame_idx", error)
+    own = {"video_size": "bigint", "error": "string"}
+    size, error = (F.col(c) if c in requests.columns else F.lit(None).cast(kind).alias(c) for c, kind in own.items())
+    name = video_name(F.col("video_path")).alias("video_name")
+    return requests.select("video_idx", "video_path", name, size, "k", "frame_idx", error)
 
 
 def ordered_chain(decoders: Sequence, prefer: str | None) -> list:
@@ -258,7 +270,7 @@ def _read_requests(stream, chain, height, width, method):
     try:
         for batch in stream:
             for *row, failure in zip(*[column.to_pylist() for column in batch.columns], strict=True):
-                video_idx, path, _, at = row
+                video_idx, path, *_, at = row
                 if failure is not None:
                     yield row, zeros, schemas.ERROR, failure
                     continue
@@ -285,6 +297,8 @@ def _read_requests(stream, chain, height, width, method):
 class _DecodedClip:
     video_idx: int
     path: str
+    name: str
+    size: int | None
     data: list[bytes]
     status: str
     error: str | None
@@ -297,10 +311,10 @@ class _DecodedClip:
 def _read_clips(stream, chain, height, width, method) -> Iterator[_DecodedClip]:
     """Group neighbouring requests into clips; a clip has the worst status of its frames."""
     read = _read_requests(stream, chain, height, width, method)
-    for (video_idx, path), group in groupby(read, key=lambda r: (r[0][0], r[0][1])):
+    for clip, group in groupby(read, key=lambda r: tuple(r[0][:4])):
         _, data, statuses, errors = zip(*group, strict=True)
         status = max(statuses, key=schemas.SEVERITY.index)
-        yield _DecodedClip(video_idx, path, list(data), status, next(filter(None, errors), None))
+        yield _DecodedClip(*clip, list(data), status, next(filter(None, errors), None))
 
 
 # --- arrays and bytes -------------------------------------------------------

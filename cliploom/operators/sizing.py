@@ -1,16 +1,21 @@
-"""Broadcast only what was measured."""
+"""Broadcast only what was measured; beyond that, filter by a bitmap of bounded size."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A row of a hash table takes about this much besides its strings.
 _BYTES_PER_ROW = 64
 _BYTES_PER_COLUMN = 16
 
+_BITS_PER_KEY = 12
+_MOST_BITS = 1 << 24  # 2 MB, whatever the number of keys
+
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Mark a table for broadcast when it is below the session's limit, else leave it to a shuffle.
@@ -32,3 +37,19 @@ def broadcast_limit(spark: SparkSession) -> int:
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
     number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)(?:i?b)?", text).groups()
     return int(number) << (10 * " kmgtp".index(unit or " "))
+
+
+def may_be_in(keys: DataFrame, on: Sequence[str]) -> Column:
+    """A condition on columns ``on`` that every row of ``keys`` meets, and most others do not.
+
+    It tests a bit of a bitmap of hashes, which the driver gathers as at most 2 MB; a million
+    keys let 6 % of other rows pass. Measures the table, so pass one that is checkpointed.
+    """
+    bits = min(_MOST_BITS, 1 << max(10, (keys.count() * _BITS_PER_KEY).bit_length()))
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    byte, bit = F.floor(place / 8), F.get(F.lit([1 << k for k in range(8)]), (place % 8).cast("int"))
+    set_bits = keys.groupBy(byte.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    bitmap[set_bits.column("at").to_numpy()] = set_bits.column("bits").to_numpy()
+    own = F.conv(F.hex(F.substring(F.lit(bitmap.tobytes()), (byte + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return own.bitwiseAND(bit) != 0

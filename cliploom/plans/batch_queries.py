@@ -140,10 +140,8 @@ def incremental_processing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "B10",
     """WITH ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY
-    CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END,
-    event_id) AS rn
-  FROM events WHERE event_type <> 'error')
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+  FROM events WHERE event_type = 'purchase')
 SELECT u.user_id, coalesce(event_type, 'none') AS method, round(coalesce(value, 0.0), 6) AS total_time
 FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN ranked r ON u.user_id = r.user_id AND rn = 1""",
 )

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom import schemas
+from cliploom.functions.paths import known_size
 from cliploom.operators import batches, frames
 from cliploom.operators.index import dense_index
-from cliploom.session import ship_package
+from cliploom.operators.sizing import broadcast_if_small
+from cliploom.session import shared_dir, ship_package
 from cliploom.sources import dataset, media
 from cliploom.sources.decoders import DEFAULT_DECODERS
 
@@ -33,6 +35,7 @@ class ClipSpec:
     clips_per_task: int = 64
     decoders: Sequence = DEFAULT_DECODERS
     prefer: str | None = None
+    sample_by: str = "frame"  # or "time"
 
 
 def clips(listing: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
@@ -45,14 +48,16 @@ def clips(listing: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
     indexed = dataset.indexed(listing, ["video_path", "video_size"])
     tasks = frames.tasks_for(indexed.count(), spec.clips_per_task, spark.sparkContext.defaultParallelism)
     even = batches.with_batch_id(indexed, spec.batch_size, idx="video_idx").repartition(tasks, "batch_id")
-    probed = media.probe(even.sortWithinPartitions("video_idx"), spec.decoders).checkpoint()
+    chain = frames.ordered_chain(spec.decoders, spec.prefer)
+    probed = media.probe(even.sortWithinPartitions("video_idx"), chain).checkpoint()
     return batches.with_batch_id(probed, spec.batch_size, idx="video_idx")
 
 
 def requests(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
     """Frames to read. The clips lie in even tasks already, so nothing is shuffled."""
-    return frames.fan_out(clips_df, spec.n_frames).select(
-        "video_idx", "video_path", "k", "frame_idx", "error"
+    by_time = {"fps": "fps"} if spec.sample_by == "time" else {}
+    return frames.fan_out(clips_df, spec.n_frames, **by_time).select(
+        "video_idx", "video_path", "video_size", "k", "frame_idx", "error"
     )
 
 
@@ -80,21 +85,49 @@ def collated(clips_df: DataFrame, spec: ClipSpec = ClipSpec(), dtype: str = "flo
 
 
 def refresh(listing: DataFrame, path: str, spec: ClipSpec = ClipSpec()) -> DataFrame:
-    """Add the tensors of files that the dataset at ``path`` does not have; return the dataset.
+    """Bring the tensors at ``path`` up to date with a listing; return the dataset.
 
-    Files stored already are neither opened nor read. New clips get the next indices.
+    Files that are new, that have another size than before, or that failed before are read; all others are neither opened
+    nor read, and their rows stay where they are. New rows get the next indices; of a path the row with the highest
+    index counts, and ``current`` picks it. Only paths, sizes and states are compared.
     """
     spark = listing.sparkSession
     first = 0
     try:
-        stored = dataset.load(spark, path, schemas.TENSORS)
-        listing = dataset.misses(listing, stored, "video_path")
-        first = stored.agg(F.coalesce(F.max("video_idx") + 1, F.lit(0))).first()[0]
+        stored = current(dataset.load(spark, path, schemas.TENSORS)).where(F.col("status") != schemas.ERROR)
+        known = stored.select("video_path", known_size(F.col("video_size")).alias("video_size"))
+        sized = listing.withColumn("video_size", known_size(F.col("video_size")))
+        listing = sized.join(known, ["video_path", "video_size"], "left_anti")
+        first = dataset.load(spark, path, schemas.TENSORS).agg(F.coalesce(F.max("video_idx") + 1, F.lit(0))).first()[0]
     except FileNotFoundError:
         pass
     new = tensors(clips(listing, spec), spec)
     new.withColumn("video_idx", F.col("video_idx") + first).write.mode("append").parquet(path)
-    return dataset.load(spark, path, schemas.TENSORS)
+    return current(dataset.load(spark, path, schemas.TENSORS))
+
+
+def current(stored: DataFrame) -> DataFrame:
+    """Of each path the row with the highest index. Finds it by key; rows with pixels are filtered by it."""
+    latest = stored.groupBy("video_path").agg(F.max("video_idx").alias("video_idx")).select("video_idx")
+    shared_dir(stored.sparkSession)
+    return stored.join(broadcast_if_small(latest.checkpoint()), "video_idx", "left_semi").select(*stored.columns)
+
+
+def accounted(listing: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
+    """Files listed against what the decode job made of them: one row.
+
+    ``processed`` are the rows that leave the job, ``decoded`` those with frames of the file, and
+    ``complete`` says whether every listed file has a row.
+    """
+    done = clip_means(clips(listing, spec), spec)
+    states = {
+        "decoded": F.col("status").isin(schemas.OK, schemas.ZERO_FILLED),
+        "empty": F.col("status") == schemas.EMPTY,
+        "failed": F.col("status") == schemas.ERROR,
+    }
+    out = done.agg(F.count(F.lit(1)).alias("processed"), *(F.count_if(c).alias(n) for n, c in states.items()))
+    out = out.withColumn("listed", listing.agg(F.count(F.lit(1))).scalar())
+    return out.withColumn("complete", F.col("listed") == F.col("processed"))
 
 
 def image_frames(spark: SparkSession, base: str, spec: ClipSpec = ClipSpec(), suffixes=IMAGE_SUFFIXES) -> DataFrame:

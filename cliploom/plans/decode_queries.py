@@ -7,6 +7,7 @@ frames; a clip is one uncompressed video file.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 from itertools import chain, groupby
 
 import numpy as np
@@ -16,37 +17,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cliploom import schemas
 from cliploom.functions.paths import video_name
 from cliploom.operators import frames
 from cliploom.plans import clip_job
 from cliploom.plans import hosting as host
 from cliploom.plans.registry import query
 from cliploom.session import scratch_path
-from cliploom.sources import media
+from cliploom.sources import dataset, media
 from cliploom.sources.decoders import Y4MDecoder
+from cliploom.streaming import items as streams
 
 FRAMES_PER_CLIP = 64
 HEADER = b"YUV4MPEG2 W8 H8 F25:1 Ip A1:1 Cmono\n"
 SPEC = clip_job.ClipSpec(height=8, width=8, decoders=(Y4MDecoder(),), batch_size=4)
 
-# Files that go wrong: a header that promises 20 frames before 12, no bytes, and no video.
-SHORT_HEADER = HEADER.replace(b"\n", b" XFRAMES=20\n")
-SHORT_FRAMES = 12
+# Files that go wrong: a header that promises more frames than follow, no bytes, and no video.
+MISSING_FRAMES = 8
 
 _folders: dict[tuple[str, str, str], str] = {}
 
 
 def clip_folder(spark: SparkSession, sf_dir: str) -> str:
     """Folder with the clips, written once per application below the shared folder."""
-    part = F.floor(F.col("frame_idx") / FRAMES_PER_CLIP)
-    keys = host.frame_keys(spark, sf_dir).withColumn("name", F.format_string("%06d-%06d", F.col("clip"), part))
-    return _folder(spark, sf_dir, "clips", keys, _whole_clip)
+    return _folder(spark, sf_dir, "clips", _clip_keys(spark, sf_dir), _whole_clip)
 
 
 def broken_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with three faulty files per label."""
-    keys = host.frame_keys(spark, sf_dir).where(F.col("frame_idx") < SHORT_FRAMES)
-    return _folder(spark, sf_dir, "broken", keys.withColumn("name", F.format_string("%06d", F.col("clip"))), _faulty_files)
+    """Folder with three faulty files per clip: all its frames below a header that promises more, none, and junk."""
+    return _folder(spark, sf_dir, "broken", _clip_keys(spark, sf_dir), _faulty_files)
+
+
+def _clip_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.floor(F.col("frame_idx") / FRAMES_PER_CLIP)
+    return host.frame_keys(spark, sf_dir).withColumn("name", F.format_string("%06d-%06d", F.col("clip"), part))
 
 
 def _whole_clip(name: str, stored: Iterator[bytes]) -> Iterator[tuple[str, Iterable[bytes]]]:
@@ -54,7 +58,9 @@ def _whole_clip(name: str, stored: Iterator[bytes]) -> Iterator[tuple[str, Itera
 
 
 def _faulty_files(name: str, stored: Iterator[bytes]) -> Iterator[tuple[str, Iterable[bytes]]]:
-    yield f"{name}-short.mp4", chain([SHORT_HEADER], stored)
+    own = list(stored)  # FRAMES_PER_CLIP at most
+    promised = HEADER.replace(b"\n", f" XFRAMES={len(own) + MISSING_FRAMES}\n".encode())
+    yield f"{name}-short.mp4", chain([promised], own)
     yield f"{name}-empty.mp4", []
     yield f"{name}-junk.mp4", [b"not a video"]
 
@@ -74,6 +80,14 @@ def _folder(spark: SparkSession, sf_dir: str, kind: str, keys: DataFrame, files:
     return _folders[key]
 
 
+def _into_place(filesystem: pafs.FileSystem, draft: str, file: str) -> None:
+    """Rename a complete file. Another attempt of the task may have been first; its file is as good."""
+    if filesystem.get_file_info(file).type == pafs.FileType.File:
+        filesystem.delete_file(draft)
+    else:
+        filesystem.move(draft, file)
+
+
 def _write(clip_frames: DataFrame, folder: str, files: Files) -> None:
     filesystem, base = pafs.FileSystem.from_uri(folder)
     filesystem.create_dir(base)
@@ -90,7 +104,7 @@ def _write(clip_frames: DataFrame, folder: str, files: Files) -> None:
                 with target.open_output_stream(draft) as out:
                     for some in content:
                         out.write(some)
-                target.move(draft, f"{base}/{file}")
+                _into_place(target, draft, f"{base}/{file}")
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
     clip_frames.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
@@ -144,32 +158,80 @@ def decoded_clip_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named_means(_clips(spark, sf_dir))
 
 
-def _named_means(job_clips: DataFrame) -> DataFrame:
-    name = video_name(F.col("video_path")).alias("video_name")
-    mean = F.round("mean_value", 6).alias("mean_value")
-    return clip_job.clip_means(job_clips, SPEC).select(name, "frame_count", "status", mean)
+def _named_means(job_clips: DataFrame, spec: clip_job.ClipSpec = SPEC) -> DataFrame:
+    return _rounded_means(clip_job.clip_means(job_clips, spec))
+
+
+def _rounded_means(means: DataFrame) -> DataFrame:
+    return means.select("video_name", "frame_count", "status", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query(
+    "P4 P6 P19",
+    f"""{_SQL_CLIPS}, timed AS (
+  SELECT video_name, k, total, CASE WHEN k = 15 THEN total / 25.0::DOUBLE
+                                    ELSE k * ((total / 25.0::DOUBLE) / 15.0::DOUBLE) END AS ts
+  FROM lengths, range(16) r(k)),
+wanted AS (SELECT video_name, k, least(floor(ts * 25)::BIGINT, total - 1) AS frame_no FROM timed)
+SELECT video_name, 16 AS frame_count, 'ok' AS status, round(avg({_SQL_FRAME_MEAN}), 6) AS mean_value
+FROM wanted JOIN cut USING (video_name, frame_no) GROUP BY video_name""",
+)
+def time_sampled_clip_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames evenly spread over a clip's time."""
+    spec = replace(SPEC, sample_by="time")
+    return _named_means(clip_job.clips(media.list_media(spark, clip_folder(spark, sf_dir)), spec), spec)
+
+
+@query(
+    "S11 P5 P6 P7 P19",
+    f"""{_SQL_MEANS} SELECT video_name, 16 AS frame_count, 'ok' AS status, round(mean_value, 6) AS mean_value FROM means""",
+)
+def streamed_clip_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clip files as a stream: each new file is probed, decoded and averaged once."""
+
+    def decode(listing: DataFrame) -> DataFrame:
+        probed = media.probe(listing.withColumn("video_idx", F.xxhash64("video_path")), SPEC.decoders)
+        requests = frames.fan_out(probed, SPEC.n_frames)
+        return frames.decode_means(requests, SPEC.decoders, SPEC.height, SPEC.width)
+
+    stream = streams.stream_files(spark, clip_folder(spark, sf_dir))
+    path = streams.run_available(stream, scratch_path(spark, "means"), scratch_path(spark, "means-state"), decode)
+    return _rounded_means(dataset.load(spark, path, schemas.CLIP_MEANS))
 
 
 @query(
     "P6 P8 P9 P18 B11",
-    f"""WITH {host.SQL_FRAMES}, labels_seen AS (SELECT DISTINCT clip FROM frames),
+    f"""{_SQL_CLIPS}, promised AS (SELECT replace(video_name, '.mp4', '') AS name, total, total + {MISSING_FRAMES} AS said FROM lengths),
 wanted AS (
-  SELECT clip, CASE WHEN k = 15 THEN 19 ELSE floor(k * (19 / 15.0::DOUBLE))::BIGINT END AS frame_idx
-  FROM labels_seen, range(16) r(k)),
-readable AS (SELECT * FROM frames WHERE frame_idx < {SHORT_FRAMES}),
+  SELECT name, k, CASE WHEN k = 15 THEN said - 1
+                       ELSE floor(k * ((said - 1) / 15.0::DOUBLE))::BIGINT END AS frame_no
+  FROM promised, range(16) r(k)),
 short AS (
-  SELECT clip, avg(coalesce({_SQL_FRAME_MEAN}, {_SQL_ZERO_MEAN})) AS mean_value
-  FROM wanted LEFT JOIN readable USING (clip, frame_idx) GROUP BY clip)
-SELECT printf('%06d-short.mp4', clip) AS video_name, 16 AS frame_count, 'zero_filled' AS status,
+  SELECT name, max(w.frame_no) >= max(total) AS cut_off, avg(coalesce({_SQL_FRAME_MEAN}, {_SQL_ZERO_MEAN})) AS mean_value
+  FROM wanted w JOIN promised USING (name) LEFT JOIN cut ON video_name = name || '.mp4' AND cut.frame_no = w.frame_no
+  GROUP BY name)
+SELECT name || '-short.mp4' AS video_name, 16 AS frame_count, CASE WHEN cut_off THEN 'zero_filled' ELSE 'ok' END AS status,
        round(mean_value, 6) AS mean_value FROM short
-UNION ALL SELECT printf('%06d-empty.mp4', clip), 16, 'empty', round({_SQL_ZERO_MEAN}, 6) FROM labels_seen
-UNION ALL SELECT printf('%06d-junk.mp4', clip), 0, 'error', 0.0::DOUBLE FROM labels_seen""",
+UNION ALL SELECT name || '-empty.mp4', 16, 'empty', round({_SQL_ZERO_MEAN}, 6) FROM promised
+UNION ALL SELECT name || '-junk.mp4', 0, 'error', 0.0::DOUBLE FROM promised""",
 )
 def faulty_clip_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What truncated, empty and unreadable files come to: flagged rows, and no failed job."""
     return _named_means(clip_job.clips(media.list_media(spark, broken_folder(spark, sf_dir)), SPEC))
 
 
+@query(
+    "S12",
+    f"""{_SQL_CLIPS} SELECT 4 * count(*) AS listed, 4 * count(*) AS processed, 2 * count(*) AS decoded,
+       count(*) AS empty, count(*) AS failed, true AS complete FROM lengths""",
+)
+def sample_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole, short, empty and junk files of every clip, against the rows that the decode job returns."""
+    folders = (clip_folder(spark, sf_dir), broken_folder(spark, sf_dir))
+    whole, broken = (media.list_media(spark, folder) for folder in folders)
+    return clip_job.accounted(whole.unionByName(broken), SPEC)
+
+
 @query(
     "P6 P7",
     f"""{_SQL_MEANS} SELECT video_name, k, frame_no AS frame_idx, list_sum(grey)::BIGINT * 3 AS total

@@ -100,12 +100,6 @@ def streamed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.load(spark, path, "event_id bigint, event_type string, value double")
 
 
-@query("S12", "SELECT count(*) AS listed, count(*) AS processed, true AS complete FROM pages")
-def sample_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = host.listing(spark, sf_dir)
-    return observe.accounting(listed, media.lazy_scan(listed))
-
-
 @query("P1", "SELECT page_id, string_split(url, '/')[-1] AS video_name FROM pages")
 def video_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host.listing(spark, sf_dir).select("page_id", name_of(F.col("video_path")).alias("video_name"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CLIPS = (
     "video_idx bigint, video_path string, video_name string, video_size bigint, "
@@ -11,13 +13,13 @@ CLIPS = (
 
 # One row per sampled frame; ``data`` holds height*width*channels unsigned bytes.
 FRAMES = (
-    "video_idx bigint, video_path string, k int, frame_idx bigint, height int, width int, "
+    "video_idx bigint, video_path string, video_name string, video_size bigint, k int, frame_idx bigint, height int, width int, "
     "channels int, layout string, data binary, status string, error string"
 )
 
 # One row per clip; ``data`` is the concatenation of its frames in order of k.
 TENSORS = (
-    "video_idx bigint, video_path string, n_frames int, height int, width int, channels int, "
+    "video_idx bigint, video_path string, video_name string, video_size bigint, n_frames int, height int, width int, channels int, "
     "dtype string, layout string, data binary, frame_count int, status string, error string"
 )
 
@@ -28,7 +30,10 @@ BATCHES = (
 )
 
 # What is left of a clip when its pixels are reduced in the decode task.
-CLIP_MEANS = "video_idx bigint, video_path string, frame_count int, status string, error string, mean_value double"
+CLIP_MEANS = (
+    "video_idx bigint, video_path string, video_name string, video_size bigint, "
+    "frame_count int, status string, error string, mean_value double"
+)
 
 RUNS = (
     "name string, framework string, method string, run_no bigint, num_workers int, batch_size int, "
@@ -43,20 +48,10 @@ EMPTY = "empty"  # clip without frames: zero before normalisation, not an error
 ERROR = "error"  # clip could not be opened: zero after normalisation, frame_count 0
 SEVERITY = (OK, ZERO_FILLED, EMPTY, ERROR)
 
-_ARROW_TYPES = {
-    "bigint": pa.int64(),
-    "int": pa.int32(),
-    "double": pa.float64(),
-    "string": pa.string(),
-    "binary": pa.binary(),
-    "array<string>": pa.list_(pa.string()),
-}
-
 
 def arrow(layout: str) -> pa.Schema:
-    """Arrow form of one of the layouts above."""
-    fields = (field.split() for field in layout.split(","))
-    return pa.schema([(name, _ARROW_TYPES[kind]) for name, kind in fields])
+    """Arrow form of a layout, with any types that Spark can hand to Arrow. Call it on the driver."""
+    return to_arrow_schema(StructType.fromDDL(layout))
 
 
 def arrow_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -82,6 +82,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scratch: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. ``drop_scratch`` removes what was written to such paths."""
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _scratch.add(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete all scratch tables of this process; results that were not evaluated yet can no longer be. Returns their number."""
+    conf, dropped = spark._jsc.hadoopConfiguration(), 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        dropped += path.getFileSystem(conf).delete(path, True)
+    return dropped

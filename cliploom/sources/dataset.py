@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.operators.index import dense_index
-from cliploom.session import scratch_path
+from cliploom.operators.sizing import broadcast_if_small
+from cliploom.session import scratch_path, shared_dir
 
 
 def save(df: DataFrame, path: str, buckets: int | None = None, key: str | None = None) -> str:
@@ -43,8 +44,10 @@ def misses(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 
 def hits(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Stored rows whose key is wanted."""
-    return stored.join(wanted.select(key), key, "left_semi")
+    """Stored rows whose key is wanted. Few keys are broadcast and filter the stored rows where they are read."""
+    shared_dir(wanted.sparkSession)
+    keys = wanted.select(key).distinct().checkpoint()
+    return stored.join(broadcast_if_small(keys), key, "left_semi")
 
 
 def incremental(
