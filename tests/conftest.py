@@ -9,7 +9,7 @@ import pytest
 ROOT = Path(__file__).parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from cliploom.session import build_session  # noqa: E402
+from cliploom.session import build_session, drop_scratch  # noqa: E402
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
@@ -29,6 +29,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

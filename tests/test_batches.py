@@ -68,7 +68,8 @@ def test_fallback_order_preference_and_default(spark):
         return {r.clip: (r.method, r.t) for r in rows}
 
     assert chosen() == {"a": ("CPU", 2.0), "b": ("gpu", 3.0), "c": ("none", 0.0), "d": ("new", 6.0)}
-    assert chosen(prefer="cpu")["b"] == ("cpu", 4.0)
+    assert chosen(prefer="cpu") == {"a": ("CPU", 2.0), "b": ("cpu", 4.0), "c": ("none", 0.0), "d": ("none", 0.0)}
+    assert chosen(prefer="other") == chosen()
 
 
 def test_observation_counts_rows_in_flight(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as driver
+from cliploom.plans.catalog import all_queries
 from cliploom.sources.decoders import OpenCvDecoder
 
 
@@ -16,7 +17,7 @@ def test_flagship(spark):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(all_queries()) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
 class FakeCapture:

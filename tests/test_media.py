@@ -207,7 +207,8 @@ def test_refresh_reads_only_new_files(spark, tmp_path):
     store = str(tmp_path / "store")
     add("a.mp4", "c.mp4")
     first = {r.video_path: r for r in clip_job.refresh(media.list_media(spark, str(tmp_path / "in")), store, SPEC).collect()}
-    (tmp_path / "in" / "a.mp4").write_bytes(b"changed, and must not be read")
+    stored = tmp_path / "in" / "a.mp4"
+    stored.write_bytes(b"!" * stored.stat().st_size)  # of the same size: must not be read
     add("b.mp4")
     for _ in range(2):
         done = clip_job.refresh(media.list_media(spark, str(tmp_path / "in")), store, SPEC).collect()

@@ -94,7 +94,7 @@ def test_array_functions_equal_kernels(spark, src, dst, channels):
 
 def _frame_table(spark, stack: np.ndarray, status: list[str]):
     rows = [
-        (1, "a", k, k, *f.shape, "HWC", bytearray(f.tobytes()), s, None)
+        (1, "a", "a", 9, k, k, *f.shape, "HWC", bytearray(f.tobytes()), s, None)
         for k, (f, s) in enumerate(zip(stack, status, strict=True))
     ]
     from cliploom import schemas
@@ -116,7 +116,7 @@ def test_rows_of_many_sizes_and_null_pixels(spark):
     shapes = [(2, 3, 3), (2, 3, 3), (4, 5, 3), (2, 3, 1), (4, 5, 3), (4, 5, 3)] * 7
     stack = [RNG.integers(0, 256, s, dtype=np.uint8) for s in shapes]
     rows = [
-        (1, "a", k, k, *f.shape, "HWC", None if k % 5 == 0 else bytearray(f.tobytes()), "ok", None)
+        (1, "a", "a", 9, k, k, *f.shape, "HWC", None if k % 5 == 0 else bytearray(f.tobytes()), "ok", None)
         for k, f in enumerate(stack)
     ]
     from cliploom import schemas

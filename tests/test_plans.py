@@ -27,8 +27,22 @@ def test_no_cross_joins_no_row_udfs_no_single_task_windows(spark, sf_dir, name):
         assert partition and partition[1] and "ASC" not in partition[1] and "DESC" not in partition[1], window
 
 
-def test_baseline_comparison_reads_the_log_once(spark, sf_dir):
-    assert _plan(QUERIES["time_reduction"].run(spark, sf_dir)).count("FileScan") == 1
+@pytest.mark.parametrize("name", ["time_reduction", "speedup", "method_clip_grid"])
+def test_the_log_is_read_once(spark, sf_dir, name):
+    assert _plan(QUERIES[name].run(spark, sf_dir)).count("FileScan") == 1
+
+
+@pytest.mark.parametrize("name", ["clip_means", "stack_frames", "zero_fill_frames"])
+def test_only_requested_frames_are_shuffled(spark, sf_dir, name):
+    """Without broadcasts the stored frames pass a bitmap of the wanted keys before their exchange."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = _plan(QUERIES[name].run(spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    above = plan[: plan.index("FileScan parquet")].rstrip().splitlines()[-3:]
+    assert any("Filter" in line and "xxhash64(vec_id" in line for line in above), above
 
 
 def test_scans_read_only_needed_columns(spark, sf_dir):
