@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +29,14 @@ SAMPLE = 20_000  # vectors the tree is fitted on, about
 LEAF = 40  # vectors of the sample in a leaf, at most
 BRANCHES = 8
 CALIBRATION = 100  # queries compared with all vectors, at most
-RECALL = 0.98  # of them that visited leaves must hold
+RECALL = 0.95  # share of their neighbours that visited leaves must hold
 BLOCK = 512  # vectors of a leaf in a row, about
 QUERIES = 64  # queries of a leaf in a row, about
 
+HELD = 2_000_000  # candidates that a task collects before it thins them out
+
 _HITS = "query_id bigint, vec_id bigint, distance double"
+_HIT = np.dtype([("query", "<i8"), ("id", "<i8"), ("distance", "<f8")])
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -247,22 +251,46 @@ def _per_leaf(rows: DataFrame, tree: Tree) -> tuple[list[int], Column]:
 
 
 def _compare(k: int) -> Callable:
+    """The k nearest of each query among the points that meet it in this task."""
+
+    def best(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["id"], rows["distance"], rows["query"]))]
+        first = np.flatnonzero(np.r_[True, rows["query"][1:] != rows["query"][:-1]][: len(rows)])
+        rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+        return rows[rank < k]
+
+    def nearest(batch: pa.RecordBatch, i: int) -> Iterator[np.ndarray]:
+        ids = batch.column("p_ids")[i].values
+        owner = np.repeat(np.arange(len(ids)), pc.list_value_length(ids).to_numpy())
+        ids = ids.flatten().to_numpy()
+        apart = distances(_matrix(batch.column("q_vector")[i].values), _matrix(batch.column("p_vector")[i].values))
+        for query, row in zip(batch.column("q_vec_id")[i].values.to_numpy(), apart, strict=True):
+            own = row[owner]
+            order = np.lexsort((ids, own))
+            order = order[ids[order] != query][:k]
+            found = np.zeros(len(order), _HIT)
+            found["query"], found["id"], found["distance"] = query, ids[order], own[order]
+            yield found
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [np.zeros(0, _HIT)], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                q_id, p_ids = batch.column("q_vec_id")[i].values.to_numpy(), batch.column("p_ids")[i].values
-                apart = distances(_matrix(batch.column("q_vector")[i].values), _matrix(batch.column("p_vector")[i].values))
-                owner = np.repeat(np.arange(len(p_ids)), pa.compute.list_value_length(p_ids).to_numpy())
-                ids = p_ids.flatten().to_numpy()
-                out = [[], [], []]
-                for query, row in zip(q_id, apart, strict=True):
-                    own = row[owner]
-                    order = np.lexsort((ids, own))
-                    order = order[ids[order] != query][:k]
-                    for column, values in zip(out, (np.full(len(order), query), ids[order], own[order]), strict=True):
-                        column.append(values)
-                columns = [pa.array(np.concatenate(c)) for c in out]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _HITS.split(", ")])
+                found = list(nearest(batch, i))
+                parts += found
+                held += sum(map(len, found))
+                if held > HELD:  # if it stays that many, these queries' results so far go out
+                    parts = [best(parts)]
+                    held = len(parts[0])
+                    if held > HELD // 2:
+                        yield out(parts[0])
+                        parts, held = [np.zeros(0, _HIT)], 0
+        yield out(best(parts))
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(rows[c])) for c in ("query", "id", "distance")]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _HITS.split(", ")])
 
     return compare
 
