@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import kept
+from cliploom.llm.common import kept, kept_narrow
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     on the other side, so a node with very many neighbours is split by adaptive execution.
     Loops and repeated edges change nothing; without edges there are no nodes.
     """
-    links = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    links, size = kept(pairs, "links"), edges.count()
     state = None
     while True:
         both = links.union(links.select("v", "u"))
@@ -25,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         root = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(root, F.col("u") == F.col("k")).select("u", "v", "m")
         links = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m"))
-        links = kept(links.distinct(), "links")
+        links = kept_narrow(links.distinct(), "links", 2 * size)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             break

@@ -8,8 +8,9 @@ The join is a sparse product of the incidence matrix (texts by n-grams) with its
 * Texts with equal sets are one row of the matrix; a group of copies costs one row.
 * n-grams have a global order, frequent ones last. If two texts link, they share an n-gram among the
   first ``n - ceil(t * n) + 1`` of each, so only these prefixes are columns of the product.
-* A column that few rows have gives all its pairs, summed to overlap counts in blocks. A column with
-  many rows gives only pairs with one pivot row at a time, so no group is squared.
+* A column that few rows have gives all its pairs, summed to overlap counts in blocks. A column with many
+  rows is cut into cells by the two sizes of a pair, for which prefixes are shorter still; a cell gives only pairs with
+  pivot rows, until few of its rows are not connected. So no group is squared.
 * A pair is discarded when its sizes differ too much, or when its overlap so far plus all that
   could still come falls short of the overlap that the sizes ask for.
 * What is left is checked on the whole sets. Only links between rows that are not connected yet can change a
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import kept
+from cliploom.llm.common import kept, kept_narrow
 from cliploom.llm.graph import components
 from cliploom.llm.textbytes import LOWER_ASCII, NOT_SPACE, Substrings, blocks, mix, ngrams, words
 from cliploom.operators.sizing import broadcast_if_small
@@ -149,10 +150,9 @@ def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD)
 
 def _linked(texts: DataFrame, sets: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """(id, component) of the sets that link with others."""
-    entries = sets.select("id", "n", F.explode("prefix").alias("gram"))
+    entries = sets.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     columns = kept(entries.join(shared, "gram"), "columns")
-    large = columns.where(F.col("rows") > FEW).select("gram", "id", "n")
     is_large = (F.col("rows") > FEW).cast("bigint")
     per_id = columns.groupBy("id").agg(F.sum(1 - is_large).alias("small"), F.sum(is_large).alias("large"))
     per_id = kept(per_id, "counts")
@@ -160,25 +160,28 @@ def _linked(texts: DataFrame, sets: DataFrame, n: int, threshold: tuple[int, int
     blocks_of_pairs = few.select("rows").mapInArrow(_product(threshold), "a bigint, b bigint, na bigint, nb bigint, overlap bigint")
     sums = blocks_of_pairs.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     near = kept(_possible(sums, per_id, threshold), "pairs")
+    cells = kept(_cells(columns.where(F.col("rows") > FEW), per_id, threshold), "cells")
 
     links, tested = [], []
     labels = texts.sparkSession.createDataFrame([], "id bigint, component bigint")
     for turn in range(PIVOTS + 1):
-        rows = kept(_labelled(large, labels, "id"), "large")
-        open_pairs = _open_pairs(rows)
-        last = turn == PIVOTS or turn > 0 and open_pairs <= 2 * rows.count()
+        cells = kept(_still_open(cells, labels), "cells")
+        last = turn == PIVOTS or turn > 0 and _open_pairs(cells) <= 2 * cells.count()
         apart = _labelled(_labelled(near, labels, "a", "la"), labels, "b", "lb").where("la != lb").select("a", "b")
         if last:
-            pairs = apart.union(_possible(_all_apart(rows, threshold), per_id, threshold))
+            pairs = apart.union(_possible(_all_apart(cells), per_id, threshold))
         else:
-            pairs = _nearest_ids(apart).union(_possible(_with_pivot(rows, turn, threshold), per_id, threshold))
+            pairs = _nearest_ids(apart).union(_possible(_with_pivots(cells, turn), per_id, threshold))
         pairs = pairs.distinct()
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = kept(pairs, "tested")
         tested.append(pairs)
-        links.append(kept(_checked(texts, pairs, n, threshold), "links"))
-        labels = kept(components(_union(links)), "labels")
+        found = kept_narrow(_checked(texts, pairs, n, threshold), "links", pairs.count())
+        if not found.isEmpty():
+            links.append(found)
+            labels = components(_union(links))
+            labels = kept_narrow(labels, "labels", labels.count())
         if last:
             return labels
 
@@ -215,11 +218,39 @@ def _labelled(rows: DataFrame, labels: DataFrame, of: str, name: str = "label")
     return rows.join(found, of, "left").withColumn(name, F.coalesce(name, of))
 
 
-def _open_pairs(rows: DataFrame) -> int:
-    """Pairs within large columns whose rows are not connected yet."""
-    per_label = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    per_column = per_label.groupBy("gram").agg((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("twice"))
-    return int(per_column.agg(F.coalesce(F.sum("twice"), F.lit(0.0))).first()[0] / 2)
+def _cells(large: DataFrame, per_id: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Rows of large columns by the two sizes (lo, hi) that a pair may have: (gram, lo, hi, id, n, central).
+
+    A pair of sizes n and m that links shares an n-gram within the first n - least_overlap(n, m) + 1 of one and
+    the first m - least_overlap(n, m) + 1 of the other. So a row is in the cells of those sizes only, of the sizes that its
+    column has, for which its n-gram comes early enough. ``central`` is higher for rows whose
+    prefix others share: rows in the middle of a group of near copies.
+    """
+    sizes = large.select("gram", F.col("n").alias("m")).distinct()
+    p, q = threshold
+    least = F.ceil((F.col("n") + F.col("m")) * p / (p + q))
+    fits = _sizes_fit(F.col("n"), F.col("m"), threshold) & (F.col("pos") <= F.col("n") - least)
+    rows = large.select("gram", "id", "n", "pos").join(sizes, "gram").where(fits)
+    cells = rows.select("gram", F.least("n", "m").alias("lo"), F.greatest("n", "m").alias("hi"), "id", "n")
+    shared = per_id.select(F.col("id").alias("of"), F.col("large").alias("central"))
+    return cells.join(broadcast_if_small(shared), F.col("id") == F.col("of")).drop("of")
+
+
+_CELL = ["gram", "lo", "hi"]
+
+
+def _still_open(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cells with rows that are not connected, with the rows' components."""
+    rows = _labelled(cells.drop("label"), labels, "id")
+    mixed = rows.groupBy(*_CELL).agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
+    return rows.join(mixed.select(*_CELL), _CELL)
+
+
+def _open_pairs(cells: DataFrame) -> int:
+    """Pairs of rows of one cell that are not connected yet."""
+    per_label = cells.groupBy(*_CELL, "label").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    per_cell = per_label.groupBy(*_CELL).agg((F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))).alias("twice"))
+    return int(per_cell.agg(F.coalesce(F.sum("twice"), F.lit(0.0))).first()[0] / 2)
 
 
 def _nearest_ids(pairs: DataFrame) -> DataFrame:
@@ -229,22 +260,24 @@ def _nearest_ids(pairs: DataFrame) -> DataFrame:
     return first.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
-def _with_pivot(rows: DataFrame, turn: int, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of each row of a large column with one pivot row of it that it is not connected with.
+def _with_pivots(cells: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each row of a cell with a pivot of its cell that it is not connected with.
 
-    The pivot is the row of least hash, another one each turn, and the same in many columns.
+    There is a pivot for each of the two sizes: at first the most central row, in later turns any one, by hash.
     """
-    luck = F.xxhash64("id", F.lit(turn))
-    pivots = rows.groupBy("gram").agg(*(F.min_by(c, luck).alias("p" + c) for c in ("id", "n", "label")))
-    stars = rows.join(pivots, "gram").where((F.col("label") != F.col("plabel")) & _sizes_fit(F.col("n"), F.col("pn"), threshold))
+    luck = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20))
+    rank = luck if turn else F.least("central", F.lit(1 << 30)) * (1 << 20) + luck
+    pivots = cells.groupBy(*_CELL, "n").agg(*(F.max_by(c, rank).alias("p" + c) for c in ("id", "label")))
+    pivots = pivots.withColumnRenamed("n", "pn")
+    stars = cells.join(pivots, _CELL).where("label != plabel AND (n != pn OR lo = hi)")
     return _as_pairs(stars)
 
 
-def _all_apart(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """All pairs of rows of a large column that are not connected."""
-    other = rows.select("gram", *(F.col(c).alias("p" + c) for c in ("id", "n", "label")))
-    pairs = rows.join(other, "gram").where("id < pid AND label != plabel")
-    return _as_pairs(pairs.where(_sizes_fit(F.col("n"), F.col("pn"), threshold)))
+def _all_apart(cells: DataFrame) -> DataFrame:
+    """All pairs of rows of a cell, one of each size, that are not connected."""
+    other = cells.select(*_CELL, *(F.col(c).alias("p" + c) for c in ("id", "n", "label"))).where("pn = hi")
+    pairs = cells.where("n = lo").join(other, _CELL)
+    return _as_pairs(pairs.where("label != plabel AND (lo != hi OR id < pid)"))
 
 
 def _as_pairs(found: DataFrame) -> DataFrame:
