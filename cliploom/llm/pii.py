@@ -47,7 +47,8 @@ PATTERNS = {
     r"|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5})(?!\w)",
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+)?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# No entity starts inside a word: most places of a text are passed over by one look back.
+ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 
 # Syllables that names are made of, by script; a given name ends by gender.
 _SYLLABLES = {
