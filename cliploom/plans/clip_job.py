@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,13 @@ def tensors(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
 
 
 def collated(clips_df: DataFrame, spec: ClipSpec = ClipSpec(), dtype: str = "float32") -> DataFrame:
-    """``schemas.BATCHES``: normalised training batches, collated where they are decoded."""
+    """``schemas.BATCHES``: normalised training batches, collated where they are decoded.
+
+    A batch is one binary value, which holds 2 GiB at most; larger ones are refused here.
+    """
+    size = spec.batch_size * spec.n_frames * spec.height * spec.width * 3 * np.dtype(dtype).itemsize
+    if size >= 1 << 31:
+        raise ValueError(f"a batch of {spec.batch_size} clips takes {size} bytes; 2 GiB is the limit")
     return frames.decode_batches(
         requests(clips_df, spec), spec.decoders, spec.height, spec.width, spec.batch_size, spec.method, spec.prefer, dtype
     )

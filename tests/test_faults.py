@@ -194,3 +194,8 @@ def test_lookups_without_a_key_find_nothing(spark):
     wanted = spark.createDataFrame([(1, 1), (2, None), (3, 9)], "k int, vec int")
     stored = spark.createDataFrame([(1, "x"), (2, "y")], "vec int, px string")
     assert sorted((r.k, r.px) for r in frames.fetch(wanted, stored, ["vec"]).collect()) == [(1, "x"), (2, None), (3, None)]
+
+
+def test_a_batch_beyond_2_gib_is_refused(spark):
+    with pytest.raises(ValueError, match="2 GiB"):
+        clip_job.collated(spark.range(0), clip_job.ClipSpec(batch_size=112), dtype="float64")
