@@ -24,7 +24,7 @@ from cliploom.llm.textbytes import LOWER_ASCII, NOT_SPACE, Substrings, blocks, n
 
 ORDER = 2
 ALPHA = 0.4
-TEXT_BYTES = 4 << 20  # of texts in a block
+TEXT_BYTES = 2 << 20  # of texts in a block
 BUCKET_BYTES = 16 << 20  # text behind a bucket of n-grams
 _LOW = 48  # bits of a hash that tell n-grams of a bucket apart
 
