@@ -95,10 +95,10 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 def _powers_for(base: np.uint64, size: int) -> np.ndarray:
-    if size > 4 * BLOCK_BYTES:  # of one very long text; not kept
+    usual = BLOCK_BYTES + (1 << 17)
+    if size > usual:  # a block of one long text; workers keep the usual table only
         return _powers.__wrapped__(int(base), size)
-    step = BLOCK_BYTES
-    return _powers(int(base), max(step, 1 << (size - 1).bit_length()))
+    return _powers(int(base), usual)
 
 
 class Substrings:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 800_000  # pieces a worker remembers: about 160 MB
+MEMO = 300_000  # pieces a worker remembers: about 70 MB, which it keeps while it is idle
 _LONG = 200  # longer pieces are not remembered
 _MARKS = string.punctuation.replace("'", "")  # an apostrophe may start a contraction
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
