@@ -13,7 +13,7 @@ Items are taken in shards of bounded size, so the automaton a task holds is boun
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -200,13 +200,13 @@ def matchers(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Matcher]:
         yield Matcher([(r.item_id, r.text) for r in part.toLocalIterator()], window)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int, names: tuple[str, str, str]) -> DataFrame:
+def find(docs: DataFrame, shards: Sequence[Matcher], names: tuple[str, str, str]) -> DataFrame:
     """docs with three more columns: number of words, hit words as [number, first byte, end], items."""
     count, hits, items = names
     added = T.StructType.fromDDL(f"{count} bigint, {hits} array<array<int>>, {items} array<string>")
     shape = T.StructType([*docs.schema.fields, *added.fields])
     found = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added.fields})
-    for i, matcher in enumerate(matchers(benchmark, window)):
+    for i, matcher in enumerate(shards):
         # Each shard adds its hits to those of the shards before.
         found = (kept(found, "hits") if i else found).mapInArrow(_adds(matcher), shape)
     return found
@@ -239,7 +239,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     a null item_id reads "None". Without items nothing is hit. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return find(rows, benchmark, window, ("n_words", "hits", "items")).select(
+    return find(rows, list(matchers(benchmark, window)), ("n_words", "hits", "items")).select(
         "doc_id", "n_words", F.coalesce(F.size("hits"), F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array()).alias("items")
     )
 
@@ -250,20 +250,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     null and empty texts too. Columns are those of docs.
     """
     names = tuple(fresh(docs, n) for n in ("n_words", "hits", "items"))
-    found = find(docs, benchmark, window, names)
-    covered = F.coalesce(F.size(names[1]) > F.col(names[0]) * max_coverage, F.lit(False))
-    return found.where(~covered).drop(names[0], names[2]).mapInArrow(_cut(names[1]), docs.schema)
+    *others, last = matchers(benchmark, window)
+    found = find(docs, others, names)
+    return (kept(found, "hits") if others else found).mapInArrow(_cuts(last, max_coverage), docs.schema)
 
 
-def _cut(hits: str) -> Callable:
+def _cuts(matcher: Matcher, max_coverage: float) -> Callable:
+    """Adds a shard's hits and applies all in the same pass, so that texts go to Python once."""
+    add = _adds(matcher)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.schema.get_field_index("text")
-            spans, texts = batch.column(hits).to_pylist(), batch.column("text")
+        for batch in add(batches):
+            *own, counts, spans, _ = batch.columns
+            place, spans = batch.schema.get_field_index("text"), spans.to_pylist()
+            texts = own[place]
             if any(spans):
-                texts = pa.array([without(t, x) if x else t for t, x in zip(texts.to_pylist(), spans, strict=True)], texts.type)
-            columns = [texts if i == place else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+                own[place] = pa.array([without(t, x) if x else t for t, x in zip(texts.to_pylist(), spans, strict=True)], texts.type)
+            keep = [len(x or ()) <= n * max_coverage for x, n in zip(spans, counts.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(own, batch.schema.names[:-3]).filter(pa.array(keep, pa.bool_()))
 
     return cut
 
