@@ -71,7 +71,8 @@ class _Grams:
             counts = np.bincount(which, minlength=len(distinct))
             bucket = distinct >> np.uint64(_LOW)
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+            ends = np.r_[first[1:], len(bucket)][: len(first)]  # a block may have no n-gram of an order
+            for a, b in zip(first.tolist(), ends.tolist(), strict=True):
                 low = distinct[a:b] & np.uint64((1 << _LOW) - 1)
                 yield n, int(bucket[a]), block, _planes(low, _LOW // 8), _planes(counts[a:b], 8)
 
@@ -145,7 +146,7 @@ def _score(order: int, buckets: int, alpha: float) -> Callable:
         columns = [
             block.column("doc_id"),
             pa.array(np.bincount(owner, minlength=texts), pa.int64()),
-            pa.array(np.bincount(owner, logs, texts)),
+            pa.array(np.bincount(owner, logs, texts), pa.float64()),  # without words NumPy gives integers
             pa.array(np.bincount(owner[rest], minlength=texts), pa.int64()),
         ]
         return pa.table(columns, [c.split()[0] for c in SUMS.split(", ")])

@@ -70,6 +70,37 @@ def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 5)})
 
 
+@query(
+    r"""
+    WITH word AS (
+        SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i, len(w) AS n
+        FROM (SELECT doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)
+    ),
+    gram AS (
+        SELECT doc_id, i, n, k, list_slice(w, i - k + 1, i) AS g FROM word, (SELECT unnest(range(1, 6)) AS k) WHERE i >= k
+    ),
+    counted AS (
+        SELECT doc_id, i, n, k, count(*) OVER (PARTITION BY g) - count(*) OVER (PARTITION BY doc_id, g) AS c FROM gram
+    ),
+    longest AS (SELECT doc_id, i, max(k) FILTER (k = 1 OR c > 0) AS k FROM counted GROUP BY doc_id, i),
+    scored AS (
+        SELECT x.doc_id, x.n, CASE WHEN x.k > 1 THEN ln(x.c) - ln(y.c)
+            ELSE ln(greatest(x.c, 1)) - ln(greatest((SELECT count(*) FROM word) - x.n, 1)) END
+            + (least(x.i, 5) - x.k) * ln(0.4) AS s
+        FROM longest JOIN counted x USING (doc_id, i, k)
+        LEFT JOIN counted y ON y.doc_id = x.doc_id AND y.i = x.i - 1 AND y.k = x.k - 1
+    ),
+    total AS (SELECT doc_id, any_value(n) AS n, sum(s) AS s FROM scored GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / n, 5) AS mean_log_score
+    FROM documents LEFT JOIN total USING (doc_id)
+    """
+)
+def op3_stupid_backoff_order5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_model.scores(table(spark, sf_dir, "documents"), order=5)
+    return found.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 5)})
+
+
 @query(
     r"""
     WITH RECURSIVE doc AS (

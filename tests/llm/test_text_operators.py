@@ -223,6 +223,15 @@ def test_backoff_of_no_rows(spark):
     assert language_model.scores(documents(spark, [])).collect() == []
 
 
+def test_registered_backoff_counts_long_contexts(spark, tmp_path):
+    """Two documents with the same word pairs, of which one repeats five words of others."""
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "a b x c d y b c z d e"), (4, "")]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.log_score for r in QUERIES["op3_stupid_backoff_order5"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(s, 4) for (i, _), (_, s) in zip(rows, plain_scores(rows, 5), strict=True)}
+    assert got != {i: round(s, 4) for (i, _), (_, s) in zip(rows, plain_scores(rows, 4), strict=True)}
+
+
 # Toxicity
 
 
