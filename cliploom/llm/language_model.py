@@ -26,7 +26,6 @@ ORDER = 2
 ALPHA = 0.4
 TEXT_BYTES = 2 << 20  # of texts in a block
 BUCKET_BYTES = 16 << 20  # text behind a bucket of n-grams
-_LOW = 48  # bits of a hash that tell n-grams of a bucket apart
 
 ASKED = "n int, bucket int, block int, grams binary, counts binary"
 ANSWERED = "block int, n int, bucket int, counts binary"
@@ -56,25 +55,21 @@ class _Grams:
             owner.append(own + first)
         self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        self.buckets = buckets
         self.orders = []  # per n: distinct n-grams, the word each occurrence ends in, its n-gram
         for n in range(1, order + 1):
             grams, first = ngrams(self.words, self.owner, n)
-            # The high bits are the bucket, the low ones stay apart from it.
-            bucket = (grams >> np.uint64(_LOW - 16)) % np.uint64(buckets)
-            low = grams & np.uint64((1 << _LOW) - 1)
-            key = bucket << np.uint64(_LOW) | low
-            distinct, which = np.unique(key, return_inverse=True)
+            distinct, which = np.unique(grams, return_inverse=True)
             self.orders.append((distinct, first + n - 1, which))
 
     def asked(self, block: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
         for n, (distinct, _, which) in enumerate(self.orders, 1):
             counts = np.bincount(which, minlength=len(distinct))
-            bucket = distinct >> np.uint64(_LOW)
+            bucket = (distinct >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)  # ranges of hashes
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
             ends = np.r_[first[1:], len(bucket)][: len(first)]  # a block may have no n-gram of an order
             for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-                low = distinct[a:b] & np.uint64((1 << _LOW) - 1)
-                yield n, int(bucket[a]), block, _planes(low, _LOW // 8), _planes(counts[a:b], 8)
+                yield n, int(bucket[a]), block, _planes(distinct[a:b], 8), _planes(counts[a:b], 8)
 
 
 def _ask(order: int, buckets: int) -> Callable:
@@ -93,7 +88,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket, sorted: the counts that all blocks together have, to each block for its n-grams."""
 
     def total(key: tuple[int, int], parts: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        grams = [_from_planes(g, _LOW // 8) for _, g, _ in parts]
+        grams = [_from_planes(g, 8) for _, g, _ in parts]
         counts = np.concatenate([_from_planes(c, 8) for *_, c in parts])
         _, which = np.unique(np.concatenate(grams), return_inverse=True)
         totals = np.zeros(which.max() + 1, np.uint64)

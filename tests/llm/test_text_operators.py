@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,20 @@ def test_backoff_of_no_rows(spark):
     assert language_model.scores(documents(spark, [])).collect() == []
 
 
+def test_grams_that_differ_in_their_highest_bits_stay_apart(monkeypatch):
+    """Of 16 buckets, each and all together keep 64 bits of a hash."""
+    hashes = np.array([5, 5 | 1 << 63, 5 | 1 << 62, 5 | 1 << 48, 5], np.uint64)
+    monkeypatch.setattr(language_model, "ngrams", lambda *_: (hashes, np.arange(5)))
+    grams = language_model._Grams(pa.chunked_array([["a b c d e"]]), 1, 16)
+    distinct, _, which = grams.orders[0]
+    assert np.bincount(which).tolist() == [2, 1, 1, 1] and distinct[which].tolist() == hashes.tolist()
+    asked = pa.RecordBatch.from_pylist([dict(zip(["n", "bucket", "block", "grams", "counts"], r, strict=True)) for r in grams.asked(0)])
+    twice = pa.RecordBatch.from_pylist(sorted((r | {"block": b} for r in asked.to_pylist() for b in (0, 1)), key=lambda r: r["bucket"]))
+    answers = [r for b in language_model._answer(iter([twice])) for r in b.to_pylist() if r["block"] == 0]
+    elsewhere = np.concatenate([language_model._from_planes(r["counts"], 8) for r in sorted(answers, key=lambda r: r["bucket"])])
+    assert elsewhere.tolist() == [2, 1, 1, 1]
+
+
 def test_registered_backoff_counts_long_contexts(spark, tmp_path):
     """Two documents with the same word pairs, of which one repeats five words of others."""
     rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "a b x c d y b c z d e"), (4, "")]
