@@ -15,6 +15,10 @@ The join is a sparse product of the incidence matrix (texts by n-grams) with its
   could still come falls short of the overlap that the sizes ask for.
 * What is left is checked on the whole sets. Only links between rows that are not connected yet can change a
   component, so pairs within one are not checked again.
+
+``links`` and ``link_counts`` find every link. All of them are within components, so the sets of a component are dealt
+out in blocks, and each pair of blocks is one product of whole incidence matrices. A task holds two blocks; pairs become
+rows only in ``links``, whose result they are.
 """
 
 from __future__ import annotations
@@ -37,9 +41,14 @@ FEW = 12  # rows of a column whose pairs are all made
 SAMPLE = 8_000  # texts whose n-grams tell the frequent ones; the order changes speed only, not results
 FREQUENT = 300_000  # n-grams at most that are ordered last: 5 MB
 BROADCAST_ROWS = 1_000_000  # ids (8 bytes each) that may be broadcast
+BLOCK_SETS = 1_024  # sets of a component in a block, on average, and n-grams of them
+BLOCK_GRAMS = 1 << 18
+DENSE = 32  # sets of a block pair that share an n-gram, above which it is a column of a dense product
+DENSE_COLUMNS = 4_096  # of which a dense product takes so many at a time
 PIVOTS = 6  # rounds of pivots before the rest of large columns is compared pair by pair
 
 _ROWS = "doc_id bigint, n bigint, key1 bigint, key2 bigint, prefix array<bigint>"
+_SET = ["n", "key1", "key2"]
 
 
 def shingles(data: np.ndarray, at: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +100,15 @@ def _frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], np.array([r.texts for r in top], np.uint64)[order]
 
 
+def _set_keys(grams: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set, whose n-grams are those between its two places in ``before``."""
+    keys = []
+    for salt in (1, 2):
+        total = np.r_[np.uint64(0), np.cumsum(mix(grams + np.uint64(salt)))]
+        keys.append((total[before[1:]] - total[before[:-1]]).view(np.int64))
+    return keys
+
+
 def _matrix_rows(n: int, threshold: tuple[int, int], frequent: tuple[np.ndarray, np.ndarray]) -> Callable:
     """Per text: set size, two hashes of the set, and the prefix. Within a block, later copies of a set have no prefix."""
     grams_last, times = frequent
@@ -101,10 +119,7 @@ def _matrix_rows(n: int, threshold: tuple[int, int], frequent: tuple[np.ndarray,
                 grams, owner = shingles(data, at, n)
                 sizes = np.bincount(owner, minlength=end - first)
                 before = np.r_[0, np.cumsum(sizes)]
-                keys = []
-                for salt in (1, 2):
-                    total = np.r_[np.uint64(0), np.cumsum(mix(grams + np.uint64(salt)))]
-                    keys.append((total[before[1:]] - total[before[:-1]]).view(np.int64))
+                keys = _set_keys(grams, before)
                 place = grams >> np.uint64(1)
                 if len(grams_last) and len(grams):
                     slot = np.minimum(np.searchsorted(grams_last, grams), len(grams_last) - 1)
@@ -135,17 +150,153 @@ def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD)
     without words have empty sets and link with nothing. A row whose doc_id is null has no part in links
     and a null component_id. Rows that share a doc_id are one document in links. No rows, no result.
     """
+    _, rows, named = _named(docs, n, threshold)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
+    placed = rows.join(named, _SET, "left")
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _named(docs: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts, the matrix's rows without prefixes, and (n, key1, key2, id, class) of each set."""
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     rows = kept(texts.mapInArrow(_matrix_rows(n, threshold, _frequent(texts, n)), _ROWS), "matrix")
-    same_set = ["n", "key1", "key2"]
     # Of a block's copies one has the prefix, the others an empty one, which is less.
-    groups = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same_set)
+    groups = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*_SET)
     sets = kept(groups.agg(F.min("doc_id").alias("id"), F.max("prefix").alias("prefix")), "sets")
     found = _linked(texts, sets, n, threshold)
-    named = sets.select(*same_set, "id").join(found, "id", "left").select(*same_set, F.coalesce("component", "id").alias("class"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
-    placed = rows.drop("prefix").join(named, same_set, "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    named = sets.select(*_SET, "id").join(found, "id", "left").select(*_SET, "id", F.coalesce("component", "id").alias("class"))
+    return texts, rows.drop("prefix"), named
+
+
+def link_counts(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): ``classes`` and with how many other rows of docs a row links.
+
+    Links with copies count. Rows without doc_id or without words have none, and count for no other.
+    """
+    texts, rows, named = _named(docs, n, threshold)
+    copies = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*_SET).agg(F.count(F.lit(1)).alias("copies"))
+    named = kept(named.join(copies, _SET), "named")
+    made = _block_pairs(texts, named, n).mapInArrow(_linked_in_blocks(threshold, False), "n bigint, key1 bigint, key2 bigint, links bigint")
+    others = made.groupBy(*_SET).agg(F.sum("links").alias("links"))
+    counted = kept(named.join(others, _SET, "left"), "counted")
+    named_row = F.col("doc_id").isNotNull()
+    return rows.join(counted, _SET, "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(named_row, F.coalesce("class", "doc_id")).alias("component_id"),
+        F.when(named_row, F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0))).otherwise(0).cast("bigint").alias("n_links"),
+    )
+
+
+def links(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (a, b) of sets, a < b, and the members (doc_id, id) of each set.
+
+    Documents link if their sets are the same or a pair. A set is named by its smallest doc_id, so exact copies cost a row
+    each and not a pair each.
+    """
+    texts, rows, named = _named(docs, n, threshold)
+    named = kept(named.withColumn("copies", F.lit(1).cast("bigint")), "named")
+    pairs = _block_pairs(texts, named, n).mapInArrow(_linked_in_blocks(threshold, True), "a bigint, b bigint")
+    members = rows.where("n > 0 AND doc_id IS NOT NULL").join(named.select(*_SET, "id"), _SET)
+    return kept(pairs.where("a != b").distinct(), "links"), members.select("doc_id", "id").distinct()
+
+
+def _block_pairs(texts: DataFrame, named: DataFrame, n: int) -> DataFrame:
+    """Sets of components with others, whole, once for each pair of blocks that they are compared in.
+
+    Rows of a pair of blocks (class, low, high) follow each other; a set is in its first or its second block.
+    """
+    per_class = named.groupBy("class").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams")).where("sets > 1")
+    parts = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.least("sets", F.ceil(F.col("grams") / BLOCK_GRAMS)))
+    inside = kept(named.join(per_class.select("class", parts.alias("parts")), "class"), "inside")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, end, data, at in ((first, end - first, d, a) for first, end, d, a in blocks(batch.column("text"))):
+                grams, owner = shingles(data, at, n)
+                before = np.r_[0, np.cumsum(np.bincount(owner, minlength=end))]
+                sets = [grams[a:b].tobytes() for a, b in zip(before[:-1], before[1:], strict=True)]
+                columns = [np.diff(before), *_set_keys(grams, before)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(sets, pa.binary())], [*_SET, "grams"])
+
+    ids = kept(inside.select("id").distinct(), "ids")
+    found = only(texts, "doc_id", ids).select("text").mapInArrow(whole, "n bigint, key1 bigint, key2 bigint, grams binary")
+    found = found.groupBy(*_SET).agg(F.first("grams").alias("grams"))
+    block = F.pmod(F.xxhash64(*_SET), F.col("parts"))
+    rows = kept(inside.join(found, _SET).withColumn("block", block), "whole")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    rows = rows.select("class", low, high, (F.col("block") > F.col("other")).alias("second"), "id", *_SET, "copies", "grams")
+    return rows.repartition("class", "low", "high").sortWithinPartitions("class", "low", "high")
+
+
+def _linked_in_blocks(threshold: tuple[int, int], pairs: bool) -> Callable:
+    """Of each pair of blocks the links: as pairs of ids, or per set the number of rows that it links with."""
+    p, q = threshold
+
+    def found(key: tuple[int, int, int], rows: list[tuple]) -> pa.RecordBatch:
+        second, ids, sizes, key1, key2, copies, raw = zip(*rows, strict=True)
+        ids, sizes, key1, key2, copies = (np.array(x, np.int64) for x in (ids, sizes, key1, key2, copies))
+        same = key[1] == key[2]
+        y = np.flatnonzero(np.array(second, bool))
+        x = np.flatnonzero(~np.array(second, bool))
+        y = x if same else y
+        overlap = _overlaps(raw, x, y)
+        linked = q * overlap >= p * (sizes[x][:, None] + sizes[y][None, :] - overlap)
+        if same:
+            np.fill_diagonal(linked, False)
+        if pairs:
+            i, j = np.nonzero(np.triu(linked) if same else linked)
+            a, b = ids[x[i]], ids[y[j]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        counts = np.zeros(len(ids), np.int64)
+        counts[x] += linked @ copies[y]
+        if not same:
+            counts[y] += copies[x] @ linked
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (sizes, key1, key2, counts)], [*_SET, "links"]).filter(pa.array(counts > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key and rows:
+                    yield found(key, rows)
+                    rows = []
+                key = row[:3]
+                rows.append(row[3:])
+        if rows:
+            yield found(key, rows)
+
+    return run
+
+
+def _overlaps(raw: tuple[bytes, ...], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of n-grams that each set of x has in common with each set of y."""
+    grams = np.frombuffer(b"".join(raw), np.uint64)
+    owner = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
+    _, column, times = np.unique(grams, return_inverse=True, return_counts=True)
+    order = np.lexsort((owner, column))
+    order = order[times[column[order]] > 1]
+    column, owner = column[order], owner[order]
+    times, first = times[times > 1], np.flatnonzero(np.r_[True, column[1:] != column[:-1]][: len(column)])
+    total = np.zeros((len(x), len(y)), np.int64)
+    at_x, at_y = np.full(len(raw), -1), np.full(len(raw), -1)
+    at_x[x], at_y[y] = np.arange(len(x)), np.arange(len(y))
+    for width in np.unique(times[times <= DENSE]):
+        rows = owner[first[times == width][:, None] + np.arange(width)]
+        for i in range(width):
+            for j in range(width):
+                a, b = at_x[rows[:, i]], at_y[rows[:, j]]
+                both = (a >= 0) & (b >= 0)
+                np.add.at(total, (a[both], b[both]), 1)
+    dense = np.flatnonzero(times > DENSE)
+    for k in range(0, len(dense), DENSE_COLUMNS):
+        some = dense[k : k + DENSE_COLUMNS]
+        has = np.zeros((len(raw), len(some)), np.float32)
+        for c, (start, width) in enumerate(zip(first[some].tolist(), times[some].tolist(), strict=True)):
+            has[owner[start : start + width], c] = 1
+        total += (has[x] @ has[y].T).astype(np.int64)
+    return total
 
 
 def _linked(texts: DataFrame, sets: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:

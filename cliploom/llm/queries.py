@@ -132,6 +132,39 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+@query(
+    r"""
+    WITH RECURSIVE doc AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ),
+    gram AS (
+        SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM doc WHERE len(w) > 0)
+    ),
+    size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+    pair AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o
+        FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+    ),
+    link AS (
+        SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+        WHERE 100 * o >= 80 * (x.n + y.n - o)
+    ),
+    edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+    least AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a),
+    degree AS (SELECT a AS doc_id, count(*) AS d FROM edge GROUP BY a)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(c, doc_id))::BIGINT AS component_id,
+        coalesce(d, 0)::BIGINT AS n_links
+    FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id) LEFT JOIN degree USING (doc_id)
+    """
+)
+def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_counts(table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 

@@ -122,6 +122,48 @@ def test_jaccard_of_no_rows_and_kept_columns(spark):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r for r in rows if r[0] != 3)
 
 
+@pytest.mark.parametrize("dense, columns", [(32, 4_096), (2, 3), (0, 1)])
+def test_overlaps_equal_set_products(monkeypatch, dense, columns):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "DENSE_COLUMNS", columns)
+    rng = np.random.default_rng(dense)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))).astype(np.uint64) for _ in range(50)]
+    for x, y in ((np.arange(50), np.arange(50)), (np.arange(0, 50, 2), np.arange(1, 50, 2)), (np.arange(50), np.arange(0))):
+        want = [[len(np.intersect1d(sets[i], sets[j])) for j in y] for i in x]
+        assert jaccard._overlaps(tuple(s.tobytes() for s in sets), x, y).tolist() == want
+
+
+@pytest.mark.parametrize("block", [1_024, 7])
+def test_every_link_is_found(spark, monkeypatch, block):
+    """Links inside components that others connect already, in one block and in many."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rng = np.random.default_rng(block)
+    words = vocabulary(rng, 300)
+    texts = near_copies(rng, rng.choice(words, 90), 40, 2) + near_copies(rng, rng.choice(words, 60), 20, 2)
+    texts += [texts[3]] * 10 + [" ".join(rng.choice(words, 40)) for _ in range(20)] + [None, "", "One two", "one TWO"]
+    rows = list(enumerate(texts, 100)) + [(None, texts[3]), (None, None)]
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    pairs = {
+        (a, b)
+        for x, (a, s) in enumerate(sets)
+        for b, t in sets[x + 1 :]
+        if a is not None and b is not None and s and t and 100 * len(s & t) >= 80 * len(s | t)
+    }
+    assert len(pairs) > 300
+    degree = Counter(i for pair in pairs for i in pair)
+    docs = documents(spark, rows)
+    got = jaccard.link_counts(docs).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((i, degree[i]) for i, _ in rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_classes(rows)
+    found, members = jaccard.links(docs)
+    of_set = defaultdict(list)
+    for r in members.collect():
+        of_set[r.id].append(r.doc_id)
+    linked = [(a, b) for r in found.collect() for a in of_set[r.a] for b in of_set[r.b]]
+    linked += [(a, b) for ids in of_set.values() for a in ids for b in ids if a < b]
+    assert len(linked) == len(pairs) and {tuple(sorted(x)) for x in linked} == pairs
+
+
 # Decontamination
 
 
