@@ -97,7 +97,7 @@ def _pack(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
-    ends = np.r_[first[1:], len(rows)]
+    ends = np.r_[first[1:], len(rows)][: len(first)]
     packed = [rows[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), pa.array(packed, pa.binary())], ["bucket", "rows"])
 
