@@ -11,12 +11,15 @@ from cliploom.llm import (
     decontamination,
     jaccard,
     language_model,
+    merkle,
     packing,
     pii,
     repeats,
     token_files,
     toxicity,
+    url_filter,
     vector_tree,
+    whitening,
 )
 from cliploom.llm.common import kept, table
 from cliploom.llm.registry import ORACLE, QUERIES, query  # noqa: F401
@@ -261,3 +264,131 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+# Fixed values of the contract: (action, host, path).
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+UNWANTED = ("ads", "adult", "bets", "casino", "pills", "spam")  # words of host names whose pages are listed
+
+
+@query(
+    rf"""
+    WITH page AS (
+        SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+            coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+        FROM pages
+    ),
+    named AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canonical FROM page),
+    listed AS (
+        SELECT DISTINCT canonical FROM named
+        WHERE list_has_any(regexp_split_to_array(host, '[.-]'), ['{"', '".join(UNWANTED)}'])
+    ),
+    rule(action, host, path) AS (VALUES {", ".join(map(str, URL_RULES))}),
+    fit AS (
+        SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(action, length(r.host || r.path)) AS action
+        FROM page p JOIN rule r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+        GROUP BY page_id
+    )
+    SELECT page_id, host, path, rule,
+        coalesce(action, CASE WHEN host <> '' AND canonical IN (FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM named LEFT JOIN fit USING (page_id)
+    """
+)
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = url_filter.parts(F.col("url"))
+    listed = pages.where(F.arrays_overlap(F.split(host, "[.-]"), F.lit(list(UNWANTED))))
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return url_filter.judge(pages, rules, listed).drop("canonical", "listed")
+
+
+@query(
+    """
+    WITH RECURSIVE field AS (
+        SELECT doc_id, lang, text,
+            coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head
+        FROM documents
+    ),
+    leaf AS (
+        SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place,
+            sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h FROM field
+    ),
+    node AS (
+        SELECT 0 AS level, lang AS tree, place, h, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+        UNION ALL
+        SELECT level + 1, tree, place // 8, sha256(string_agg(h, '' ORDER BY place)), (any_value(n) + 7) // 8
+        FROM node WHERE n > 1 GROUP BY level, tree, place // 8
+    ),
+    subroot AS (SELECT tree, h, row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS place FROM node WHERE n = 1),
+    upper AS (
+        SELECT 0 AS level, place, h, count(*) OVER () AS n FROM subroot
+        UNION ALL
+        SELECT level + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), (any_value(n) + 7) // 8
+        FROM upper WHERE n > 1 GROUP BY level, place // 8
+    ),
+    beside AS (
+        SELECT l.lang, l.doc_id, 0 AS part, x.level, string_agg(x.h, '' ORDER BY x.place) AS s
+        FROM leaf l JOIN node x ON x.tree IS NOT DISTINCT FROM l.lang AND x.n > 1
+            AND x.place // 8 = l.place // (8 ** (x.level + 1))::BIGINT AND x.place <> l.place // (8 ** x.level)::BIGINT
+        GROUP BY l.lang, l.doc_id, x.level
+        UNION ALL
+        SELECT l.lang, l.doc_id, 1, x.level, string_agg(x.h, '' ORDER BY x.place)
+        FROM leaf l JOIN subroot r ON r.tree IS NOT DISTINCT FROM l.lang JOIN upper x ON x.n > 1
+            AND x.place // 8 = r.place // (8 ** (x.level + 1))::BIGINT AND x.place <> r.place // (8 ** x.level)::BIGINT
+        GROUP BY l.lang, l.doc_id, x.level
+    ),
+    proof AS (SELECT doc_id, sha256(string_agg(s, '' ORDER BY part, level)) AS proof_sha256 FROM beside GROUP BY doc_id),
+    crc_table AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(
+            list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    ),
+    version AS (
+        SELECT l.doc_id, l.lang AS tree, l.place, CASE WHEN xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(string_split(l.doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 3 = 0
+            THEN sha256(head || coalesce(strlen(text) || ':'
+                || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) ELSE l.h END AS h
+        FROM leaf l JOIN field USING (doc_id), crc_table
+    ),
+    fold AS (
+        SELECT doc_id, tree, 0 AS level, place, h FROM version
+        UNION ALL
+        SELECT f.doc_id, f.tree, f.level + 1, f.place // 8,
+            sha256(string_agg(CASE WHEN x.place = f.place THEN f.h ELSE x.h END, '' ORDER BY x.place))
+        FROM fold f JOIN node x ON x.tree IS NOT DISTINCT FROM f.tree AND x.level = f.level AND x.n > 1 AND x.place // 8 = f.place // 8
+        GROUP BY f.doc_id, f.tree, f.level, f.place
+    ),
+    above AS (
+        SELECT doc_id, 0 AS level, r.place, arg_max(f.h, f.level) AS h
+        FROM fold f JOIN subroot r ON r.tree IS NOT DISTINCT FROM f.tree GROUP BY doc_id, r.place
+        UNION ALL
+        SELECT f.doc_id, f.level + 1, f.place // 8,
+            sha256(string_agg(CASE WHEN x.place = f.place THEN f.h ELSE x.h END, '' ORDER BY x.place))
+        FROM above f JOIN upper x ON x.level = f.level AND x.n > 1 AND x.place // 8 = f.place // 8 GROUP BY f.doc_id, f.level, f.place
+    ),
+    folded AS (SELECT doc_id, arg_max(h, level) AS folded_root FROM above GROUP BY doc_id)
+    SELECT l.doc_id, l.h AS leaf, r.h AS subroot, u.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+        folded_root, folded_root = u.h AS verified
+    FROM leaf l JOIN subroot r ON r.tree IS NOT DISTINCT FROM l.lang JOIN upper u ON u.n = 1
+    JOIN folded USING (doc_id) LEFT JOIN proof USING (doc_id)
+    """
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", url_filter.UPPER, url_filter.LOWER)
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered, edits={"text": lowered})
+    return merkle.proofs(found).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
