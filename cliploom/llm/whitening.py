@@ -1,10 +1,10 @@
 """Whitening of embeddings: leading components of their covariance by contour integration, FEAST.
 
 The covariance of the distinct quantised vectors is summed in tasks, exactly, as integers; only d x d sums reach the driver. There
-inertia counts (signs in a symmetric factorisation of V - s I) find an interval that holds just the wanted eigenvalues. FEAST projects a
-random block onto their eigenvectors: a Gauss-Legendre quadrature, on a circle around the interval, of solutions of
-(z I - V) X = Y for complex shifts z; Rayleigh-Ritz on what the projection spans gives eigenpairs, and both repeat
-until the residuals are at rounding. The count of pairs found must equal the inertia count, so none is missed.
+inertia counts (signs in the symmetric factorisation of V - s I, in tridiagonal form) find intervals that hold the wanted eigenvalues
+and no others. FEAST projects a random block onto the eigenvectors of an interval: a Gauss-Legendre quadrature, on a circle around it,
+of solutions of (z I - V) X = Y for complex shifts z; Rayleigh-Ritz on what the projection spans gives eigenpairs, and both
+repeat until the residuals fall no more. The count of pairs found must equal the inertia count, so none is missed.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ SCALE = 256  # steps of the quantisation per unit
 NODES = 8  # of the quadrature, on the upper half circle
 SPARE = 4  # columns of the block beyond the eigenvalues inside
 TURNS = 40
+TOGETHER = 1e-9  # of the largest: eigenvalues nearer than this share an interval
 RANK = 1e-12  # an eigenvalue below this share of the trace is none
 
 _EXACT = 1 << 53  # doubles hold all integers below this
@@ -45,34 +46,44 @@ class Whitening:
 # --- eigenvalues of a symmetric matrix inside an interval -----------------------
 
 
-def inertia(matrix: np.ndarray, shift: float) -> int:
-    """Number of eigenvalues below ``shift``: negative pivots of a symmetric factorisation with pivots of one or two rows."""
-    a, below = matrix - shift * np.eye(len(matrix)), 0
-    while len(a):
-        size, diagonal = np.abs(a), np.abs(np.diag(a))
-        i, (r, s) = int(diagonal.argmax()), np.unravel_index(size.argmax(), a.shape)
-        if size[r, s] == 0:
-            break
-        pivots = [i] if diagonal[i] >= 0.64 * size[r, s] else [min(r, s), max(r, s)]
-        rest = [k for k in range(len(a)) if k not in pivots]
-        own, cross = a[np.ix_(pivots, pivots)], a[np.ix_(rest, pivots)]
-        below += int(own[0, 0] < 0) if len(pivots) == 1 else 1  # a pivot of two rows has one eigenvalue of each sign
-        a = a[np.ix_(rest, rest)] - cross @ np.linalg.solve(own, cross.T)
-        a = (a + a.T) / 2
+def tridiagonal(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Diagonal and off-diagonal of a tridiagonal matrix with the same eigenvalues, by reflections."""
+    a = matrix.astype(np.float64)
+    off = np.zeros(max(len(a) - 1, 0))
+    for k in range(len(off)):
+        x, rest = a[k + 1 :, k].copy(), a[k + 1 :, k + 1 :]
+        off[k] = -np.copysign(np.linalg.norm(x), x[0])
+        x[0] -= off[k]
+        if length := np.linalg.norm(x):
+            x /= length
+            p = rest @ x
+            p -= (x @ p) * x
+            rest -= 2 * (np.multiply.outer(x, p) + np.multiply.outer(p, x))
+    return np.diag(a).copy(), off
+
+
+def inertia(diagonal: np.ndarray, off: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Eigenvalues below each shift: negative pivots in the symmetric factorisation of the shifted tridiagonal matrix."""
+    below, pivot = np.zeros(len(shifts), int), np.ones(len(shifts))
+    tiny = np.finfo(float).tiny ** 0.5
+    for value, square in zip(diagonal, np.r_[0.0, off**2], strict=True):
+        pivot = value - shifts - square / pivot
+        pivot = np.where(np.abs(pivot) < tiny, -tiny, pivot)
+        below += pivot < 0
     return below
 
 
-def leading_interval(matrix: np.ndarray, wanted: int) -> tuple[float, float, int]:
-    """An interval with the largest ``wanted`` eigenvalues, and how many it holds: more only if they cannot be told apart."""
-    high = float(np.abs(matrix).sum(axis=1).max()) * (1 + 1e-9) or 1.0
-    low, top, d = -high, high, len(matrix)
-    while top - low > 1e-13 * high:
-        middle = (low + top) / 2
-        above = d - inertia(matrix, middle)
-        if above == wanted:
-            return middle, high, above
-        low, top = (middle, top) if above > wanted else (low, middle)
-    return low, high, d - inertia(matrix, low)
+def located(diagonal: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """All eigenvalues, falling, each by bisection on the inertia count."""
+    d = len(diagonal)
+    reach = np.abs(np.r_[0.0, off]) + np.abs(np.r_[off, 0.0])
+    low, high = np.full(d, (diagonal - reach).min()), np.full(d, (diagonal + reach).max())
+    rank = np.arange(d)[::-1]  # eigenvalues below the one in question
+    for _ in range(80):
+        middle = (low + high) / 2
+        above = inertia(diagonal, off, middle) <= rank
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    return (low + high) / 2
 
 
 def feast(matrix: np.ndarray, low: float, high: float, inside: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +93,7 @@ def feast(matrix: np.ndarray, low: float, high: float, inside: int, seed: int =
     centre, radius = (low + high) / 2, (high - low) / 2
     at, weight = np.polynomial.legendre.leggauss(NODES)
     turn = np.exp(-0.5j * np.pi * (at - 1))  # angles from pi to 0
-    norm = np.abs(matrix).max() * d
+    norm, last = np.abs(matrix).max() * d, np.inf
     for _ in range(TURNS):
         projected = np.zeros_like(block)
         for w, z in zip(weight, turn, strict=True):
@@ -93,21 +104,42 @@ def feast(matrix: np.ndarray, low: float, high: float, inside: int, seed: int =
         block = basis @ ritz
         residual = np.linalg.norm(matrix @ block - block * values, axis=0)
         mine = np.flatnonzero((values > low) & (values < high) & (residual <= 1e-13 * norm))
-        if len(mine) == inside:
+        worst, last = last, residual[mine].max(initial=0.0)
+        if len(mine) == inside and last >= worst / 2:  # at rounding: no turn makes it less
             mine = mine[::-1]
             return values[mine], (block[:, mine] / np.linalg.norm(block[:, mine], axis=0)).T
     raise ArithmeticError(f"{len(mine)} of {inside} eigenvalues between {low} and {high} found")
 
 
+def intervals(values: np.ndarray, wanted: int) -> list[tuple[float, float]]:
+    """Around each of the largest eigenvalues, or several too close to tell apart, half the way to the next outside."""
+    same, found, first = TOGETHER * np.abs(values).max(), [], 0
+    while first < wanted:
+        last = first
+        while last + 1 < len(values) and values[last] - values[last + 1] <= same:
+            last += 1
+        gaps = [values[first - 1] - values[first]] if first else []
+        gaps += [values[last] - values[last + 1]] if last + 1 < len(values) else []
+        margin = min(gaps, default=values[first] or 1.0) / 2
+        found.append((values[last] - margin, values[first] + margin))
+        first = last + 1
+    return found
+
+
 def leading(matrix: np.ndarray, wanted: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
     """The largest eigenvalues that are not zero, falling, at most ``wanted``, and their unit eigenvectors as rows."""
-    d, trace = len(matrix), float(np.trace(matrix))
-    positive = d - inertia(matrix, RANK * trace) if trace > 0 else 0
-    wanted = min(wanted, positive)
+    form = tridiagonal(matrix)
+    values = located(*form)
+    wanted = min(wanted, int((values > RANK * np.trace(matrix)).sum()))
     if not wanted:
-        return np.zeros(0), np.zeros((0, d))
-    values, vectors = feast(matrix, *leading_interval(matrix, wanted))
-    return values[:wanted], vectors[:wanted]
+        return np.zeros(0), np.zeros((0, len(matrix)))
+    found = []
+    for low, high in intervals(values, wanted):
+        inside = int(np.diff(inertia(*form, np.array([low, high])))[0])
+        found.append(feast(matrix, low, high, inside)[1])
+    basis, _ = np.linalg.qr(np.concatenate(found).T)  # those of neighbouring intervals, orthogonal to rounding
+    values, ritz = np.linalg.eigh(basis.T @ matrix @ basis)
+    return values[::-1][:wanted], (basis @ ritz).T[::-1][:wanted]
 
 
 # --- sums in tasks ---------------------------------------------------------------

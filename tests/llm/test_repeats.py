@@ -91,3 +91,11 @@ def test_registered_query(spark, sf_dir):
     got = sorted(QUERIES["op10_repeated_windows"](spark, sf_dir).collect(), key=lambda r: r.doc_id)
     want = [(i, n, removed, spans, hashlib.sha256(left).hexdigest()) for (i, _), (n, removed, spans, left) in zip(rows, plain(rows), strict=True)]
     assert [tuple(r) for r in got] == want
+
+
+@pytest.mark.parametrize("texts", [["zz"], [""], [None], ["zz", "", None, "x" * 99], ["zz", "a" * 250]])
+def test_blocks_of_short_texts(spark, texts):
+    """One text per partition: blocks that hold no window at all."""
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(len(rows), "doc_id")
+    check(sorted(repeats.remove_repeats(docs).collect(), key=lambda r: r.doc_id), rows)
