@@ -140,18 +140,24 @@ def accounted(listing: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:
 def image_frames(spark: SparkSession, base: str, spec: ClipSpec = ClipSpec(), suffixes=IMAGE_SUFFIXES) -> DataFrame:
     """Clips given as folders of images: (video_path, k, frame_idx, …) with the sampled frames.
 
-    Names are indexed and sampled first; pixels are joined to the sampled names. A file
-    that is not an image becomes a zero frame.
+    Names are indexed and sampled first; pixels are joined to the sampled names. A file that is empty or not an image
+    becomes a zero frame, and so does one whose name starts with ``_`` or ``.``, which Spark's reader leaves out. A folder
+    that cannot be read is a clip with ``status = error``.
     """
     ship_package(spark)
-    names = media.image_names(media.list_binary_files(spark, base, suffixes))
+    listed = media.list_media(spark, base, suffixes, sizes=False)
+    names = media.image_names(listed.where("error IS NULL").drop("error"))
     keyed = dense_index(names, ["frame_name"], by=["video_path"], name="frame_idx", unique=True)
     lengths = keyed.groupBy("video_path").agg(F.count(F.lit(1)).alias("total_frames"))
     wanted = frames.fan_out(lengths, spec.n_frames).drop("total_frames")
     files = frames.fetch(wanted, keyed, ["video_path", "frame_idx"])
     found = frames.fetch(files, media.images(spark, base), ["video_path", "frame_name"]).drop("status")
     sized = frames.resize(frames.to_rgb(found), spec.height, spec.width, spec.method)
-    return frames.zero_fill(sized, F.lit(bytearray(spec.height * spec.width * 3)))
+    zeros = F.lit(bytearray(spec.height * spec.width * 3))
+    unread = listed.where("error IS NOT NULL").select("video_path", F.lit(0).alias("total_frames"))
+    failed = frames.fan_out(unread, spec.n_frames).drop("total_frames")
+    failed = failed.withColumns({"data": zeros, "status": F.lit(schemas.ERROR)})
+    return frames.zero_fill(sized, zeros).unionByName(failed, allowMissingColumns=True)
 
 
 def clip_means(clips_df: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:

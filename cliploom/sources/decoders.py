@@ -8,10 +8,14 @@ Decoders travel to the tasks, so they hold no open files.
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 import numpy as np
 import pyarrow.fs as pafs
 
+PIECE = 8 << 20  # bytes copied at once
+
 
 def open_bytes(path: str):
     """Seekable binary file from a local path or any URI that pyarrow knows."""
@@ -146,8 +150,29 @@ def yuv_to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray, step: tuple[int, int
     return rgb
 
 
+def spooled(path: str) -> str:
+    """A copy of a file in the task's own temporary folder, in pieces; the caller removes it."""
+    with open_bytes(path) as source, tempfile.NamedTemporaryFile(suffix=os.path.splitext(path)[1], delete=False) as copy:
+        try:
+            while piece := source.read(PIECE):
+                copy.write(piece)
+        except Exception:
+            os.unlink(copy.name)
+            raise
+        return copy.name
+
+
+def _remove(copy: str | None) -> None:
+    if copy is not None and os.path.exists(copy):
+        os.unlink(copy)
+
+
 class OpenCvDecoder:
-    """MP4 and other compressed files, where OpenCV is installed on the executors."""
+    """MP4 and other compressed files, where OpenCV is installed on the executors.
+
+    OpenCV opens local files only: what lies elsewhere is first copied into a temporary file of the task, which goes
+    when the clip is closed.
+    """
 
     name = "opencv"
 
@@ -156,14 +181,19 @@ class OpenCvDecoder:
             import cv2
         except ImportError as exc:
             raise RuntimeError("OpenCV is not installed") from exc
-        if "://" not in path and path.startswith("file:"):
-            path = path[len("file:") :]
-        return OpenCvClip(cv2, path)
+        if path.startswith("file:"):
+            path = re.sub("^file:/+", "/", path) if path.startswith("file:/") else path[len("file:") :]
+        copy = spooled(path) if "://" in path else None
+        try:
+            return OpenCvClip(cv2, copy or path, copy)
+        except Exception:
+            _remove(copy)
+            raise
 
 
 class OpenCvClip:
-    def __init__(self, cv2, path: str) -> None:
-        self._cv2 = cv2
+    def __init__(self, cv2, path: str, copy: str | None = None) -> None:
+        self._cv2, self._copy = cv2, copy
         self._video = cv2.VideoCapture(path)
         if not self._video.isOpened():
             raise ValueError("cannot open")
@@ -179,6 +209,7 @@ class OpenCvClip:
 
     def close(self) -> None:
         self._video.release()
+        _remove(self._copy)
 
 
 DEFAULT_DECODERS = (Y4MDecoder(), OpenCvDecoder())

@@ -65,11 +65,11 @@ def _scanner(suffixes: tuple[str, ...], sizes: bool, budget: int):
                     rows.append((None, None, None, folder))
                     continue
                 try:
-                    entries = _entries(folder)
+                    within = entries(folder)
                 except OSError as exc:
                     rows.append((folder, None, f"cannot list: {exc}", None))
                     continue
-                for path, name, is_folder, size in entries:
+                for path, name, is_folder, size in within:
                     seen += 1
                     if is_folder:
                         pending.append(path)
@@ -84,9 +84,12 @@ def _scanner(suffixes: tuple[str, ...], sizes: bool, budget: int):
     return scan
 
 
-def _entries(folder: str) -> list[tuple[str, str, bool, int | None]]:
-    """(path, name, is a folder, size) of what a folder holds, paths in the form of the folder's. Links to folders are not followed."""
-    filesystem, path = pafs.FileSystem.from_uri(folder)
+def entries(folder: str, infos: bool = False) -> list[tuple]:
+    """(path, name, is a folder, size) of what a folder holds, paths in the form of the folder's; ``infos`` gives the whole entry for its size.
+
+    Links to folders are not followed.
+    """
+    filesystem, path = pafs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
     prefix = folder[: -len(path)] if folder.endswith(path) else ""
     for attempt in range(ATTEMPTS):
         try:
@@ -98,7 +101,7 @@ def _entries(folder: str) -> list[tuple[str, str, bool, int | None]]:
             time.sleep(0.2 * 2**attempt)
     local = isinstance(filesystem, pafs.LocalFileSystem)
     return [
-        (prefix + info.path, info.base_name, info.type == pafs.FileType.Directory, info.size)
+        (prefix + info.path, info.base_name, info.type == pafs.FileType.Directory, info if infos else info.size)
         for info in found
         if not (local and info.type == pafs.FileType.Directory and os.path.islink(info.path))
     ]

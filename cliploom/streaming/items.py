@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
+from cliploom.sources import files
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     """A parquet table as a stream; ``path`` is a folder, or one file.
@@ -29,14 +28,15 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def stream_files(
-    spark: SparkSession, base: str, suffixes: Sequence[str] = (".mp4",), files_per_trigger: int = 1000
+    spark: SparkSession, base: str, suffixes: Sequence[str] = (".mp4",), settle: float = files.SETTLE
 ) -> DataFrame:
-    """Media files as a stream of (video_path, video_size). Content is not read."""
-    pattern = "*{" + ",".join(suffixes) + "}"
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-    reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    files = reader.option("maxFilesPerTrigger", files_per_trigger).load(base)
-    return files.select(F.col("path").alias("video_path"), F.col("length").alias("video_size"))
+    """Media files as a stream of (video_path, video_size), empty and hidden ones too. Content is not read.
+
+    Each trigger takes the files that arrived since the last one, however many (``sources.files``). A file that is written or
+    moved again comes again. Files inside a folder that was moved in as a whole keep their old times and do not come.
+    """
+    reader = files.register(spark).readStream.format(files.FORMAT).option("suffixes", json.dumps(list(suffixes)))
+    return reader.option("settle", settle).load(base).select("video_path", "video_size")
 
 
 def run_available(

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+import subprocess
 import sys
 import types
 
@@ -8,6 +10,7 @@ import pytest
 
 import __spark_entry__ as driver
 from cliploom.plans.catalog import all_queries
+from cliploom.sources import decoders
 from cliploom.sources.decoders import OpenCvDecoder
 
 
@@ -20,6 +23,14 @@ def test_every_query_has_sql():
     assert set(all_queries()) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
+def test_other_queries_work_without_what_the_training_operators_need():
+    """No tokenizer files, no subpackage: the entry offers all other queries."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(driver.__file__)
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(all_queries()))] * 2
+
+
 class FakeCapture:
     """The part of OpenCV's video reader that the adapter uses: three 2x2 BGR frames."""
 
@@ -61,6 +72,26 @@ def test_opencv_adapter_reads_rgb(cv2):
         OpenCvDecoder().open("bad.mp4")
 
 
+def test_opencv_reads_a_copy_of_what_lies_elsewhere(cv2, monkeypatch, tmp_path):
+    opened = []
+
+    class Copied(FakeCapture):
+        def __init__(self, path: str) -> None:
+            opened.append((path, open(path, "rb").read()))
+            super().__init__("good.mp4" if opened[-1][1] == b"video" else "bad.mp4")
+
+    monkeypatch.setattr(sys.modules["cv2"], "VideoCapture", Copied)
+    (tmp_path / "a.mp4").write_bytes(b"video")
+    monkeypatch.setattr(decoders, "open_bytes", lambda uri: open(uri.removeprefix("store://box"), "rb"))
+    clip = OpenCvDecoder().open(f"store://box{tmp_path}/a.mp4")
+    assert os.path.exists(opened[0][0]) and opened[0][0].endswith(".mp4")
+    clip.close()
+    (tmp_path / "b.mp4").write_bytes(b"junk")
+    with pytest.raises(ValueError):
+        OpenCvDecoder().open(f"store://box{tmp_path}/b.mp4")
+    assert len(opened) == 2 and not any(os.path.exists(path) for path, _ in opened)
+
+
 def test_opencv_missing(monkeypatch):
     monkeypatch.setitem(sys.modules, "cv2", None)
     with pytest.raises(RuntimeError, match="not installed"):

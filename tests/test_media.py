@@ -279,6 +279,31 @@ def test_image_folders_as_clips(spark, tmp_path):
         assert (seen["bad", k].status, bytes(seen["bad", k].data)) == ("zero_filled", bytes(72))
 
 
+def test_empty_and_hidden_images_keep_their_place(spark, tmp_path):
+    stack = RNG.integers(0, 256, (2, 4, 6, 3), dtype=np.uint8)
+    write_bmp(tmp_path / "clip" / "f0.bmp", stack[0])
+    (tmp_path / "clip" / "f1.bmp").write_bytes(b"")
+    write_bmp(tmp_path / "clip" / "f2.bmp", stack[1])
+    (tmp_path / "none").mkdir()
+    (tmp_path / "blank").mkdir()
+    (tmp_path / "blank" / ".x.png").write_bytes(b"")
+    spec = clip_job.ClipSpec(n_frames=3, height=4, width=6)
+    rows = clip_job.image_frames(spark, str(tmp_path), spec).collect()
+    seen = {(os.path.basename(r.video_path), r.k): (r.status, bytes(r.data)) for r in rows}
+    assert [seen["clip", k] for k in range(3)] == [("ok", stack[0].tobytes()), ("zero_filled", bytes(72)), ("ok", stack[1].tobytes())]
+    assert [seen["blank", k] for k in range(3)] == [("zero_filled", bytes(72))] * 3 and len(rows) == 6
+
+
+def test_image_folder_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    write_bmp(tmp_path / "clip" / "f0.bmp", RNG.integers(0, 256, (4, 6, 3), dtype=np.uint8))
+    listed = media.list_media(spark, str(tmp_path), clip_job.IMAGE_SUFFIXES, sizes=False)
+    broken = spark.createDataFrame([(f"{tmp_path}/locked", None, "cannot list: no")], listed.schema)
+    monkeypatch.setattr(media, "list_media", lambda *args, **kwargs: listed.unionByName(broken))
+    rows = clip_job.image_frames(spark, str(tmp_path), clip_job.ClipSpec(n_frames=2, height=4, width=6)).collect()
+    seen = {(os.path.basename(r.video_path), r.k): (r.status, r.frame_idx) for r in rows}
+    assert seen == {("clip", 0): ("ok", 0), ("clip", 1): ("ok", 0), ("locked", 0): ("error", None), ("locked", 1): ("error", None)}
+
+
 def test_image_folders(spark, tmp_path):
     stack = RNG.integers(0, 256, (3, 5, 7, 3), dtype=np.uint8)
     for i, rgb in enumerate(stack):
