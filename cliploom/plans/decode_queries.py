@@ -115,17 +115,17 @@ _SQL_CLIPS = f"""WITH {host.SQL_FRAMES}, cut AS (
 lengths AS (SELECT video_name, count(*) AS total FROM cut GROUP BY video_name)"""
 
 # SQL: mean of a grey frame after normalisation with the three channels' constants.
-_SQL_FRAME_MEAN = """list_avg(list_transform(grey, lambda x: (
+SQL_FRAME_MEAN = """list_avg(list_transform(grey, lambda x: (
     (x / 255.0::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE + (x / 255.0::DOUBLE - 0.456::DOUBLE) / 0.224::DOUBLE
     + (x / 255.0::DOUBLE - 0.406::DOUBLE) / 0.225::DOUBLE) / 3))"""
-_SQL_ZERO_MEAN = "(-0.485::DOUBLE / 0.229::DOUBLE - 0.456::DOUBLE / 0.224::DOUBLE - 0.406::DOUBLE / 0.225::DOUBLE) / 3"
+SQL_ZERO_MEAN = "(-0.485::DOUBLE / 0.229::DOUBLE - 0.456::DOUBLE / 0.224::DOUBLE - 0.406::DOUBLE / 0.225::DOUBLE) / 3"
 
 _SQL_MEANS = f"""{_SQL_CLIPS}, wanted AS (
   SELECT video_name, k, CASE WHEN k = 15 THEN total - 1
                              ELSE floor(k * ((total - 1) / 15.0::DOUBLE))::BIGINT END AS frame_no
   FROM lengths, range(16) r(k)),
 means AS (
-  SELECT video_name, avg({_SQL_FRAME_MEAN}) AS mean_value
+  SELECT video_name, avg({SQL_FRAME_MEAN}) AS mean_value
   FROM wanted JOIN cut USING (video_name, frame_no) GROUP BY video_name)"""
 
 
@@ -173,7 +173,7 @@ def _rounded_means(means: DataFrame) -> DataFrame:
                                     ELSE k * ((total / 25.0::DOUBLE) / 15.0::DOUBLE) END AS ts
   FROM lengths, range(16) r(k)),
 wanted AS (SELECT video_name, k, least(floor(ts * 25)::BIGINT, total - 1) AS frame_no FROM timed)
-SELECT video_name, 16 AS frame_count, 'ok' AS status, round(avg({_SQL_FRAME_MEAN}), 6) AS mean_value
+SELECT video_name, 16 AS frame_count, 'ok' AS status, round(avg({SQL_FRAME_MEAN}), 6) AS mean_value
 FROM wanted JOIN cut USING (video_name, frame_no) GROUP BY video_name""",
 )
 def time_sampled_clip_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,12 +207,12 @@ wanted AS (
                        ELSE floor(k * ((said - 1) / 15.0::DOUBLE))::BIGINT END AS frame_no
   FROM promised, range(16) r(k)),
 short AS (
-  SELECT name, max(w.frame_no) >= max(total) AS cut_off, avg(coalesce({_SQL_FRAME_MEAN}, {_SQL_ZERO_MEAN})) AS mean_value
+  SELECT name, max(w.frame_no) >= max(total) AS cut_off, avg(coalesce({SQL_FRAME_MEAN}, {SQL_ZERO_MEAN})) AS mean_value
   FROM wanted w JOIN promised USING (name) LEFT JOIN cut ON video_name = name || '.mp4' AND cut.frame_no = w.frame_no
   GROUP BY name)
 SELECT name || '-short.mp4' AS video_name, 16 AS frame_count, CASE WHEN cut_off THEN 'zero_filled' ELSE 'ok' END AS status,
        round(mean_value, 6) AS mean_value FROM short
-UNION ALL SELECT name || '-empty.mp4', 16, 'empty', round({_SQL_ZERO_MEAN}, 6) FROM promised
+UNION ALL SELECT name || '-empty.mp4', 16, 'empty', round({SQL_ZERO_MEAN}, 6) FROM promised
 UNION ALL SELECT name || '-junk.mp4', 0, 'error', 0.0::DOUBLE FROM promised""",
 )
 def faulty_clip_means(spark: SparkSession, sf_dir: str) -> DataFrame:

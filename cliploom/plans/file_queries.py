@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.functions.paths import video_name
+from cliploom.plans import decode_queries
 from cliploom.plans import hosting as host
 from cliploom.plans.registry import query
 from cliploom.session import scratch_path
 from cliploom.sources import dataset
 from cliploom.streaming import items as streams
+from cliploom.streaming import refresh
 
 LOTS = 3
 SETTLE = 0.2  # one machine's clock
@@ -74,3 +76,44 @@ def streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(_page_of(F.col("video_path")).alias("page_id")).agg(
         F.max("video_size").alias("video_size"), F.count(F.lit(1)).alias("times")
     )
+
+
+def clip_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lot, name, content): each vector as a clip of one frame. In the first lot a third are junk and a third are empty; in
+    the second every other one of the junk is mended."""
+    vec = F.col("vec_id")
+    pixels = F.transform("px", lambda x: F.lpad(F.hex(x.cast("int")), 2, "0"))
+    head = decode_queries.HEADER + b"FRAME\n"
+    clip = F.concat(F.lit(bytearray(head)), F.unhex(F.array_join(pixels, "")))
+    kind = vec % 3
+    first = F.when(kind == 0, clip).when(kind == 1, F.lit(bytearray(b"not a video"))).otherwise(F.lit(bytearray()))
+    frames = host.grey_pixels(spark, sf_dir)
+    name = F.concat((vec % 10).cast("string"), F.lit("/"), vec.cast("string"), F.lit(".mp4")).alias("name")
+    mended = frames.where((kind == 1) & (vec % 2 == 1)).select(F.lit(1).alias("lot"), name, clip.alias("content"))
+    return frames.select(F.lit(0).alias("lot"), name, first.alias("content")).unionByName(mended)
+
+
+@query(
+    "B9 B11 S11",
+    f"""WITH {host.SQL_FRAMES}, clip AS (
+  SELECT vec_id, vec_id % 3 AS kind, vec_id % 2 AS odd, {decode_queries.SQL_FRAME_MEAN} AS mean FROM frames)
+SELECT vec_id, CASE WHEN kind = 1 AND odd = 1 THEN 2 ELSE 1 END AS opened,
+       CASE WHEN kind = 2 THEN 'empty' WHEN kind = 1 AND odd = 0 THEN 'error' ELSE 'ok' END AS status,
+       round(CASE WHEN kind = 2 THEN {decode_queries.SQL_ZERO_MEAN} WHEN kind = 1 AND odd = 0 THEN 0 ELSE mean END, 6) AS mean_value
+FROM clip""",
+)
+def refreshed_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that is told of all files three times: it opens what is new or changed and nothing else."""
+    versions, folder = clip_versions(spark, sf_dir), _shared_folder(spark, "versions")
+    out, state = scratch_path(spark, "refreshed"), scratch_path(spark, "refreshed-state")
+    spec = decode_queries.SPEC
+    process = refresh.clip_mean(spec.decoders, spec.n_frames, spec.height, spec.width)
+    step = lambda rows: refresh.refreshed(rows, process, refresh.MEANS, attempts=1)
+    for lot in range(3):
+        put_files(versions.where(F.col("lot") == lot), folder)
+        streams.run_available(streams.stream_files(spark, folder, settle=SETTLE, again=True), out, state, step)
+    tried = dataset.load(spark, out, f"{refresh.COLUMNS}, {refresh.MEANS}")
+    opened = tried.groupBy("video_path").agg(F.count(F.lit(1)).alias("opened"))
+    last = refresh.latest(tried).join(opened, "video_path")
+    vec_id = _page_of(F.col("video_path")).alias("vec_id")
+    return last.select(vec_id, "opened", "status", F.round("mean_value", 6).alias("mean_value"))

@@ -46,7 +46,8 @@ def register(spark: SparkSession) -> SparkSession:
 class MediaFiles(DataSource):
     """Files below ``path`` whose name ends with one of ``suffixes`` (a JSON list), at any depth.
 
-    Other options: ``shards`` and ``settle``. A folder that cannot be read is a row with its path and an ``error`` in a
+    Other options: ``shards``, ``settle``, and ``again``: every trigger of a stream names all files, for a consumer that knows those it has
+    seen. A folder that cannot be read is a row with its path and an ``error`` in a
     batch; a stream fails there and tries the same span of time again, as going on would lose that folder's files.
     """
 
@@ -68,6 +69,7 @@ class _Tree:
     def __init__(self, options: dict[str, str]) -> None:
         self.base = options["path"]
         self.suffixes = tuple(json.loads(options.get("suffixes", json.dumps(VIDEO_SUFFIXES))))
+        self.again = options.get("again", "false").lower() == "true"
         self.shards, self.settle = int(options.get("shards", SHARDS)), float(options.get("settle", SETTLE))
 
     def parts(self, **bounds: int) -> list[InputPartition]:
@@ -159,7 +161,8 @@ class FileStreamReader(DataSourceStreamReader):
         return {"until": mark}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return self.tree.parts(after=start["until"], until=end["until"]) if start["until"] < end["until"] else []
+        after = 0 if self.tree.again else start["until"]
+        return self.tree.parts(after=after, until=end["until"]) if start["until"] < end["until"] else []
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         span = partition.value

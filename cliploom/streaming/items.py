@@ -28,15 +28,16 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def stream_files(
-    spark: SparkSession, base: str, suffixes: Sequence[str] = (".mp4",), settle: float = files.SETTLE
+    spark: SparkSession, base: str, suffixes: Sequence[str] = (".mp4",), settle: float = files.SETTLE, again: bool = False
 ) -> DataFrame:
-    """Media files as a stream of (video_path, video_size), empty and hidden ones too. Content is not read.
+    """Media files as a stream of (video_path, video_size, modified), empty and hidden ones too. Content is not read.
 
     Each trigger takes the files that arrived since the last one, however many (``sources.files``). A file that is written or
     moved again comes again. Files inside a folder that was moved in as a whole keep their old times and do not come.
+    ``again`` names all files at every trigger, those in moved folders too: for ``refresh.refreshed``, which opens new versions only.
     """
     reader = files.register(spark).readStream.format(files.FORMAT).option("suffixes", json.dumps(list(suffixes)))
-    return reader.option("settle", settle).load(base).select("video_path", "video_size")
+    return reader.options(settle=settle, again=again).load(base).select("video_path", "video_size", "modified")
 
 
 def run_available(
