@@ -185,3 +185,75 @@ def _before(a: str, b: str) -> Column:
     start, end = F.col(f"__{a}_from_exact"), F.col(f"__{b}_to_exact")
     open_ended = start.isNull() | end.isNull()
     return open_ended | F.when(F.col(f"__{b}_point"), start <= end).otherwise(start < end)
+
+
+# --- running totals, frames of time, ranks ------------------------------------------
+
+
+def running(
+    rows: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str] = (), least: Sequence[str] = (), most: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``run_no`` (1, 2, …) and, for each column, ``sum_``, ``min_`` or ``max_`` of it over the rows of the keys up to this one.
+
+    Nulls add nothing; a sum of nulls only is null. Null keys are a group. Rows that tie in ``order`` come in any order.
+    """
+    pieces = Pieces(rows, by, order)
+    parts = [("sum", c, F.sum) for c in sums] + [("min", c, F.min) for c in least] + [("max", c, F.max) for c in most]
+    ones = F.lit(1).cast("bigint")
+    local = pieces.rows.withColumns({
+        "__run_n": F.count(ones).over(pieces.inside()), **{f"__run_{kind}_{c}": fn(c).over(pieces.inside()) for kind, c, fn in parts}
+    })
+    ends = pieces.reduced(F.count(ones).alias("__run_n"), *[fn(c).alias(f"__run_{kind}_{c}") for kind, c, fn in parts])
+    earlier = {"__run_n_before": F.sum("__run_n").over(pieces.before())}
+    earlier |= {f"__run_{kind}_{c}_before": fn(f"__run_{kind}_{c}").over(pieces.before()) for kind, c, fn in parts}
+    carried = ends.select(_PIECE, *pieces.keys, *[column.alias(name) for name, column in earlier.items()])
+    both = pieces.joined(carried, local)
+    join = {"min": F.least, "max": F.greatest}
+    out = {"run_no": F.col("__run_n") + F.coalesce("__run_n_before", F.lit(0))}
+    for kind, c, _ in parts:
+        own, before = F.col(f"__run_{kind}_{c}"), F.col(f"__run_{kind}_{c}_before")
+        out[f"{kind}_{c}"] = join[kind](own, before) if kind in join else F.coalesce(own + before, own, before)
+    return both.select(*rows.columns, *[column.alias(name) for name, column in out.items()])
+
+
+def moving_average(rows: DataFrame, by: Sequence[str], time: str, value: str, reach: int) -> DataFrame:
+    """Add ``rows_in_frame`` and ``moving_average`` of ``value`` over the rows of the keys with times from ``reach`` before this row's to its own.
+
+    ``time`` is an integer (microseconds, say); rows at the same time are in each other's frame. Sums up to each distinct time are differences of
+    running decimals with six digits, so a frame costs two look-ups however many rows are in it, and nothing cancels.
+    Rows with a null time are in no frame and get nulls; null values add nothing.
+    """
+    keys = [f"__by_{i}" for i in range(len(by))]
+    named = [F.coalesce(F.to_json(F.array(c)), F.lit("")).alias(k) for c, k in zip(by, keys, strict=True)]  # null is a key here
+    exact = F.col(value).cast("decimal(28,6)")
+    kept = rows.select("*", *named)
+    each = kept.where(F.col(time).isNotNull()).groupBy(*keys, F.col(time).alias("__time"))
+    per_time = each.agg(
+        F.coalesce(F.sum(exact), F.lit(0).cast("decimal(38,6)")).alias("__sum"), F.count(value).alias("__known"), F.count(F.lit(1)).alias("__rows")
+    )
+    totals = running(per_time, keys, ["__time"], sums=["__sum", "__known", "__rows"])
+    upto = totals.select(*keys, "__time", *[F.col(f"sum___{c}").alias(f"__{c}_to") for c in ("sum", "known", "rows")])
+    before = totals.select(*keys, F.col("__time").alias("__ago"), *[F.col(f"sum___{c}").alias(f"__{c}_off") for c in ("sum", "known", "rows")])
+    shifted = upto.withColumn("__ago", F.col("__time") - (reach + 1))
+    frames = as_of_join(shifted, before, keys, "__ago", ["__sum_off", "__known_off", "__rows_off"])
+    left = {c: F.col(f"__{c}_to") - F.coalesce(f"__{c}_off", F.lit(0)) for c in ("sum", "known", "rows")}
+    frames = frames.select(
+        *[F.col(k).alias(f"{k}_of") for k in keys], F.col("__time").alias("__time_of"), left["rows"].alias("rows_in_frame"),
+        F.when(left["known"] > 0, left["sum"].cast("double") / left["known"]).alias("moving_average"),
+    )
+    same = [F.col(k) == F.col(f"{k}_of") for k in keys] + [F.col(time) == F.col("__time_of")]
+    return kept.join(frames, reduce(Column.__and__, same), "left").select(*rows.columns, "rows_in_frame", "moving_average")
+
+
+def ranked(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Add ``rank``: 1 plus the rows of the keys with a smaller value, so ties share a rank and leave a gap; nulls come first.
+
+    Equal values are counted before anything is put in order: copies of one value cost one row.
+    """
+    keys = [*by, value]
+    counts = rows.groupBy(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n"))
+    names = [f"__of_{i}" for i in range(len(keys))]
+    placed = running(counts, names[:-1], names[-1:], sums=["__n"])
+    ranks = placed.select(*names, (F.col("sum___n") - F.col("__n") + 1).alias("rank"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(keys, names, strict=True)))
+    return rows.join(ranks, same).drop(*names)

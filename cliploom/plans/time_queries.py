@@ -164,3 +164,55 @@ def overlapping_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = temporal.range_join(lines, others, ("sent", "due"), ("other_sent", "other_due"), ["l_suppkey"])
     pairs = found.where("line < other").groupBy("l_suppkey")
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.sum("line").alias("lines"))
+
+
+# Nine runs in ten are of one framework.
+_SQL_MAIN = "CASE WHEN event_id % 10 = 0 THEN event_type ELSE 'main' END"
+
+
+def _by_framework(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = host.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    framework = F.when(F.col("event_id") % 10 == 0, F.col("event_type")).otherwise("main")
+    return log.select("event_id", framework.alias("framework"), F.unix_micros("ts").alias("at"), F.col("value").alias("total_time"))
+
+
+@query(
+    "A2",
+    f"""WITH r AS (SELECT event_id, {_SQL_MAIN} AS framework, epoch_us(ts) AS us, value FROM events)
+SELECT event_id, framework, row_number() OVER w AS run_no, round(sum(value) OVER w, 4) AS time_so_far,
+       min(value) OVER w AS best_so_far, max(value) OVER w AS worst_so_far
+FROM r WINDOW w AS (PARTITION BY framework ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = temporal.running(
+        _by_framework(spark, sf_dir), ["framework"], ["at", "event_id"], ["total_time"], ["total_time"], ["total_time"]
+    )
+    return found.select(
+        "event_id", "framework", "run_no", F.round("sum_total_time", 4).alias("time_so_far"),
+        F.col("min_total_time").alias("best_so_far"), F.col("max_total_time").alias("worst_so_far"),
+    )
+
+
+@query(
+    "A6",
+    f"""WITH r AS (SELECT event_id, {_SQL_MAIN} AS framework, epoch_us(ts) AS us, value FROM events)
+SELECT event_id, count(*) OVER w AS rows_in_frame, round(sum(value) OVER w, 2) AS time_in_frame
+FROM r WINDOW w AS (PARTITION BY framework ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)""",
+)
+def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the day before each run, and their mean, told as the time that they took: a mean can end in a five, where rounding differs."""
+    found = temporal.moving_average(_by_framework(spark, sf_dir), ["framework"], "at", "total_time", 86_400 * windows.MICROS)
+    return found.select(
+        "event_id", "rows_in_frame", F.round(F.col("moving_average") * F.col("rows_in_frame"), 2).alias("time_in_frame")
+    )
+
+
+@query(
+    "A4",
+    f"""WITH r AS (SELECT event_id, {_SQL_MAIN} AS framework, floor(value) AS seconds FROM events)
+SELECT event_id, framework, rank() OVER (PARTITION BY framework ORDER BY seconds) AS rank FROM r""",
+)
+def ranks_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each run in its framework by whole seconds, which many share."""
+    runs = _by_framework(spark, sf_dir).withColumn("seconds", F.floor("total_time"))
+    return temporal.ranked(runs, ["framework"], "seconds").select("event_id", "framework", "rank")
