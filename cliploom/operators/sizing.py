@@ -15,6 +15,7 @@ _BYTES_PER_COLUMN = 16
 
 _BITS_PER_KEY = 12
 _MOST_BITS = 1 << 24  # 2 MB, whatever the number of keys
+_MOST_EXACT_BITS = 1 << 27  # 16 MB
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -47,9 +48,34 @@ def may_be_in(keys: DataFrame, on: Sequence[str]) -> Column:
     """
     bits = min(_MOST_BITS, 1 << max(10, (keys.count() * _BITS_PER_KEY).bit_length()))
     place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    return _bit_is_set(keys, place, bits)
+
+
+def members(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is in the table of keys: a semi-join that does not shuffle wide rows where it can be helped.
+
+    Few keys are broadcast. Many whole numbers that are dense, such as indices, are a bitmap with a bit each, exactly, up to
+    16 MB on the driver, which is 134 million; rows are tested where they are read. Of other keys a bitmap of hashes is
+    tested first, so only rows that probably stay are shuffled. Null keys match nothing. ``keys`` is checkpointed here.
+    """
+    keys = keys.select(on).where(F.col(on).isNotNull()).distinct().checkpoint()
+    if fits_broadcast(keys):
+        return rows.join(F.broadcast(keys), on, "left_semi").select(*rows.columns)
+    if all(dict(df.dtypes)[on] in ("tinyint", "smallint", "int", "bigint") for df in (rows, keys)):
+        low, high = keys.agg(F.min(on), F.max(on)).first()
+        if low is None:
+            return rows.where(F.lit(False))
+        if low >= 0 and high < _MOST_EXACT_BITS:
+            place = F.col(on).cast("bigint")
+            inside = place.between(0, high)
+            return rows.where(inside & _bit_is_set(keys, place, high + 1))
+    return rows.where(may_be_in(keys, [on])).join(keys, on, "left_semi").select(*rows.columns)
+
+
+def _bit_is_set(keys: DataFrame, place: Column, bits: int) -> Column:
     byte, bit = F.floor(place / 8), F.get(F.lit([1 << k for k in range(8)]), (place % 8).cast("int"))
     set_bits = keys.groupBy(byte.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bitmap = np.zeros(bits // 8, np.uint8)
+    bitmap = np.zeros(-(-bits // 8), np.uint8)
     bitmap[set_bits.column("at").to_numpy()] = set_bits.column("bits").to_numpy()
     own = F.conv(F.hex(F.substring(F.lit(bitmap.tobytes()), (byte + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return own.bitwiseAND(bit) != 0

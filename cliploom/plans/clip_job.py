@@ -18,7 +18,7 @@ from cliploom import schemas
 from cliploom.functions.paths import known_size
 from cliploom.operators import batches, frames
 from cliploom.operators.index import dense_index
-from cliploom.operators.sizing import broadcast_if_small
+from cliploom.operators.sizing import members
 from cliploom.session import shared_dir, ship_package
 from cliploom.sources import dataset, media
 from cliploom.sources.decoders import DEFAULT_DECODERS
@@ -114,10 +114,10 @@ def refresh(listing: DataFrame, path: str, spec: ClipSpec = ClipSpec()) -> DataF
 
 
 def current(stored: DataFrame) -> DataFrame:
-    """Of each path the row with the highest index. Finds it by key; rows with pixels are filtered by it."""
-    latest = stored.groupBy("video_path").agg(F.max("video_idx").alias("video_idx")).select("video_idx")
+    """Of each path the row with the highest index. Finds it by key; rows with pixels are tested by their index where they are read."""
+    latest = stored.groupBy("video_path").agg(F.max("video_idx").alias("video_idx"))
     shared_dir(stored.sparkSession)
-    return stored.join(broadcast_if_small(latest.checkpoint()), "video_idx", "left_semi").select(*stored.columns)
+    return members(stored, latest, "video_idx")
 
 
 def accounted(listing: DataFrame, spec: ClipSpec = ClipSpec()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.operators.index import dense_index
-from cliploom.operators.sizing import broadcast_if_small
+from cliploom.operators.sizing import members
 from cliploom.session import scratch_path, shared_dir
 
 
@@ -44,10 +44,9 @@ def misses(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 
 def hits(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Stored rows whose key is wanted. Few keys are broadcast and filter the stored rows where they are read."""
+    """Stored rows whose key is wanted, filtered where they are read: stored content is not shuffled for indices, and else only where it probably stays."""
     shared_dir(wanted.sparkSession)
-    keys = wanted.select(key).distinct().checkpoint()
-    return stored.join(broadcast_if_small(keys), key, "left_semi")
+    return members(stored, wanted, key)
 
 
 def incremental(

@@ -122,3 +122,27 @@ def test_shuffle_partitions_follow_the_data(spark):
         assert size_shuffles(spark, 100 << 40) == 819_200
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_members_without_shuffling_wide_rows(spark, kind, limit):
+    """Broadcast, exact bitmap or hashed bitmap: the same rows, repeats and all, and nulls match nothing."""
+    from cliploom.operators.sizing import members
+
+    ids = [0, 1, 7, 8, 63, 64, 64, 1000, 99_999, None, *range(200, 300)]
+    rows = spark.createDataFrame([(i,) for i in [*ids, -1, 5, 100_000, 1 << 30]], "id bigint").select(F.col("id").cast(kind).alias("id"), F.lit("wide").alias("data"))
+    keys = spark.createDataFrame([(i, 1) for i in [*ids, 64, 2_000]], "id bigint, data int").withColumn("id", F.col("id").cast(kind))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        found = members(rows, keys, "id")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(str(r.id) for r in found.collect())
+        nothing = members(rows, keys.limit(0), "id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted(str(i) for i in ids if i is not None) and nothing == []
+    assert found.columns == ["id", "data"]
+    if limit == "-1" and kind != "string":
+        assert "Exchange" not in plan and "Join" not in plan
