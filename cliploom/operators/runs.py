@@ -226,3 +226,36 @@ def call_counts(runs: DataFrame, by: str, batch_size: int) -> DataFrame:
 def combine(*logs: DataFrame) -> DataFrame:
     """One log from several, matched by column name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)
+
+
+def cube(
+    runs: DataFrame, dims: Sequence[str], sums: Sequence[str] = (), distinct: Sequence[str] = (), sets: Sequence[Sequence[str]] | None = None
+) -> DataFrame:
+    """Runs, sums and distinct values for all combinations of ``dims``, or for the given grouping sets.
+
+    Columns: the dims (null where rolled up; ``grouping_id`` has that dim's bit set then, the first dim's is the highest), n, ``sum_`` and
+    ``distinct_`` columns. The log is read once for the sums and once per distinct column, and is reduced to one row per finest combination
+    (and value) before anything is multiplied by the number of sets. A null dim is a group of its own; null values count for nothing.
+    """
+    sets = [list(s) for s in sets or ()]
+
+    def grouped(fine: DataFrame):
+        return fine.groupingSets(sets, *dims) if sets else fine.cube(*dims)
+
+    gid = F.grouping_id(*dims).cast("bigint").alias("grouping_id")
+    fine = runs.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    out = grouped(fine).agg(gid, F.sum("n").alias("n"), *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in sums])
+    keys = [*dims, "grouping_id"]
+    for c in distinct:
+        values = runs.where(F.col(c).isNotNull()).select(*dims, F.col(c).alias("__value")).distinct()
+        counts = grouped(values).agg(gid, F.count_distinct("__value").alias(f"distinct_{c}"))
+        counts = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], f"distinct_{c}")
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+        joined = out.join(counts, same, "left").drop(*(f"__{k}" for k in keys))
+        out = joined.withColumn(f"distinct_{c}", F.coalesce(f"distinct_{c}", F.lit(0).cast("bigint")))
+    return out
+
+
+def rollup_sets(dims: Sequence[str]) -> list[list[str]]:
+    """The grouping sets of a roll-up: all dims, then one less from the right each time."""
+    return [list(dims[:k]) for k in range(len(dims), -1, -1)]
