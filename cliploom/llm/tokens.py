@@ -3,7 +3,8 @@
 The pre-tokenizers served here never join across a space that stands between two
 characters that are not white space. So a text may be cut there, pieces be encoded on their
 own, and the ids be joined: they are the same ids as of the whole text. Words repeat, so each Python
-worker remembers up to ``MEMO`` pieces.
+worker remembers pieces, and words without the marks behind them, in two halves: when the newer is full it becomes the older, and what
+is met again moves back.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 300_000  # pieces a worker remembers: about 70 MB, which it keeps while it is idle
+MEMO = 200_000  # pieces in either half of what a worker remembers: about 95 MB in all, which it keeps while it is idle
 _LONG = 200  # longer pieces are not remembered
 _MARKS = string.punctuation.replace("'", "")  # an apostrophe may start a contraction
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -35,25 +36,40 @@ class Encoder:
     """Encodes texts to little-endian 32-bit ids as bytes.
 
     ``spaced``: whether the space before a piece belongs to it (byte-level vocabularies) or is
-    dropped. Strings of special tokens inside a text are ordinary text.
+    dropped. Strings of special tokens inside a text are these tokens, as the library has it, or with
+    ``plain_specials`` ordinary text.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._library.encode_special_tokens = plain_specials
+        specials = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._uncut = [t for t in specials if " " in t and not plain_specials]
         self._normalizer, self._model = self._library.normalizer, self._library.model
         self._before = " " if spaced else ""
         self._alphabet = _byte_alphabet()
         self._line_end = self._whole("\n")
         self._memo: dict[str, bytes] = {}  # of pieces without white space at their ends
+        self._older: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        spelled = "".join(map(self._alphabet.__getitem__, word.encode()))
+        return array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
+
+    def _unknown(self, split: list[list[str]]) -> set[str]:
+        """Pieces that are not remembered; what only the older half has moves to the newer."""
+        missing = set().union(*split).difference(self._memo)
+        again = missing & self._older.keys()
+        self._memo.update((piece, self._older[piece]) for piece in again)
+        return missing - again
+
     def _piece(self, piece: str, before: str) -> bytes:
         """Ids of a piece. Letters only, perhaps with marks after them, are one word for any
         pre-tokenizer and go straight to the library's model; that takes a quarter of the time."""
@@ -63,13 +79,17 @@ class Encoder:
             if self._normalizer:
                 word = letters.lower() if letters.isascii() else self._normalizer.normalize_str(letters)
             if word.isalpha():
-                word = "".join(map(self._alphabet.__getitem__, (before + word).encode()))
                 marks = piece[len(letters) :]
                 if marks not in self._marks:
                     if len(self._marks) > 10_000:
                         self._marks = {"": b""}
                     self._marks[marks] = self._whole(marks)
-                return array("I", [t.id for t in self._model.tokenize(word)]).tobytes() + self._marks[marks]
+                if before != self._before:
+                    return self._word(before + word) + self._marks[marks]
+                known = self._memo.get(word)
+                if known is None:
+                    known = self._memo[word] = self._older.get(word) or self._word(before + word)
+                return known + self._marks[marks]
         head, line_end, tail = piece.partition("\n")
         if line_end and head and tail and not head[-1].isspace() and not tail[0].isspace():
             known = self._memo.get(head) if before == self._before else None
@@ -78,49 +98,50 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; of a null one, none."""
+        if len(self._memo) > MEMO:
+            self._memo, self._older = {}, self._memo
         memo = self._memo
         split = [text.split(" ") if text else [""] for text in texts]
-        missing = set().union(*split).difference(memo)
+        missing = self._unknown(split)
         odd = {piece for piece in missing if piece != piece.strip() or not piece}
         if odd:  # a space beside other white space: not every space is a place to cut
             for i, pieces in enumerate(split):
                 if texts[i] and not odd.isdisjoint(pieces):
                     split[i] = _SAFE_CUT.split(texts[i])
-            missing = set().union(*split).difference(memo)
-        if len(memo) > MEMO and len(missing) * 8 > sum(map(len, split)):
-            memo.clear()  # other texts than those it was made from
-            missing = set().union(*split)
+            missing = self._unknown(split)
         memo.update((piece, self._piece(piece, self._before)) for piece in missing)
         ids = [
             (self._piece(pieces[0], "") if pieces[0] else b"") + b"".join(map(memo.__getitem__, pieces[1:]))
             for pieces in split
         ]
-        full = len(memo) > MEMO
         for piece in missing:
-            if full or len(piece) > _LONG or piece != piece.strip() or not piece:
+            if len(piece) > _LONG or piece != piece.strip() or not piece:
                 del memo[piece]
+        for i, text in enumerate(texts):
+            if text and any(special in text for special in self._uncut):
+                ids[i] = self._whole(text)
         return ids
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, plain_specials: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    key = (path, spaced)
+    key = (path, spaced, plain_specials)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, spaced)
+        _encoders[key] = Encoder(path, spaced, plain_specials)
     return _encoders[key]
 
 
-def word_encoder(path: str) -> Encoder:
+def word_encoder(path: str, plain_specials: bool = False) -> Encoder:
     """For vocabularies that lower-case and drop white space."""
-    return encoder(path, False)
+    return encoder(path, False, plain_specials)
 
 
-def byte_encoder(path: str) -> Encoder:
+def byte_encoder(path: str, plain_specials: bool = False) -> Encoder:
     """For byte-level vocabularies whose pieces carry the space before them."""
-    return encoder(path, True)
+    return encoder(path, True, plain_specials)
 
 
 def encoded(

@@ -10,7 +10,7 @@ import pyarrow.orc as orc
 import pytest
 from tokenizers import Tokenizer
 
-from cliploom.llm import packing, token_files
+from cliploom.llm import packing, token_files, tokens
 from cliploom.llm.common import table
 from cliploom.llm.queries import BYTE_VOCABULARY, QUERIES, WORD_VOCABULARY
 from cliploom.llm.tokens import byte_encoder, word_encoder
@@ -22,19 +22,24 @@ ODD = [
 ]
 
 
-def library(path):
+def library(path, plain_specials=False):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    if plain_specials:
+        tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("plain_specials", [False, True])
+@pytest.mark.parametrize("memo", [200_000, 20])
 @pytest.mark.parametrize("kind, path", [(word_encoder, WORD_VOCABULARY), (byte_encoder, BYTE_VOCABULARY)])
-def test_ids_equal_the_librarys(kind, path):
-    rng, letters = np.random.default_rng(0), list("ab \n\t|'sé.,#1" + "́İß")
+def test_ids_equal_the_librarys(monkeypatch, kind, path, memo, plain_specials):
+    monkeypatch.setattr(tokens, "MEMO", memo)
+    rng, letters = np.random.default_rng(0), [*"ab \n\t|'sé.,#1AB", "́", "İ", "ß", "<|endoftext|>", "<|startoftext|>", " <|endoftext|> "]
     texts = ODD + ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(500)]
-    want = library(path)
-    for _ in range(2):  # from the memo the second time
-        for text, got in zip(texts, kind(path).encode(texts), strict=True):
+    texts += ["Word, word. WORD word <|endoftext|>", "x <|endoftext|>y", "\n<|endoftext|>\n", "a<|endoftext|>"]
+    want = library(path, plain_specials)
+    for some in (texts[:100], texts, texts[::-1]):  # from the memo later
+        for text, got in zip(some, kind(path, plain_specials).encode(some), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == want(text), text
 
 
