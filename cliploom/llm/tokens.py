@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 200_000  # pieces in either half of what a worker remembers: about 95 MB in all, which it keeps while it is idle
+MEMO = 400_000  # pieces in either half of what a worker remembers: about 190 MB in all, which it keeps while it is idle
 _LONG = 200  # longer pieces are not remembered
 _MARKS = string.punctuation.replace("'", "")  # an apostrophe may start a contraction
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
