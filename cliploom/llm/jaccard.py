@@ -9,8 +9,8 @@ The join is a sparse product of the incidence matrix (texts by n-grams) with its
 * n-grams have a global order, frequent ones last. If two texts link, they share an n-gram among the
   first ``n - ceil(t * n) + 1`` of each, so only these prefixes are columns of the product.
 * A column that few rows have gives all its pairs, summed to overlap counts in blocks. A column with many
-  rows is cut into cells by the two sizes of a pair, for which prefixes are shorter still; a cell gives only pairs with
-  pivot rows, until few of its rows are not connected. So no group is squared.
+  rows is cut into cells by the bands that the two sizes of a pair are in, for which prefixes are shorter still; a cell
+  first gives pairs with pivot rows only, and then those pairs that are not connected. So no group of copies is squared.
 * A pair is discarded when its sizes differ too much, or when its overlap so far plus all that
   could still come falls short of the overlap that the sizes ask for.
 * What is left is checked on the whole sets. Only links between rows that are not connected yet can change a
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import kept, kept_narrow
@@ -45,7 +45,10 @@ BLOCK_SETS = 1_024  # sets of a component in a block, on average, and n-grams of
 BLOCK_GRAMS = 1 << 18
 DENSE = 32  # sets of a block pair that share an n-gram, above which it is a column of a dense product
 DENSE_COLUMNS = 4_096  # of which a dense product takes so many at a time
-PIVOTS = 6  # rounds of pivots before the rest of large columns is compared pair by pair
+HOT = 100  # an n-gram that more than one in so many sampled texts has is a large column without being counted in one task
+BAND = 1.05  # ratio of the greatest to the smallest size of a band
+PIVOTS = 6  # rounds of pivots, at most, before the rest of large columns is compared pair by pair,
+APART = 4  # which is earlier if their pairs that are not connected are at most so many a row
 
 _ROWS = "doc_id bigint, n bigint, key1 bigint, key2 bigint, prefix array<bigint>"
 _SET = ["n", "key1", "key2"]
@@ -94,10 +97,10 @@ def _frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times.astype(np.int64))], ["gram", "texts"])
 
     counts = sample.select("text").mapInArrow(count, "gram bigint, texts bigint").groupBy("gram").agg(F.sum("texts").alias("texts"))
-    top = counts.where("texts >= 3").orderBy(F.desc("texts"), "gram").limit(FREQUENT).collect()
-    grams = np.array([r.gram for r in top], np.int64).view(np.uint64)
-    order = np.argsort(grams)
-    return grams[order], np.array([r.texts for r in top], np.uint64)[order]
+    top = counts.where("texts >= 3").orderBy(F.desc("texts"), "gram").limit(FREQUENT).toArrow()
+    grams, times = (top.column(c).to_numpy() for c in ("gram", "texts"))
+    order = np.argsort(grams.view(np.uint64))
+    return grams.view(np.uint64)[order], times.astype(np.uint64)[order]
 
 
 def _set_keys(grams: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
@@ -159,11 +162,13 @@ def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD)
 def _named(docs: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts, the matrix's rows without prefixes, and (n, key1, key2, id, class) of each set."""
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    rows = kept(texts.mapInArrow(_matrix_rows(n, threshold, _frequent(texts, n)), _ROWS), "matrix")
+    frequent = _frequent(texts, n)
+    rows = kept(texts.mapInArrow(_matrix_rows(n, threshold, frequent), _ROWS), "matrix")
     # Of a block's copies one has the prefix, the others an empty one, which is less.
     groups = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*_SET)
     sets = kept(groups.agg(F.min("doc_id").alias("id"), F.max("prefix").alias("prefix")), "sets")
-    found = _linked(texts, sets, n, threshold)
+    hot = frequent[0][frequent[1] > SAMPLE // HOT].view(np.int64)
+    found = _linked(texts, sets, hot, n, threshold)
     named = sets.select(*_SET, "id").join(found, "id", "left").select(*_SET, "id", F.coalesce("component", "id").alias("class"))
     return texts, rows.drop("prefix"), named
 
@@ -299,11 +304,9 @@ def _overlaps(raw: tuple[bytes, ...], x: np.ndarray, y: np.ndarray) -> np.ndarra
     return total
 
 
-def _linked(texts: DataFrame, sets: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+def _linked(texts: DataFrame, sets: DataFrame, hot: np.ndarray, n: int, threshold: tuple[int, int]) -> DataFrame:
     """(id, component) of the sets that link with others."""
-    entries = sets.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    columns = kept(entries.join(shared, "gram"), "columns")
+    columns = kept(_shared_columns(sets.select("id", "n", F.posexplode("prefix").alias("pos", "gram")), hot), "columns")
     is_large = (F.col("rows") > FEW).cast("bigint")
     per_id = columns.groupBy("id").agg(F.sum(1 - is_large).alias("small"), F.sum(is_large).alias("large"))
     per_id = kept(per_id, "counts")
@@ -311,23 +314,20 @@ def _linked(texts: DataFrame, sets: DataFrame, n: int, threshold: tuple[int, int
     blocks_of_pairs = few.select("rows").mapInArrow(_product(threshold), "a bigint, b bigint, na bigint, nb bigint, overlap bigint")
     sums = blocks_of_pairs.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     near = kept(_possible(sums, per_id, threshold), "pairs")
-    cells = kept(_cells(columns.where(F.col("rows") > FEW), per_id, threshold), "cells")
+    cells = _cells(columns.where(F.col("rows") > FEW), per_id, threshold)
 
-    links, tested = [], []
+    links, placed = [], 0
     labels = texts.sparkSession.createDataFrame([], "id bigint, component bigint")
     for turn in range(PIVOTS + 1):
         cells = kept(_still_open(cells, labels), "cells")
-        last = turn == PIVOTS or turn > 0 and _open_pairs(cells) <= 2 * cells.count()
+        placed = placed or cells.count()
+        last = turn == PIVOTS or turn > 0 and _open_pairs(cells) <= APART * placed
         apart = _labelled(_labelled(near, labels, "a", "la"), labels, "b", "lb").where("la != lb").select("a", "b")
         if last:
-            pairs = apart.union(_possible(_all_apart(cells), per_id, threshold))
+            pairs = apart.union(_possible(_all_apart(cells, threshold), per_id, threshold))
         else:
-            pairs = _nearest_ids(apart).union(_possible(_with_pivots(cells, turn), per_id, threshold))
-        pairs = pairs.distinct()
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = kept(pairs, "tested")
-        tested.append(pairs)
+            pairs = _one_each(apart, turn).union(_possible(_with_pivots(cells, turn, threshold), per_id, threshold))
+        pairs = kept(pairs.distinct(), "tested")
         found = kept_narrow(_checked(texts, pairs, n, threshold), "links", pairs.count())
         if not found.isEmpty():
             links.append(found)
@@ -337,6 +337,19 @@ def _linked(texts: DataFrame, sets: DataFrame, n: int, threshold: tuple[int, int
             return labels
 
 
+def _shared_columns(entries: DataFrame, hot: np.ndarray) -> DataFrame:
+    """entries (id, n, pos, gram) of the n-grams of several rows, with ``rows``, the number of these.
+
+    Entries are moved once, and those that no other row shares end there. Hot n-grams are not brought together: their
+    entries are spread by id and count as large columns.
+    """
+    known = entries.sparkSession.createDataFrame(pa.table({"hot": pa.array(hot, pa.int64())}))
+    marked = entries.join(F.broadcast(known), F.col("gram") == F.col("hot"), "left")  # at most HOT times the n-grams of a text
+    spread = Window.partitionBy("gram", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(1 << 16))))
+    rows = F.when(F.col("hot").isNotNull(), FEW + 1).otherwise(F.count(F.lit(1)).over(spread)).cast("bigint")
+    return marked.select("id", "n", "pos", "gram", rows.alias("rows")).where("rows > 1")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     total = parts[0]
     for part in parts[1:]:
@@ -369,20 +382,30 @@ def _labelled(rows: DataFrame, labels: DataFrame, of: str, name: str = "label")
     return rows.join(found, of, "left").withColumn(name, F.coalesce(name, of))
 
 
+def _least(a: Column, b: Column, threshold: tuple[int, int]) -> Column:
+    p, q = threshold
+    return F.ceil((a + b) * p / (p + q))
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(BAND))).cast("bigint")
+
+
 def _cells(large: DataFrame, per_id: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Rows of large columns by the two sizes (lo, hi) that a pair may have: (gram, lo, hi, id, n, central).
+    """Rows of large columns by the two bands (lo, hi) of a pair's sizes: (gram, lo, hi, band, id, n, pos, central).
 
     A pair of sizes n and m that links shares an n-gram within the first n - least_overlap(n, m) + 1 of one and
-    the first m - least_overlap(n, m) + 1 of the other. So a row is in the cells of those sizes only, of the sizes that its
-    column has, for which its n-gram comes early enough. ``central`` is higher for rows whose
+    the first m - least_overlap(n, m) + 1 of the other. So a row is in the cells of those bands only, of the bands that its
+    column has, for whose smallest size that fits its n-gram comes early enough. ``central`` is higher for rows whose
     prefix others share: rows in the middle of a group of near copies.
     """
-    sizes = large.select("gram", F.col("n").alias("m")).distinct()
     p, q = threshold
-    least = F.ceil((F.col("n") + F.col("m")) * p / (p + q))
-    fits = _sizes_fit(F.col("n"), F.col("m"), threshold) & (F.col("pos") <= F.col("n") - least)
-    rows = large.select("gram", "id", "n", "pos").join(sizes, "gram").where(fits)
-    cells = rows.select("gram", F.least("n", "m").alias("lo"), F.greatest("n", "m").alias("hi"), "id", "n")
+    large = large.withColumn("band", _band(F.col("n")))
+    bands = large.groupBy("gram", F.col("band").alias("other")).agg(F.min("n").alias("from"), F.max("n").alias("to"))
+    smallest = F.greatest("from", F.ceil(F.col("n") * p / q))
+    fits = (smallest <= F.col("to")) & _sizes_fit(F.col("n"), smallest, threshold) & (F.col("pos") <= F.col("n") - _least(F.col("n"), smallest, threshold))
+    rows = large.join(bands, "gram").where(fits)
+    cells = rows.select("gram", F.least("band", "other").alias("lo"), F.greatest("band", "other").alias("hi"), "band", "id", "n", "pos")
     shared = per_id.select(F.col("id").alias("of"), F.col("large").alias("central"))
     return cells.join(broadcast_if_small(shared), F.col("id") == F.col("of")).drop("of")
 
@@ -398,37 +421,45 @@ def _still_open(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_pairs(cells: DataFrame) -> int:
-    """Pairs of rows of one cell that are not connected yet."""
-    per_label = cells.groupBy(*_CELL, "label").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    per_cell = per_label.groupBy(*_CELL).agg((F.pow(F.sum("k"), 2) - F.sum(F.col("k") * F.col("k"))).alias("twice"))
-    return int(per_cell.agg(F.coalesce(F.sum("twice"), F.lit(0.0))).first()[0] / 2)
+    """Pairs of rows of one cell, one of each band, that are not connected yet."""
+    of = [F.sum((F.col("band") == F.col(c)).cast("double")).alias("k" + c) for c in ("lo", "hi")]
+    per_label = cells.groupBy(*_CELL, "label").agg(*of)
+    apart = F.sum("klo") * F.sum("khi") - F.sum(F.col("klo") * F.col("khi"))
+    per_cell = per_label.groupBy(*_CELL).agg((apart / F.when(F.col("lo") == F.col("hi"), 2).otherwise(1)).alias("pairs"))
+    return int(per_cell.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0])
 
 
-def _nearest_ids(pairs: DataFrame) -> DataFrame:
-    """Of each id's pairs the one with the smallest partner: enough to connect most groups."""
+def _one_each(pairs: DataFrame, turn: int) -> DataFrame:
+    """Of each id's pairs one, at first that with the smallest partner: enough to connect most groups."""
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    first = both.groupBy("id").agg(F.min("other").alias("other"))
+    first = both.groupBy("id").agg(F.min_by("other", F.xxhash64("other", F.lit(turn)) if turn else F.col("other")).alias("other"))
     return first.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
-def _with_pivots(cells: DataFrame, turn: int) -> DataFrame:
+def _early(threshold: tuple[int, int]) -> Column:
+    """Sizes of the pair fit, and both have the n-gram early enough for them."""
+    least = _least(F.col("n"), F.col("pn"), threshold)
+    return _sizes_fit(F.col("n"), F.col("pn"), threshold) & (F.col("pos") <= F.col("n") - least) & (F.col("ppos") <= F.col("pn") - least)
+
+
+def _with_pivots(cells: DataFrame, turn: int, threshold: tuple[int, int]) -> DataFrame:
     """Pairs of each row of a cell with a pivot of its cell that it is not connected with.
 
-    There is a pivot for each of the two sizes: at first the most central row, in later turns any one, by hash.
+    There is a pivot for each of the two bands: at first the most central row, in later turns any one, by hash.
     """
     luck = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 20))
     rank = luck if turn else F.least("central", F.lit(1 << 30)) * (1 << 20) + luck
-    pivots = cells.groupBy(*_CELL, "n").agg(*(F.max_by(c, rank).alias("p" + c) for c in ("id", "label")))
-    pivots = pivots.withColumnRenamed("n", "pn")
-    stars = cells.join(pivots, _CELL).where("label != plabel AND (n != pn OR lo = hi)")
-    return _as_pairs(stars)
+    pivots = cells.groupBy(*_CELL, "band").agg(*(F.max_by(c, rank).alias("p" + c) for c in ("id", "n", "pos", "label")))
+    pivots = pivots.withColumnRenamed("band", "pband")
+    stars = cells.join(pivots, _CELL).where("label != plabel AND (band != pband OR lo = hi)")
+    return _as_pairs(stars.where(_early(threshold)))
 
 
-def _all_apart(cells: DataFrame) -> DataFrame:
-    """All pairs of rows of a cell, one of each size, that are not connected."""
-    other = cells.select(*_CELL, *(F.col(c).alias("p" + c) for c in ("id", "n", "label"))).where("pn = hi")
-    pairs = cells.where("n = lo").join(other, _CELL)
-    return _as_pairs(pairs.where("label != plabel AND (lo != hi OR id < pid)"))
+def _all_apart(cells: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """All pairs of rows of a cell, one of each band, that are not connected."""
+    other = cells.select(*_CELL, *(F.col(c).alias("p" + c) for c in ("id", "n", "pos", "band", "label"))).where("pband = hi")
+    pairs = cells.where("band = lo").join(other, _CELL)
+    return _as_pairs(pairs.where("label != plabel AND (lo != hi OR id < pid)").where(_early(threshold)))
 
 
 def _as_pairs(found: DataFrame) -> DataFrame:
@@ -502,9 +533,11 @@ def _checked(texts: DataFrame, pairs: DataFrame, n: int, threshold: tuple[int, i
                 keep.append(q * common >= p * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    found = only(texts, "doc_id", kept(ids, "ids")).mapInArrow(whole, "id bigint, grams binary")
-    found = kept(found, "grams").distinct()
+    ids = kept(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    found = only(texts, "doc_id", ids).mapInArrow(whole, "id bigint, grams binary")
+    found = kept(found, "grams")
+    if found.count() > ids.count():  # rows that share a doc_id
+        found = found.distinct()
     both = pairs.join(found.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = both.join(found.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
