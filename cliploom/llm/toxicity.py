@@ -4,7 +4,7 @@ A clause is what stands between sentence marks and line ends. Its words become s
 threat words, targets, negations, reporting words, others. Three transducers read them, each changing
 the symbols or adding weight, and are composed into one:
 
-* reported speech: what follows a reporting word, or stands in quotes, counts less;
+* reported speech: what follows a reporting word, or stands in quotes, counts less; quotes may span clauses of a text;
 * negation: an insult or threat up to three words after a negation counts for little;
 * address: an insult or threat with a target beside it in the clause counts more.
 
@@ -105,6 +105,14 @@ def clause_weight(symbols: list[int], weights: list[float], grammar: Transducer
     return total
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the capitals of Latin-1 (À to Þ) in lower case."""
+    data = LOWER_ASCII[data]
+    second = data[1:]
+    second[(data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+    return data
+
+
 def _hash_words(names: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join(names).encode(), np.uint8)
     ends = np.cumsum([len(n.encode()) + 1 for n in names]) - 1
@@ -151,7 +159,7 @@ class Lexicon:
     def features(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Rows of (sum of clause weights, greatest, hostile clauses, share of insult words) for each block."""
         for _, _, data, at in blocks(texts):
-            data = LOWER_ASCII[data]
+            data = _folded(data)
             starts, ends, owner = words(data, at, ALPHANUMERIC)
             text = Substrings(data)
             weights = self.insults(text, starts, ends)
@@ -163,13 +171,18 @@ class Lexicon:
             hostile = np.unique(clause[(symbols == INSULT) | (symbols == THREAT)])
             first, last = np.searchsorted(clause, hostile), np.searchsorted(clause, hostile, "right")
             quotes = np.flatnonzero(_QUOTES[data])
-            marked = np.searchsorted(starts, quotes)  # a quote is a symbol before the word that follows it
+            marked = np.searchsorted(starts, quotes)  # a quote is a symbol before the word that follows it in its text
+            marked = marked[np.append(owner, -1)[marked] == np.searchsorted(at, quotes, "right") - 1]
+            begins = np.searchsorted(owner, np.arange(len(at) - 1))  # first word of each text
             for a, b in zip(first.tolist(), last.tolist(), strict=True):
                 own, own_weights = symbols[a:b].tolist(), weights[a:b].tolist()
                 inside = marked[np.searchsorted(marked, a) : np.searchsorted(marked, b)]
                 for place in inside[::-1].tolist():
                     own.insert(place - a, QUOTE)
                     own_weights.insert(place - a, 0.0)
+                before = np.searchsorted(marked, a) - np.searchsorted(marked, begins[owner[a]])
+                if before % 2:  # the clause begins inside quotes
+                    own, own_weights = [QUOTE, *own], [0.0, *own_weights]
                 weight = clause_weight(own, own_weights)
                 if weight > 0:
                     row = out[owner[a]]
@@ -221,7 +234,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
         for first, _, data, at in blocks(batch.column("text")):
-            data = LOWER_ASCII[data]
+            data = _folded(data)
             starts, ends, owner = words(data, at, ALPHANUMERIC)
             for own, hashes in _term_hashes(Substrings(data), starts, ends):
                 order = np.lexsort((owner[own], hashes))

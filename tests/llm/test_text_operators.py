@@ -304,6 +304,28 @@ def test_grammar():
     assert weigh(said, you, never, insult) < weigh(never, insult) + 0.5
 
 
+def hostile(*texts):
+    """(sum of clause weights, greatest, hostile clauses) of each text; one insult is known, which weighs 2."""
+    lexicon = toxicity.Lexicon(toxicity._hash_words(["moron"]), np.array([2.0]))
+    return [tuple(row[:3]) for rows in lexicon.features(pa.array(texts)) for row in rows]
+
+
+def test_quotes_span_clauses_and_end_with_their_text():
+    plain, quoted = 2.5, 1.5  # with a target beside it
+    assert hostile("You are a moron.", 'She: "You are a moron."') == [(plain, plain, 1), (quoted, quoted, 1)]
+    assert hostile('He said "Go. You moron." You are a moron.') == [(plain + quoted, plain, 2)]
+    assert hostile('A "b. c" you are a moron.') == [(plain, plain, 1)]
+    assert hostile('"You moron', "You moron", 'You moron"', "You moron") == [(quoted, quoted, 1), *[(plain, plain, 1)] * 3]
+    assert hostile("", None, '"', "you. moron") == [(0, 0, 0)] * 3 + [(2, 2, 1)]
+
+
+def test_capitals_beyond_ascii():
+    assert hostile("ich werde dich töten") == hostile("ICH WERDE DICH TÖTEN") != [(0, 0, 0)]
+    data = np.frombuffer("ÀÞß×÷Ωé Ä".encode(), np.uint8)
+    assert toxicity._folded(data).tobytes().decode() == "àþß×÷Ωé ä"
+    assert toxicity._folded(data[:0]).tobytes() == b""
+
+
 def test_toxicity_learns_from_labels_only_where_allowed(spark):
     rng = np.random.default_rng(0)
     words = vocabulary(rng, 200)
