@@ -94,10 +94,11 @@ def near_copies(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("seed, few", [(0, 12), (1, 3), (2, 2)])
-def test_jaccard_equals_all_pairs(spark, monkeypatch, seed, few):
-    """Large columns, pivots, and documents at the threshold; ``few`` makes most columns large."""
+@pytest.mark.parametrize("seed, few, hot", [(0, 12, 100), (1, 3, 100), (2, 2, 100), (3, 12, 4_000)])
+def test_jaccard_equals_all_pairs(spark, monkeypatch, seed, few, hot):
+    """Large columns, pivots, and documents at the threshold; ``few`` makes most columns large, ``hot`` all frequent ones."""
     monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rng = np.random.default_rng(seed)
     words = vocabulary(rng, 300)
     texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(60)]
