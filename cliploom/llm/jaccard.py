@@ -13,6 +13,8 @@ The join is a sparse product of the incidence matrix (texts by n-grams) with its
   first gives pairs with pivot rows only, and then those pairs that are not connected. So no group of copies is squared.
 * A pair is discarded when its sizes differ too much, or when its overlap so far plus all that
   could still come falls short of the overlap that the sizes ask for.
+* A set has a sketch: the parity of its n-grams at each of ``SKETCH_BITS`` places. Two sets differ in at least as many
+  n-grams as their sketches do in bits, so a pair whose sketches differ too much is discarded without moving its sets.
 * What is left is checked on the whole sets. Only links between rows that are not connected yet can change a
   component, so pairs within one are not checked again.
 
@@ -37,7 +39,9 @@ from cliploom.operators.sizing import broadcast_if_small
 
 N = 5
 THRESHOLD = (4, 5)  # a ratio of integers, to compare exactly
-FEW = 12  # rows of a column whose pairs are all made
+FEW = 48  # rows of a column whose pairs are all made,
+PAIRS = 1 << 18  # about so many at a time
+SKETCH_BITS = 1_024
 SAMPLE = 8_000  # texts whose n-grams tell the frequent ones; the order changes speed only, not results
 FREQUENT = 300_000  # n-grams at most that are ordered last: 5 MB
 BROADCAST_ROWS = 1_000_000  # ids (8 bytes each) that may be broadcast
@@ -50,7 +54,7 @@ BAND = 1.05  # ratio of the greatest to the smallest size of a band
 PIVOTS = 6  # rounds of pivots, at most, before the rest of large columns is compared pair by pair,
 APART = 4  # which is earlier if their pairs that are not connected are at most so many a row
 
-_ROWS = "doc_id bigint, n bigint, key1 bigint, key2 bigint, prefix array<bigint>"
+_ROWS = "doc_id bigint, n bigint, key1 bigint, key2 bigint, prefix array<bigint>, sketch binary"
 _SET = ["n", "key1", "key2"]
 
 
@@ -112,8 +116,17 @@ def _set_keys(grams: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
+def _sketches(grams: np.ndarray, owner: np.ndarray, texts: int) -> pa.Array:
+    """Per text, at each place the parity of the number of its n-grams there."""
+    size = SKETCH_BITS // 8
+    place = grams & np.uint64(SKETCH_BITS - 1)
+    parity = np.zeros(texts * size, np.uint8)
+    np.bitwise_xor.at(parity, owner * size + (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), texts, [None, pa.py_buffer(parity)]).cast(pa.binary())
+
+
 def _matrix_rows(n: int, threshold: tuple[int, int], frequent: tuple[np.ndarray, np.ndarray]) -> Callable:
-    """Per text: set size, two hashes of the set, and the prefix. Within a block, later copies of a set have no prefix."""
+    """Per text: set size, two hashes of the set, the prefix and the sketch. Within a block, later copies of a set have no prefix."""
     grams_last, times = frequent
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +154,7 @@ def _matrix_rows(n: int, threshold: tuple[int, int], frequent: tuple[np.ndarray,
                     pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(grams[order][want].view(np.int64))
                 )
                 columns = [batch.column("doc_id").slice(first, end - first), pa.array(sizes.astype(np.int64)), *map(pa.array, keys), prefix]
+                columns.append(_sketches(grams, owner, end - first))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ROWS.split(", ")])
 
     return make
@@ -160,17 +174,17 @@ def classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD)
 
 
 def _named(docs: DataFrame, n: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The texts, the matrix's rows without prefixes, and (n, key1, key2, id, class) of each set."""
+    """The texts, the matrix's rows without prefixes and sketches, and (n, key1, key2, id, class) of each set."""
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     frequent = _frequent(texts, n)
     rows = kept(texts.mapInArrow(_matrix_rows(n, threshold, frequent), _ROWS), "matrix")
     # Of a block's copies one has the prefix, the others an empty one, which is less.
     groups = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*_SET)
-    sets = kept(groups.agg(F.min("doc_id").alias("id"), F.max("prefix").alias("prefix")), "sets")
+    sets = kept(groups.agg(F.min("doc_id").alias("id"), F.max("prefix").alias("prefix"), F.max("sketch").alias("sketch")), "sets")
     hot = frequent[0][frequent[1] > SAMPLE // HOT].view(np.int64)
     found = _linked(texts, sets, hot, n, threshold)
     named = sets.select(*_SET, "id").join(found, "id", "left").select(*_SET, "id", F.coalesce("component", "id").alias("class"))
-    return texts, rows.drop("prefix"), named
+    return texts, rows.drop("prefix", "sketch"), named
 
 
 def link_counts(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -313,20 +327,21 @@ def _linked(texts: DataFrame, sets: DataFrame, hot: np.ndarray, n: int, threshol
     few = columns.where(F.col("rows") <= FEW).groupBy("gram").agg(F.collect_list(F.struct("id", "n")).alias("rows"))
     blocks_of_pairs = few.select("rows").mapInArrow(_product(threshold), "a bigint, b bigint, na bigint, nb bigint, overlap bigint")
     sums = blocks_of_pairs.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    near = kept(_possible(sums, per_id, threshold), "pairs")
+    sketches = sets.select("id", "n", "sketch")
+    near = kept(_alike(_possible(sums, per_id, threshold), sketches, threshold), "pairs")
     cells = _cells(columns.where(F.col("rows") > FEW), per_id, threshold)
 
-    links, placed = [], 0
-    labels = texts.sparkSession.createDataFrame([], "id bigint, component bigint")
+    links, placed, labels = [], 0, None
     for turn in range(PIVOTS + 1):
         cells = kept(_still_open(cells, labels), "cells")
         placed = placed or cells.count()
         last = turn == PIVOTS or turn > 0 and _open_pairs(cells) <= APART * placed
         apart = _labelled(_labelled(near, labels, "a", "la"), labels, "b", "lb").where("la != lb").select("a", "b")
         if last:
-            pairs = apart.union(_possible(_all_apart(cells, threshold), per_id, threshold))
+            pairs = apart.union(_alike(_possible(_all_apart(cells, threshold), per_id, threshold), sketches, threshold))
         else:
-            pairs = _one_each(apart, turn).union(_possible(_with_pivots(cells, turn, threshold), per_id, threshold))
+            with_pivots = _possible(_with_pivots(cells, turn, threshold), per_id, threshold)
+            pairs = _one_each(apart, turn).union(_alike(with_pivots, sketches, threshold))
         pairs = kept(pairs.distinct(), "tested")
         found = kept_narrow(_checked(texts, pairs, n, threshold), "links", pairs.count())
         if not found.isEmpty():
@@ -334,7 +349,7 @@ def _linked(texts: DataFrame, sets: DataFrame, hot: np.ndarray, n: int, threshol
             labels = components(_union(links))
             labels = kept_narrow(labels, "labels", labels.count())
         if last:
-            return labels
+            return texts.sparkSession.createDataFrame([], "id bigint, component bigint") if labels is None else labels
 
 
 def _shared_columns(entries: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -376,8 +391,27 @@ def _possible(pairs: DataFrame, per_id: DataFrame, threshold: tuple[int, int]) -
     return pairs.where(most >= least).select("a", "b")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, of: str, name: str = "label") -> DataFrame:
+def _alike(pairs: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) whose sketches differ in no more bits than linked sets of their sizes may differ in n-grams."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(na), -1) for c in ("x", "y"))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(differ <= na + nb - 2 * least_overlap(na, nb, threshold)))
+
+    pairs = kept(pairs, "possible")
+    ids = kept(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    wanted = only(sketches, "id", ids).select("id", "n", "sketch")
+    both = pairs.join(wanted.toDF("b", "nb", "y"), "b").join(wanted.toDF("a", "na", "x"), "a")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None, of: str, name: str = "label") -> DataFrame:
     """rows with the component of the id in column ``of``; an id without links is its own."""
+    if labels is None:
+        return rows.withColumn(name, F.col(of))
     found = labels.select(F.col("id").alias(of), F.col("component").alias(name))
     return rows.join(found, of, "left").withColumn(name, F.coalesce(name, of))
 
@@ -414,9 +448,10 @@ _CELL = ["gram", "lo", "hi"]
 
 
 def _still_open(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cells with rows that are not connected, with the rows' components."""
+    """Cells with rows of both bands that are not connected, with the rows' components."""
     rows = _labelled(cells.drop("label"), labels, "id")
-    mixed = rows.groupBy(*_CELL).agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("label", "band") for f in (F.min, F.max)]
+    mixed = rows.groupBy(*_CELL).agg(*ends).where("min_label != max_label AND (lo = hi OR min_band != max_band)")
     return rows.join(mixed.select(*_CELL), _CELL)
 
 
@@ -483,23 +518,24 @@ def _product(threshold: tuple[int, int]) -> Callable:
             rows = batch.column(0)
             at = rows.offsets.to_numpy().astype(np.int64)
             ids, sizes = (x.to_numpy(zero_copy_only=False) for x in rows.values.flatten())
-            widths, made = np.diff(at), []
-            for width in np.unique(widths):
-                first = at[:-1][widths == width]
-                for i in range(width):
-                    for j in range(i + 1, width):
-                        a, b = first + i, first + j
-                        fit = (np.minimum(sizes[a], sizes[b]) * q >= np.maximum(sizes[a], sizes[b]) * p) & (ids[a] != ids[b])
-                        a, b = a[fit], b[fit]
-                        swap = ids[a] > ids[b]
-                        a, b = np.where(swap, b, a), np.where(swap, a, b)
-                        made.append(np.stack([ids[a], ids[b], sizes[a], sizes[b]]))
-            pairs = np.concatenate(made, 1) if made else np.zeros((4, 0), np.int64)
-            pairs = pairs[:, np.lexsort(pairs[::-1])]
-            new = np.flatnonzero(np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(0)][: pairs.shape[1]])
-            counts = np.diff(np.r_[new, pairs.shape[1]])
-            columns = [pa.array(c, pa.int64()) for c in (*pairs[:, new], counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb", "overlap"])
+            widths = np.diff(at)
+            before = np.cumsum(widths * (widths - 1) // 2)
+            for part in np.split(np.arange(len(widths)), np.flatnonzero(np.diff(before // PAIRS)) + 1):
+                made = []
+                for width in np.unique(widths[part]):
+                    first = at[part][widths[part] == width][:, None]
+                    a, b = ((first + i).ravel() for i in np.triu_indices(width, 1))
+                    fit = (np.minimum(sizes[a], sizes[b]) * q >= np.maximum(sizes[a], sizes[b]) * p) & (ids[a] != ids[b])
+                    a, b = a[fit], b[fit]
+                    swap = ids[a] > ids[b]
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                    made.append(np.stack([ids[a], ids[b], sizes[a], sizes[b]]))
+                pairs = np.concatenate(made, 1) if made else np.zeros((4, 0), np.int64)
+                pairs = pairs[:, np.lexsort(pairs[::-1])]
+                new = np.flatnonzero(np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(0)][: pairs.shape[1]])
+                counts = np.diff(np.r_[new, pairs.shape[1]])
+                columns = [pa.array(c, pa.int64()) for c in (*pairs[:, new], counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb", "overlap"])
 
     return multiply
 

@@ -113,6 +113,43 @@ def test_jaccard_equals_all_pairs(spark, monkeypatch, seed, few, hot):
     assert Counter(tuple(r) for r in got.collect()) == plain_classes(rows)
 
 
+def test_pairs_that_only_share_a_passage_are_discarded_by_their_sketches(spark, monkeypatch):
+    tested = []
+    checked = jaccard._checked
+    monkeypatch.setattr(jaccard, "_checked", lambda texts, pairs, *more: tested.append(pairs.count()) or checked(texts, pairs, *more))
+    rows = []
+    for i in range(20):
+        shared = " ".join(f"s{i}x{k}" for k in range(80))
+        rows += [(2 * i + j, shared + "".join(f" o{i}y{j}x{k}" for k in range(120))) for j in range(2)]
+    rows += [(100, rows[0][1] + " end"), (101, rows[1][1])]
+    got = jaccard.classes(documents(spark, rows))
+    assert Counter(tuple(r) for r in got.collect()) == plain_classes(rows)
+    assert max(tested) == 1
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_ngrams():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 500, rng.integers(0, 400))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(30)]
+    made = jaccard._sketches(np.concatenate(sets), np.repeat(np.arange(30), [len(s) for s in sets]), 30).to_pylist()
+    for s, x in zip(sets, made, strict=True):
+        for t, y in zip(sets, made, strict=True):
+            assert (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= len(np.setxor1d(s, t))
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 18])
+def test_products_of_wide_columns_count_all_pairs(monkeypatch, at_once):
+    monkeypatch.setattr(jaccard, "PAIRS", at_once)
+    rng = np.random.default_rng(5)
+    columns = [[{"id": int(i), "n": 10} for i in rng.permutation(60)[: rng.integers(2, 49)]] for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(columns, pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))], ["rows"])
+    got = Counter()
+    for made in jaccard._product((4, 5))(iter([batch])):
+        for r in made.to_pylist():
+            got[r["a"], r["b"]] += r["overlap"]
+    ids = [sorted(r["id"] for r in c) for c in columns]
+    assert got == Counter((a, b) for c in ids for k, a in enumerate(c) for b in c[k + 1 :])
+
+
 def test_jaccard_of_no_rows_and_kept_columns(spark):
     assert jaccard.classes(documents(spark, [])).collect() == []
     text = " ".join(f"w{i}" for i in range(50))
