@@ -35,8 +35,12 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 def broadcast_limit(spark: SparkSession) -> int:
     """``spark.sql.autoBroadcastJoinThreshold`` in bytes; it may be set as 64MB, 10m or -1."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)(?:i?b)?", text).groups()
+    return in_bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+
+
+def in_bytes(text: str) -> int:
+    """A size as Spark's settings have it."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)(?:i?b)?", text.strip().lower()).groups()
     return int(number) << (10 * " kmgtp".index(unit or " "))
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliploom.llm import decontamination, jaccard, language_model, pii, toxicity
-from cliploom.llm.common import table
+from cliploom.llm.common import BYTES_PER_BATCH, prepared, table
 from cliploom.llm.graph import components
 from cliploom.llm.queries import ORACLE, QUERIES
 from oracle import connect, differences
@@ -31,6 +31,16 @@ def vocabulary(rng, n):
     return ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(n)]
 
 
+def test_batches_of_prepared_sessions_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = prepared(spark).range(0, 40, 1, 1).select(F.expr("repeat('x', 1 << 20)").alias("text"))
+    got = [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) >= 40 << 20 and max(got) < BYTES_PER_BATCH + (2 << 20)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, sf_dir, name):
     assert differences(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLE[name]) == []
