@@ -55,7 +55,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -
     place = F.monotonically_increasing_id().alias("place")
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), place)
     ordered = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
-    writer = ordered.select("doc_id", "text").mapInArrow(encode, FILES).write.option("compression", "zstd")
+    writer = ordered.select("doc_id", "text").mapInArrow(encode, FILES).write.option("compression", "lz4")
     writer = writer.option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", INDEX_ROWS)
     writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).orc(folder)
 
