@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import fresh, kept
+from cliploom.llm.common import fresh, kept, kept_narrow
 from cliploom.operators.sizing import broadcast_if_small
 
 DRAWS = 30  # draws of a surrogate before it becomes a hash in brackets, which is longer than its format allows
@@ -247,10 +247,12 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, draw) of the entities whose first surrogate is another entity, or another one's surrogate.
 
     Of entities that meet in a surrogate the smallest keeps it. Each round compares all surrogates anew,
-    so later draws cannot meet settled ones either. ``entities``: distinct (kind, canon).
+    so later draws cannot meet settled ones either. ``entities``: distinct (kind, canon), written already.
+    Tables are no more files than their rows need, whatever the number of shuffle partitions.
     """
+    rows = entities.count()
     drawn = entities.withColumn("draw", F.lit(0)).withColumn("new", surrogate(key, F.col("kind"), F.col("canon"), F.lit(0)))
-    drawn = kept(drawn, "surrogates")
+    drawn = kept_narrow(drawn, "surrogates", rows)
     taken = entities.select(F.col("kind").alias("k"), F.col("canon").alias("new"))
     for turn in range(DRAWS + 1):
         by_surrogate = drawn.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("draw", "canon")).alias("first"))
@@ -258,11 +260,12 @@ def redrawn(entities: DataFrame, key: str) -> DataFrame:
         real = by_surrogate.select(F.col("kind").alias("k"), "new").join(taken, ["k", "new"], "left_semi").withColumn("keeper", F.lit(None).cast("string"))
         clash = meets.join(real.select("k", "new"), ["k", "new"], "left_anti").unionByName(real)
         losers = drawn.join(clash, (F.col("kind") == F.col("k")) & (drawn["new"] == clash["new"])).where("keeper IS NULL OR canon != keeper")
-        losers = kept(losers.select("kind", "canon", (F.col("draw") + 1).alias("draw")), "losers")
+        losers = kept_narrow(losers.select("kind", "canon", (F.col("draw") + 1).alias("draw")), "losers", rows)
         if losers.isEmpty():
             break
         again = losers.withColumn("new", surrogate(key, F.col("kind"), F.col("canon"), F.col("draw")))
-        drawn = kept(drawn.join(losers.select("kind", "canon"), ["kind", "canon"], "left_anti").unionByName(again), "surrogates")
+        settled = drawn.join(losers.select("kind", "canon"), ["kind", "canon"], "left_anti")
+        drawn = kept_narrow(settled.unionByName(again), "surrogates", rows)
     return drawn.where("draw > 0").select("kind", "canon", "draw")
 
 

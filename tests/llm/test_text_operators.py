@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cliploom.llm import decontamination, jaccard, language_model, pii, toxicity
+from cliploom.llm import common, decontamination, jaccard, language_model, pii, toxicity
 from cliploom.llm.common import BYTES_PER_BATCH, prepared, table
 from cliploom.llm.graph import components
 from cliploom.llm.queries import ORACLE, QUERIES
@@ -477,3 +477,24 @@ def test_hashes_do_not_depend_on_blocks(spark, sf_dir):
     one = jaccard.classes(spark.createDataFrame(rows)).collect()
     many = jaccard.classes(spark.createDataFrame(rows).repartition(50)).collect()
     assert digest(one) == digest(many)
+
+
+def test_tables_of_few_entities_are_few_files(spark, monkeypatch):
+    files, write = [], common.kept
+
+    def counted(df, tag):
+        found = write(df, tag)
+        files.append((tag, len(found.inputFiles())))
+        return found
+
+    monkeypatch.setattr(common, "kept", counted)
+    monkeypatch.setattr(pii, "kept", counted)
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, canon, draw: F.concat(F.substring(canon, 1, 1), draw.cast("string")))
+    known = spark.createDataFrame([("email", f"{c}{i}@x.de") for c in "abcdefgh" for i in range(5)], "kind string, canon string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        drawn = pii.redrawn(known.repartition(8), "k")
+        assert drawn.count() == 8 * 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(files) > 4 and max(n for _, n in files) == 1
