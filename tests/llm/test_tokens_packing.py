@@ -148,3 +148,10 @@ def test_registered_queries_cover_the_table(spark, sf_dir):
         ids = [*want(text), 2]
         assert (rows[doc_id].start, rows[doc_id].n_tokens, rows[doc_id].ids_crc32) == (start, len(ids), crc(ids))
         start += len(ids)
+
+
+def test_token_files_are_compressed_with_lz4(spark):
+    folder = scratch_path(spark, "tokens")
+    token_files.write(documents(spark, [(1, "some words", "x", 0, 0), (2, None, "x", 0, 0)]), folder, WORD_VOCABULARY)
+    paths = [f.removeprefix("file:") for f in spark.read.orc(folder).inputFiles()]
+    assert {orc.ORCFile("/" + p.lstrip("/")).compression for p in paths} == {"LZ4"}
