@@ -4,22 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.operators.sizing import in_bytes
-from cliploom.session import scratch_path, ship_package
-
-
-ROWS_PER_BATCH = 1_000  # rows that Spark hands to Python at once, at most; they may be long texts or packed blocks,
-BYTES_PER_BATCH = 8 << 20  # so it stops at about as many bytes, outside the heap and once more in Python
+from cliploom.session import BYTES_PER_BATCH, ROWS_PER_BATCH, scratch_path, ship_package  # noqa: F401
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with this package on its executors and Arrow batches of bounded size, in rows and in bytes."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= ROWS_PER_BATCH:
-        spark.conf.set(setting, ROWS_PER_BATCH)
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if in_bytes(spark.conf.get(setting)) > BYTES_PER_BATCH:
-        spark.conf.set(setting, BYTES_PER_BATCH)
     return ship_package(spark)
 
 

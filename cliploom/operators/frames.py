@@ -7,13 +7,16 @@ bytes until the last step.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from contextlib import suppress
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import batched, groupby
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -397,14 +400,59 @@ def _as_binary(values: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(fixed, len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
 
 
-def _apply(frames: DataFrame, kernel: Callable[..., np.ndarray], *more: Column, **changed: Column) -> DataFrame:
-    """Replace ``data`` by the kernel's result, and other columns as given."""
+@dataclass(frozen=True)
+class _Steps:
+    """Kernels that follow one another, before they run: ``source`` has the pixels and the kernels' arguments under hidden names."""
 
-    @F.arrow_udf("binary")
-    def apply(data: pa.Array, *sizes: pa.Array) -> pa.Array:
-        return _map_rows(data, sizes, kernel)
+    source: DataFrame
+    hidden: str
+    kernels: tuple[Callable[..., np.ndarray], ...] = ()
+    arguments: tuple[tuple[str, ...], ...] = ()
+
+    def then(self, kernel: Callable[..., np.ndarray], more: Sequence[Column], changed: dict[str, Column]) -> _Steps:
+        values = [F.col("height"), F.col("width"), F.col("channels"), *more]
+        names = tuple(f"{self.hidden}{len(self.kernels)}_{i}" for i in range(len(values)))
+        source = self.source.withColumns({**dict(zip(names, values, strict=True)), **changed})
+        return _Steps(source, self.hidden, (*self.kernels, kernel), (*self.arguments, names))
+
+    def run(self) -> DataFrame:
+        kernels, counts = self.kernels, [len(names) for names in self.arguments]
+
+        @F.arrow_udf("binary")
+        def apply(data: pa.Array, *arguments: pa.Array) -> pa.Array:
+            at = 0
+            for kernel, count in zip(kernels, counts, strict=True):
+                data = _map_rows(data, arguments[at : at + count], kernel)
+                at += count
+            return data
+
+        names = [name for own in self.arguments for name in own]
+        done = self.source.withColumn(self.hidden, apply(self.hidden, *names))
+        return done.drop(*names).withColumnRenamed(self.hidden, "data")
 
-    return frames.withColumns({"data": apply("data", "height", "width", "channels", *more), **changed})
+
+_steps: WeakKeyDictionary[DataFrame, _Steps] = WeakKeyDictionary()
+
+
+def _apply(frames: DataFrame, kernel: Callable[..., np.ndarray], *more: Column, **changed: Column) -> DataFrame:
+    """Replace ``data`` by the kernel's result, and other columns as given.
+
+    A kernel that follows another one directly runs in the same Python worker. A step that is kept or whose arguments
+    depend on the pixels themselves starts anew.
+    """
+    steps = None
+    if frames in _steps and not frames.is_cached:
+        with suppress(AnalysisException):  # the pixels are hidden
+            steps = _steps[frames].then(kernel, more, changed)
+    if steps is None:
+        hidden = "_pixels"
+        while any(c.lower().startswith(hidden) for c in frames.columns):
+            hidden = "_" + hidden
+        steps = _Steps(frames, hidden).then(kernel, more, changed)
+        steps = replace(steps, source=steps.source.withColumnRenamed("data", hidden))
+    done = steps.run()
+    _steps[done] = steps
+    return done
 
 
 def resize(frames: DataFrame, height: int, width: int, method: str = "bilinear") -> DataFrame:

@@ -277,6 +277,12 @@ def _grey_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.from_arrays(host.grey_pixels(spark, sf_dir), F.col("px"), *host.GREY, 1)
 
 
+def _doubles(done: DataFrame) -> DataFrame:
+    """Values of binary doubles. Selected right after the kernels, so that Spark unpacks them in the kernels' worker."""
+    arrays = done.select("vec_id", frames.to_array(F.col("data"), "float64").alias("value"))
+    return _values(arrays, "vec_id", F.col("value"), 6)
+
+
 @query("P10", f"WITH {host.SQL_FRAMES} " + _unnest("vec_id", "frames", _sql_bilinear(), "floor(round(value, 9) + 0.5)"))
 def binary_resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = frames.resize(_grey_frames(spark, sf_dir), *SMALL)
@@ -300,8 +306,7 @@ def binary_reversed_chw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("P14", _SQL_NORMALIZED)
 def binary_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = frames.normalize(_colour_frames(spark, sf_dir), "float64")
-    return _values(values, "vec_id", frames.to_array(F.col("data"), "float64"), 6)
+    return _doubles(frames.normalize(_colour_frames(spark, sf_dir), "float64"))
 
 
 @query("P16", _SQL_STACKED + _unnest("clip", "stacked", "px", "value::DOUBLE"))
@@ -321,4 +326,4 @@ def binary_user_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda df: frames.jitter_brightness(df, 12, keys=["vec_id"]),
         lambda df: frames.normalize(df, "float64"),
     )
-    return _values(done, "vec_id", frames.to_array(F.col("data"), "float64"), 6)
+    return _doubles(done)

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from cliploom.operators.sizing import in_bytes
+
 # Settings that hold at any size. Memory, cores and the number of shuffle
 # partitions belong to the cluster, so they are left to spark-submit.
 DEFAULTS = {
@@ -46,14 +48,29 @@ def size_shuffles(spark: SparkSession, shuffled_bytes: int) -> int:
     return partitions
 
 
+ROWS_PER_BATCH = 1_000  # rows that Spark hands to Python at once, at most; they may be frames, long texts or packed blocks,
+BYTES_PER_BATCH = 8 << 20  # so it stops at about as many bytes, outside the heap and once more in Python
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded size, in rows and in bytes: what a worker holds does not grow with its task or with the frames."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ROWS_PER_BATCH:
+        spark.conf.set(setting, ROWS_PER_BATCH)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if in_bytes(spark.conf.get(setting)) > BYTES_PER_BATCH:
+        spark.conf.set(setting, BYTES_PER_BATCH)
+
+
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Let the Python workers import this package, as ``spark-submit --py-files`` would.
+    """Let the Python workers import this package, as ``spark-submit --py-files`` would, and bound their batches.
 
     The archive is made on the driver; Spark copies it to every executor, later ones too.
     """
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         package = Path(__file__).parent

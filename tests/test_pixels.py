@@ -3,13 +3,17 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cliploom import schemas
 from cliploom.functions import kernels, pixels
 from cliploom.operators import clips, frames
+from cliploom.plans.catalog import all_queries
+from cliploom.session import ROWS_PER_BATCH, ship_package
 
 RNG = np.random.default_rng(5)
 
@@ -159,6 +163,76 @@ def test_status_decides_what_zero_means(spark):
     assert clips.stack(table, 4).first().frame_count == 0
 
 
+def test_batches_of_small_frames_are_bounded(spark):
+    @F.arrow_udf("int")
+    def rows(data: pa.Array) -> pa.Array:
+        return pa.array([len(data)] * len(data), pa.int32())
+
+    settings = {"maxRecordsPerBatch": "10000", "maxBytesPerBatch": "64MB"}
+    for name, value in settings.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+    df = ship_package(spark).range(0, 5000, 1, 1).select("id", F.array_repeat(F.col("id") % 256, 12).alias("px"))
+    table = frames.normalize(frames.from_arrays(df, F.col("px"), 2, 2, 3), "float64")
+    got = table.select(rows("data").alias("n")).agg(F.max("n"), F.count("n")).first()
+    assert got[0] <= ROWS_PER_BATCH and got[1] == 5000
+
+
+def _steps_one_by_one(table, steps, between):
+    for step in steps:
+        table = between(step(table))
+    return table
+
+
+def _content(table):
+    rows = [{**r.asDict(), "data": r.data and bytes(r.data)} for r in table.orderBy("k").collect()]
+    return table.columns, rows
+
+
+@pytest.mark.parametrize("keys", [["video_idx", "k"], ["data"], ["Data", "k"]])
+def test_steps_in_one_worker_equal_steps_one_by_one(spark, keys):
+    shapes = [(2, 3, 3), (2, 3, 3), (4, 5, 3), (2, 3, 4), (4, 5, 3), (1, 1, 1)] * 8
+    stack = [RNG.integers(0, 256, s, dtype=np.uint8) for s in shapes]
+    rows = [
+        (1, "a", "a", 9, k, k, *f.shape, "HWC", None if k % 7 == 0 else bytearray(f.tobytes()), "error" if k % 5 == 0 else "ok", None)
+        for k, f in enumerate(stack)
+    ]
+    table = spark.createDataFrame(rows, schemas.FRAMES).withColumn("_pixels0", F.col("k")).coalesce(1)
+    steps = [
+        frames.to_rgb,
+        lambda t: frames.random_flip(t, 11, keys=keys),
+        lambda t: frames.resize(t, 3, 2),
+        lambda t: frames.random_flip(t, 12, keys=keys),
+        lambda t: frames.jitter_brightness(t, 13, keys=keys),
+        lambda t: frames.normalize(t, "float64", layout="CHW"),
+    ]
+    together = _steps_one_by_one(table, steps, lambda t: t)
+    want = _content(_steps_one_by_one(table, steps, lambda t: t.select("*")))
+    assert _content(together) == want
+    assert _plan(together).count("ArrowEvalPython") == (1 if "k" in keys and "Data" not in keys else 4)
+
+
+def test_cached_steps_are_not_computed_again(spark):
+    table = _frame_table(spark, RNG.integers(0, 256, (4, 5, 7, 3), dtype=np.uint8), ["ok"] * 4)
+    flipped = frames.reverse_channels(table).cache()
+    try:
+        made = frames.to_chw(flipped)
+        assert "InMemoryTableScan" in _plan(made)
+        assert _content(made) == _content(frames.to_chw(frames.reverse_channels(table)))
+    finally:
+        flipped.unpersist()
+
+
+def test_user_transforms_take_few_workers(spark, sf_dir):
+    """A worker for the arrays' bytes, one for all transforms and the way back, on each core."""
+    for name in ("binary_user_transforms", "binary_normalize"):
+        assert _plan(all_queries()[name].run(spark, sf_dir)).count("ArrowEvalPython") == 2, name
+    assert _plan(all_queries()["binary_reversed_chw"].run(spark, sf_dir)).count("ArrowEvalPython") == 3
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     def draws(parts):
         df = spark.range(200).repartition(parts)
