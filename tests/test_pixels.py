@@ -13,7 +13,7 @@ from cliploom import schemas
 from cliploom.functions import kernels, pixels
 from cliploom.operators import clips, frames
 from cliploom.plans.catalog import all_queries
-from cliploom.session import ROWS_PER_BATCH, ship_package
+from cliploom.session import BYTES_PER_BATCH, ROWS_PER_BATCH, ship_package
 
 RNG = np.random.default_rng(5)
 
@@ -163,7 +163,8 @@ def test_status_decides_what_zero_means(spark):
     assert clips.stack(table, 4).first().frame_count == 0
 
 
-def test_batches_of_small_frames_are_bounded(spark):
+@pytest.mark.parametrize(("side", "n", "most"), [(2, 5000, ROWS_PER_BATCH), (224, 200, BYTES_PER_BATCH // (224 * 224 * 3) + 1)])
+def test_batches_of_frames_are_bounded(spark, side, n, most):
     @F.arrow_udf("int")
     def rows(data: pa.Array) -> pa.Array:
         return pa.array([len(data)] * len(data), pa.int32())
@@ -171,10 +172,11 @@ def test_batches_of_small_frames_are_bounded(spark):
     settings = {"maxRecordsPerBatch": "10000", "maxBytesPerBatch": "64MB"}
     for name, value in settings.items():
         spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
-    df = ship_package(spark).range(0, 5000, 1, 1).select("id", F.array_repeat(F.col("id") % 256, 12).alias("px"))
-    table = frames.normalize(frames.from_arrays(df, F.col("px"), 2, 2, 3), "float64")
-    got = table.select(rows("data").alias("n")).agg(F.max("n"), F.count("n")).first()
-    assert got[0] <= ROWS_PER_BATCH and got[1] == 5000
+    sizes = {"height": F.lit(side), "width": F.lit(side), "channels": F.lit(3)}
+    data = F.repeat(F.lit("abc"), F.lit(side * side)).cast("binary")
+    df = ship_package(spark).range(0, n, 1, 1).withColumns({**sizes, "data": data})
+    got = frames.reverse_channels(df).select(rows("data").alias("n")).agg(F.max("n"), F.count("n")).first()
+    assert got[0] <= most and got[1] == n
 
 
 def _steps_one_by_one(table, steps, between):
