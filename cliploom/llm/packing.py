@@ -119,11 +119,11 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, seen = byte_encoder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
-        for batch, ids in encoded(batches, "text", encoder.encode):
-            rows = []
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                found += end
-                n = len(found) // 4
+        for batch, (ids, at) in encoded(batches, "text", lambda texts: encoder.encode_column(texts, end)):
+            rows, raw, at = [], memoryview(ids).cast("B"), at.tolist()
+            for doc_id, first, last in zip(batch.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
+                n = last - first
+                found = raw[4 * first : 4 * last]
                 ends = range(n % size or size, n + 1, size)
                 for piece, stop in enumerate(ends):
                     start = max(0, stop - size) if piece else 0

@@ -38,19 +38,16 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = word_encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch, ids in encoded(batches, "text", encoder.encode):
-            lengths = np.array([len(x) // 4 + 1 for x in ids], dtype=np.int64)
-            before = np.r_[0, np.cumsum(lengths)]
-            tokens = pa.array(np.frombuffer(b"".join([y for x in ids for y in (x, end)]), "<i4"))
+        for batch, (ids, at) in encoded(batches, "text", lambda texts: encoder.encode_column(texts, end)):
             columns = [
-                pa.array(np.full(len(ids), part, np.int32)),
+                pa.array(np.full(batch.num_rows, part, np.int32)),
                 batch.column("doc_id"),
-                pa.array(start + before[:-1]),
-                pa.array(lengths),
-                pa.ListArray.from_arrays(pa.array(before, pa.int32()), tokens),
+                pa.array(start + at[:-1]),
+                pa.array(np.diff(at)),
+                pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view("<i4"))),
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FILES.split(", ")])
-            start += int(before[-1])
+            start += int(at[-1])
 
     place = F.monotonically_increasing_id().alias("place")
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), place)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from tokenizers import Tokenizer
@@ -155,3 +156,44 @@ def test_token_files_are_compressed_with_lz4(spark):
     token_files.write(documents(spark, [(1, "some words", "x", 0, 0), (2, None, "x", 0, 0)]), folder, WORD_VOCABULARY)
     paths = [f.removeprefix("file:") for f in spark.read.orc(folder).inputFiles()]
     assert {orc.ORCFile("/" + p.lstrip("/")).compression for p in paths} == {"LZ4"}
+
+
+WIDE = [*"\x85\xa0     　", "«", "”", "—", "é", "か", "́", "\x1c", "\r\n"]
+
+
+@pytest.mark.parametrize("kind, path", [(word_encoder, WORD_VOCABULARY), (byte_encoder, BYTE_VOCABULARY)])
+def test_columns_are_cut_where_the_library_joins_nothing(kind, path):
+    rng, letters = np.random.default_rng(1), [*WIDE, *"aZ  \n\n.,'", "<|endoftext|>", "H̱", "≮"]
+    texts = [None, "", *("".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(2000)), None, ""]
+    texts += [f"{a}{gap}{b}" for a in ("x", *WIDE) for gap in " \n," for b in ("y", *WIDE)]
+    column, want, encoder = pa.array(texts), library(path), kind(path)
+    for some in (column.slice(1000), column.slice(1, 900), column.slice(0, 2), column.slice(0, 0), column.cast(pa.large_string())):
+        ids, at = encoder.encode_column(some, np.array([2], "<u4").tobytes())
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*want(t), 2] for t in some.to_pylist()]
+
+
+def test_special_tokens_with_spaces_are_not_cut(tmp_path):
+    path = str(tmp_path / "vocabulary.json")
+    tokenizer = Tokenizer.from_file(BYTE_VOCABULARY)
+    tokenizer.add_special_tokens(["<end of text>"])
+    tokenizer.save(path)
+    texts = ["one <end of text> two", None, "", "one, <end of", "<end of text>"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in byte_encoder(path).encode(texts)]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def counted(monkeypatch, encoder, name):
+    """Arguments of the calls of a method from now on."""
+    calls, method = [], getattr(encoder, name)
+    monkeypatch.setattr(encoder, name, lambda piece: (calls.append(piece), method(piece))[1])
+    return calls
+
+
+@pytest.mark.parametrize("spaced, path", [(False, WORD_VOCABULARY), (True, BYTE_VOCABULARY)])
+def test_a_word_is_one_piece_with_any_marks_behind_it(monkeypatch, spaced, path):
+    words, marks = [f"word{c}{d}" for c in "abcdefg" for d in "abcdefg"], [",", ".", "!", "?", ";", ":", "$$$", "***", ")", '"']
+    text = "start " + " ".join(w + m for m in marks for w in words) + " end"
+    encoder = tokens.Encoder(path, spaced)
+    calls = counted(monkeypatch, encoder, "_piece")
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library(path)(text)
+    assert len(calls) <= len(words) + len(marks) + 2  # 493 when words with marks were pieces
