@@ -197,3 +197,12 @@ def test_a_word_is_one_piece_with_any_marks_behind_it(monkeypatch, spaced, path)
     calls = counted(monkeypatch, encoder, "_piece")
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library(path)(text)
     assert len(calls) <= len(words) + len(marks) + 2  # 493 when words with marks were pieces
+
+
+def test_words_behind_line_ends_are_remembered(monkeypatch):
+    texts = [f"first\n{word} then\n{word}" for word in ("one", "two", "three")] * 2
+    encoder, want = tokens.Encoder(BYTE_VOCABULARY, True), library(BYTE_VOCABULARY)
+    calls = counted(monkeypatch, encoder, "_word")
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == [want(t) for t in texts]
+    assert sorted(calls) == [" then", "first", "one", "three", "two"]  # 32 calls when only words behind spaces were remembered
