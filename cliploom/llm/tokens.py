@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 
 from cliploom.llm.textbytes import byte_class, flat
 
-MEMO = 400_000  # pieces in either half of what a worker remembers: about 190 MB in all, which it keeps while it is idle
+MEMO = 200_000  # pieces in either half of what a worker remembers: about 100 MB in all, which it keeps while it is idle
 _LONG = 200  # longer pieces are not remembered
 _MARKS = string.punctuation.replace("'", "")  # an apostrophe may start a contraction
 _LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
@@ -216,7 +216,7 @@ Ids = TypeVar("Ids")
 
 
 def encoded(
-    batches: Iterator[pa.RecordBatch], text: str, encode: Callable[[pa.Array], Ids], size: int = 4 << 20
+    batches: Iterator[pa.RecordBatch], text: str, encode: Callable[[pa.Array], Ids], size: int = 2 << 20
 ) -> Iterator[tuple[pa.RecordBatch, Ids]]:
     """Slices of the batches of about ``size`` bytes of text, with the ids of their texts."""
     for batch in batches:
