@@ -24,6 +24,7 @@ from cliploom.operators.sizing import broadcast_if_small
 END_ID = 2
 INDEX_ROWS = 1_000
 STRIPE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20  # of text encoded at a time
 FILES = "part int, doc_id bigint, start_in_part bigint, n_tokens bigint, ids array<int>"
 
 
@@ -38,7 +39,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = word_encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch, (ids, at) in encoded(batches, "text", lambda texts: encoder.encode_column(texts, end)):
+        for batch, (ids, at) in encoded(batches, "text", lambda texts: encoder.encode_column(texts, end), SLICE_BYTES):
             columns = [
                 pa.array(np.full(batch.num_rows, part, np.int32)),
                 batch.column("doc_id"),

@@ -23,7 +23,9 @@ import pyarrow.compute as pc
 
 from cliploom.llm.textbytes import byte_class, flat
 
-MEMO = 200_000  # pieces in either half of what a worker remembers: about 100 MB in all, which it keeps while it is idle
+# Pieces in either half of what a worker remembers: about 100 MB in all, which it keeps while it is idle. Vocabularies of words, whose
+# workers serve no pipeline, have twice as many.
+MEMO = 200_000
 _LONG = 200  # longer pieces are not remembered
 _MARKS = string.punctuation.replace("'", "")  # an apostrophe may start a contraction
 _LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
@@ -143,7 +145,7 @@ class Encoder:
 
     def _pieces(self, pieces: list[str], end: bytes) -> list[bytes]:
         """Ids of distinct pieces; of the empty one, ``end``. What only the older half has moves to the newer."""
-        if len(self._memo) > MEMO:
+        if len(self._memo) > (MEMO if self._spaced else 2 * MEMO):
             self._memo, self._older = {}, self._memo
         memo, older = self._memo, self._older
         found = list(map(memo.get, pieces))
