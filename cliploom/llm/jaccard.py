@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import kept, kept_narrow
-from cliploom.llm.graph import components
+from cliploom.llm.graph import FEW_NODES, components
 from cliploom.llm.textbytes import LOWER_ASCII, NOT_SPACE, Substrings, blocks, mix, ngrams, words
 from cliploom.operators.sizing import broadcast_if_small
 
@@ -331,7 +331,7 @@ def _linked(texts: DataFrame, sets: DataFrame, hot: np.ndarray, n: int, threshol
     near = kept(_alike(_possible(sums, per_id, threshold), sketches, threshold), "pairs")
     cells = _cells(columns.where(F.col("rows") > FEW), per_id, threshold)
 
-    links, placed, labels = [], 0, None
+    placed, labels = 0, None
     for turn in range(PIVOTS + 1):
         cells = kept(_still_open(cells, labels), "cells")
         placed = placed or cells.count()
@@ -345,9 +345,9 @@ def _linked(texts: DataFrame, sets: DataFrame, hot: np.ndarray, n: int, threshol
         pairs = kept(pairs.distinct(), "tested")
         found = kept_narrow(_checked(texts, pairs, n, threshold), "links", pairs.count())
         if not found.isEmpty():
-            links.append(found)
-            labels = components(_union(links))
-            labels = kept_narrow(labels, "labels", labels.count())
+            # What was connected before is a star, so earlier links need not be read again.
+            labels = components(found if labels is None else found.union(labels.select("id", "component").where("id != component")))
+            labels = F.broadcast(labels) if labels.count() <= FEW_NODES else labels
         if last:
             return texts.sparkSession.createDataFrame([], "id bigint, component bigint") if labels is None else labels
 
@@ -365,13 +365,6 @@ def _shared_columns(entries: DataFrame, hot: np.ndarray) -> DataFrame:
     return marked.select("id", "n", "pos", "gram", rows.alias("rows")).where("rows > 1")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.union(part)
-    return total
-
-
 def _sizes_fit(na: Column, nb: Column, threshold: tuple[int, int]) -> Column:
     p, q = threshold
     return F.least(na, nb) * q >= F.greatest(na, nb) * p

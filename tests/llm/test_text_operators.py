@@ -74,6 +74,31 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+@pytest.mark.parametrize("nodes, tasks", [(100_000, 400), (0, 600)])
+def test_components_take_few_tasks(spark, monkeypatch, nodes, tasks):
+    """The driver keeps account of every task: rounds over few links are few tasks, however many partitions there are."""
+    monkeypatch.setattr("cliploom.llm.graph.FEW_NODES", nodes)
+    pairs = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(40)] + [(300, 200), (200, 300), (7, 7)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    partitions, adaptive = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {name: spark.conf.get(name) for name in (partitions, adaptive)}
+    sc, group = spark.sparkContext, f"components-{nodes}"
+    try:
+        spark.conf.set(partitions, 16)
+        spark.conf.set(adaptive, "false")
+        sc.setJobGroup(group, "components of few links")
+        got = dict(components(edges).collect())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == plain_components(pairs)
+    status = sc.statusTracker()
+    stages = {stage for job in status.getJobIdsForGroup(group) for stage in status.getJobInfo(job).stageIds}
+    done = [status.getStageInfo(stage) for stage in stages]
+    assert 0 < sum(s.numCompletedTasks for s in done if s) < tasks
+
+
 # Jaccard join
 
 
