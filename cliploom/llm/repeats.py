@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from cliploom.llm.common import kept
 from cliploom.llm.textbytes import Substrings, blocks, merge_spans, mix
 from cliploom.operators.index import dense_index
-from cliploom.operators.sizing import broadcast_if_small
+from cliploom.operators.sizing import broadcast_or_merge
 
 WINDOW = 100
 GRAM = 48
@@ -221,8 +221,9 @@ def _frequent(texts: DataFrame, rows: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times.astype(np.int64))], ["gram", "texts"])
 
     counts = sample.mapInArrow(count, "gram bigint, texts bigint").groupBy("gram").agg(F.sum("texts").alias("texts"))
-    top = counts.where(f"texts >= {_OFTEN}").orderBy(F.desc("texts"), "gram").limit(FREQUENT).select("gram").collect()
-    return np.sort(np.array([r.gram for r in top], np.int64).view(np.uint64))
+    top = counts.where(f"texts >= {_OFTEN}").orderBy(F.desc("texts"), "gram").limit(FREQUENT).select("gram")
+    grams = top.toArrow().column("gram").to_numpy()  # collect() would send the driver as many of each task
+    return np.sort(grams.view(np.uint64))
 
 
 def _sorted_by_bucket(packed: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     runs = _sorted_by_bucket(texts.mapInArrow(_runs_by_gram(buckets, frequent), PACKED))
     found = kept(runs.mapInArrow(_compare_runs(frequent), FOUND), "runs")
     opened = found.where("open").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    opened = texts.join(broadcast_if_small(kept(opened, "opened")), "doc").select("doc", "text", "runs")
+    opened = texts.join(broadcast_or_merge(kept(opened, "opened")), "doc").select("doc", "text", "runs")
     windows = _sorted_by_bucket(opened.mapInArrow(_windows(buckets), PACKED)).mapInArrow(_compare_windows, FOUND)
     return found.where("NOT open").union(windows).drop("open")
 
@@ -257,7 +258,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("hash", F.xxhash64("text"))
     names = dense_index(rows.select("doc_id", "hash").distinct(), ["doc_id", "hash"], name="doc", unique=True)
     names = names.select(F.col("doc_id").alias("id"), F.col("hash").alias("of"), "doc")
-    rows = rows.join(names, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")))
+    rows = rows.join(names.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")))
     rows = kept(rows.select("doc", "doc_id", "text"), "numbered")
     return rows, rows.select("doc", "text").dropDuplicates(["doc"])
 
@@ -294,5 +295,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 columns = [batch.column("doc_id").slice(first, end - first), pa.array(np.diff(at)), removed, parts]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "removed", "kept"])
 
-    placed = rows.join(broadcast_if_small(kept(spans, "spans")), "doc", "left")
+    placed = rows.join(broadcast_or_merge(kept(spans, "spans")), "doc", "left")
     return placed.select("doc_id", "text", "spans").mapInArrow(cut, shape)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A row of a hash table takes about this much besides its strings.
+# A row of a hash table takes about this much besides its strings and what is nested.
 _BYTES_PER_ROW = 64
 _BYTES_PER_COLUMN = 16
+_BYTES_PER_VALUE = 8  # nested: a value, or where a longer one lies, and the flags of a struct's nulls
 
 _BITS_PER_KEY = 12
 _MOST_BITS = 1 << 24  # 2 MB, whatever the number of keys
@@ -26,11 +29,47 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def broadcast_or_merge(df: DataFrame) -> DataFrame:
+    """The same, but beyond the limit neither this table nor the other side of its join is broadcast.
+
+    Spark goes by the size of files. Those of arrays, or of texts that repeat, may be a tenth of the
+    rows that the driver would hold.
+    """
+    return F.broadcast(df) if fits_broadcast(df) else df.hint("merge")
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    strings = [F.coalesce(F.sum(F.octet_length(name)), F.lit(0)) for name, kind in df.dtypes if kind == "string"]
-    rows, *lengths = df.agg(F.count(F.lit(1)), *strings).first()
-    size = rows * (_BYTES_PER_ROW + _BYTES_PER_COLUMN * len(df.columns)) + sum(lengths)
-    return size <= broadcast_limit(df.sparkSession)
+    varying = [_varying_bytes(F.col(field.name), field.dataType) for field in df.schema]
+    sums = [F.coalesce(F.sum(size), F.lit(0)) for size in varying if size is not None]
+    rows, *lengths = df.agg(F.count(F.lit(1)), *sums).first()
+    per_row = _BYTES_PER_ROW + sum(_BYTES_PER_COLUMN + _fixed_bytes(field.dataType) for field in df.schema)
+    return rows * per_row + sum(lengths) <= broadcast_limit(df.sparkSession)
+
+
+def _fixed_bytes(kind: T.DataType) -> int:
+    """What each value takes besides its place in the row: the places of a struct's fields."""
+    if not isinstance(kind, T.StructType):
+        return 0
+    return _BYTES_PER_VALUE + sum(_BYTES_PER_VALUE + _fixed_bytes(field.dataType) for field in kind)
+
+
+def _varying_bytes(value: Column, kind: T.DataType) -> Column | None:
+    """What a value takes beyond that, none for most kinds: the bytes of strings, the elements of arrays and maps."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(value).cast("bigint")
+    if isinstance(kind, T.StructType):
+        sizes = [_varying_bytes(value.getField(field.name), field.dataType) for field in kind]
+        sizes = [F.coalesce(size, F.lit(0)) for size in sizes if size is not None]
+        return reduce(Column.__add__, sizes) if sizes else None
+    if isinstance(kind, T.MapType):
+        keys = _varying_bytes(F.map_keys(value), T.ArrayType(kind.keyType))
+        return keys + _varying_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        size = F.array_size(value).cast("bigint") * (_BYTES_PER_VALUE + _fixed_bytes(kind.elementType))
+        if _varying_bytes(F.lit(None), kind.elementType) is None:
+            return size
+        return F.aggregate(value, size, lambda total, x: total + F.coalesce(_varying_bytes(x, kind.elementType), F.lit(0)))
+    return None
 
 
 def broadcast_limit(spark: SparkSession) -> int:

@@ -99,3 +99,28 @@ def test_blocks_of_short_texts(spark, texts):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(len(rows), "doc_id")
     check(sorted(repeats.remove_repeats(docs).collect(), key=lambda r: r.doc_id), rows)
+
+
+@pytest.mark.parametrize("limit", ["64k", "256k"])
+def test_no_large_table_is_broadcast(spark, tmp_path, monkeypatch, limit):
+    """Few texts of many repeats: 2 MB of spans, 0.7 MB of texts and 0.1 MB of opened runs, in files of 0.2 and 0.02 MB."""
+    rng = np.random.default_rng(0)
+    passages = ["".join(rng.choice(list("abcdefgh "), 300)) for _ in range(40)]
+    rows = [(i, " ".join(passages[k] for k in rng.permutation(40))) for i in range(60)]
+    docs = [*rows, rows[3]]  # a row that comes twice
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    plan, plans = lambda df: df._jdf.queryExecution().executedPlan().toString(), {}
+    monkeypatch.setattr(repeats, "kept", lambda df, tag, kept=repeats.kept: plans.update({tag: plan(df)}) or kept(df, tag))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, limit)
+        found = repeats.remove_repeats(spark.read.parquet(str(tmp_path / "docs")))
+        plans["found"] = plan(found)
+        got = sorted(found.collect(), key=lambda r: r.doc_id)
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == 61 and got[3] == got[4]
+    check([*got[:4], *got[5:]], rows)
+    joins = {tag: "Broadcast" in text for tag, text in plans.items() if "Join" in text}
+    assert joins == {"numbered": False, "spans": limit == "256k", "found": False}  # of spans: the join with opened runs

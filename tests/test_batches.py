@@ -92,3 +92,33 @@ def test_broadcast_limit(spark, text, size):
 def test_long_strings_count_towards_the_limit(spark):
     assert sizing.fits_broadcast(spark.range(1000))
     assert not sizing.fits_broadcast(spark.range(1000).select(F.repeat(F.lit("x"), 20_000).alias("s")))
+
+
+@pytest.mark.parametrize(
+    "value",
+    [
+        "transform(sequence(1, 2000), x -> named_struct('start', id, 'n', x))",
+        "sequence(1, 4000)",
+        "array(repeat('x', 20000))",
+        "named_struct('a', named_struct('b', array(null, repeat('x', 20000))))",
+        "map(id, array(repeat('x', 20000), null))",
+        "cast(repeat('x', 20000) as binary)",
+    ],
+)
+def test_nested_values_count_towards_the_limit(spark, value):
+    """A null in every second row takes nothing away from the others."""
+    rows = spark.range(2000).selectExpr("id", f"if(id % 2 = 0, {value}, null) as v")
+    assert not sizing.fits_broadcast(rows)
+    assert sizing.fits_broadcast(rows.where("id < 10 OR v IS NULL"))
+
+
+def test_large_tables_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    """Their files are below the limit: Spark alone would broadcast them."""
+    rows = spark.range(200_000).selectExpr("id", "sequence(1, 20) as v")
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    few = spark.range(10)
+    for joined in (rows.join(sizing.broadcast_or_merge(rows.withColumnRenamed("v", "w")), "id"), few.join(sizing.broadcast_or_merge(rows), "id", "left")):
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert few.join(sizing.broadcast_or_merge(rows), "id", "left").count() == 10
+    assert "BroadcastHashJoin" in rows.join(sizing.broadcast_or_merge(few), "id")._jdf.queryExecution().executedPlan().toString()
